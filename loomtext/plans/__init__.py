@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts",)
+MODULES = ("counts", "filters", "words", "scalars")
 
 
 def load_all() -> None:
