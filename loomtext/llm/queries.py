@@ -80,7 +80,7 @@ f AS (
   UNION ALL SELECT doc_id, rid, 'access', 1, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
   UNION ALL SELECT doc_id, rid, 'hex', 2, 24, regexp_extract_all(t, '[0-9a-f]{24,}', 0), regexp_extract_all(t, '[0-9a-f]{24,}', 0), string_split_regex(t, '[0-9a-f]{24,}') FROM d),
 i AS (SELECT doc_id, rid, kind, ord, least, m, g, p, unnest(range(1, len(m) + 1)) AS k FROM f WHERE len(m) > 0),
-s AS (SELECT rid, kind, ord, list_sum(list_transform(p[1:k], x -> length(x))) + coalesce(list_sum(list_transform(m[1:k-1], x -> length(x))), 0) AS a, length(m[k]) AS n
+s AS (SELECT rid, kind, ord, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS a, length(m[k]) AS n
       FROM i WHERE length(g[k]) >= least),
 j AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, ord) AS spans FROM s GROUP BY rid)
@@ -94,7 +94,7 @@ c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn, role
 u AS (SELECT min(conv_id) AS conv_id, v, n, count(*) AS copies FROM c GROUP BY v, n),
 k AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n > a.n AND b.v[1] = a.v[1] AND b.v[1:a.n] = a.v))
 SELECT conv_id, (g.s)::INTEGER AS segment, n AS turns, copies,
-       array_to_string(list_transform(v[g.s * 1024 + 1 : g.s * 1024 + 1024], q -> '<|im_start|>' || coalesce(q.r, 'user') || chr(10) || coalesce(q.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
+       array_to_string(list_transform(v[g.s * 1024 + 1 : g.s * 1024 + 1024], lambda q: '<|im_start|>' || coalesce(q.r, 'user') || chr(10) || coalesce(q.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM k, LATERAL (SELECT unnest(range(0, (n + 1023) // 1024)) AS s) g
 """,
 }

@@ -116,14 +116,18 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     kind = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
     none = F.array().cast(kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(F.get(hits, i))
-        one = F.struct(start.cast("long").alias("start"), F.lit(order).alias("kind_no"), end.cast("long").alias("end"), F.lit(rule.name).alias("kind"))
-        return F.struct(end.cast("long").alias("at"), F.when(F.length(F.get(kept, i)) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])
+    def walk(m: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            start = acc["at"] + F.length(F.get(m["gaps"], i))
+            end = start + F.length(F.get(m["hits"], i))
+            one = F.struct(start.cast("long").alias("start"), F.lit(order).alias("kind_no"), end.cast("long").alias("end"), F.lit(rule.name).alias("kind"))
+            return F.struct(end.cast("long").alias("at"), F.when(F.length(F.get(m["kept"], i)) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind).alias("out"))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(m["hits"]) - 1), start, step, lambda acc: acc["out"])
+
+    # Bound once by a lambda: the regular expression runs once a text, not once a match.
+    found = F.get(F.transform(F.array(F.struct(hits.alias("hits"), kept.alias("kept"), gaps.alias("gaps"))), walk), F.lit(0))
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
