@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars")
+MODULES = ("counts", "filters", "words", "scalars", "sequences")
 
 
 def load_all() -> None:
