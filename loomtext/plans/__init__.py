@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars", "sequences")
+MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora")
 
 
 def load_all() -> None:
