@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens of a window: bounds the memory of a task (4 bytes a token, and the pieces).
 WINDOW = 4_000_000
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+#: Words whose ids a worker keeps, at about 200 bytes each.
+KEPT_WORDS = 600_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -53,38 +54,40 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
     """
     tok, led, first = _tokenizer(path)
     out: list = [None] * len(texts)
-    words: list = [None] * len(texts)
+    held: list[tuple] = []  # (text, words, places of words not known, their ids)
+    whole: list[int] = []
     new_led: set[str] = set()
     new_first: set[str] = set()
-    whole: list[int] = []
     for i, t in enumerate(texts):
         if "  " in t or "<|" in t or t[-1:] == " " or t[:1] == " ":
             whole.append(i)
         elif t:
-            w = words[i] = t.split(" ")
-            new_led.update(w[1:])
-            new_first.add(w[0])
-    extra_led, extra_first = {}, {}
-    for known, new, extra, lead in ((led, new_led, extra_led, " "), (first, new_first, extra_first, "")):
-        miss = [w for w in new if w not in known]
-        for at in range(0, len(miss), 20_000):
-            part = miss[at : at + 20_000]
+            w = t.split(" ")
+            got = list(map(led.get, w))
+            got[0] = first.get(w[0])
+            held.append((i, w, [k for k, x in enumerate(got) if x is None], got))
+            if got[0] is None:
+                new_first.add(w[0])
+            new_led.update([w[k] for k in held[-1][2] if k])
+        else:
+            out[i] = np.zeros(0, np.uint32)
+
+    def spelled(words: list[str], lead: str) -> dict[str, bytes]:
+        made = {}
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             for w, e in zip(part, tok.encode_batch_fast([lead + w for w in part], add_special_tokens=False)):
-                extra[w] = np.array(e.ids, np.uint32).tobytes()
-    for known, extra in ((led, extra_led), (first, extra_first)):
+                made[w] = array("I", e.ids).tobytes()
+        return made
+
+    extra_first, extra_led = spelled(list(new_first), ""), spelled(list(new_led), " ")
+    for i, w, missing, got in held:
+        for k in missing:
+            got[k] = extra_led[w[k]] if k else extra_first[w[0]]
+        out[i] = np.frombuffer(b"".join(got), np.uint32)
+    for known, extra in ((first, extra_first), (led, extra_led)):
         if len(known) + len(extra) <= KEPT_WORDS:
             known.update(extra)
-            extra.clear()
-    for i, w in enumerate(words):
-        if w is None:
-            out[i] = np.zeros(0, np.uint32)
-            continue
-        head = first.get(w[0]) or extra_first.get(w[0], b"")
-        if extra_led:
-            rest = b"".join([led[x] if x in led else extra_led[x] for x in w[1:]])
-        else:
-            rest = b"".join([led[x] for x in w[1:]])
-        out[i] = np.frombuffer(head + rest, np.uint32)
     if whole:
         for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, np.uint32)
