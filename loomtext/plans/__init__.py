@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora")
+MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge")
 
 
 def load_all() -> None:
