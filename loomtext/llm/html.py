@@ -20,6 +20,7 @@ from loomtext.llm.common import materialize
 
 #: Winning paths are broadcast up to this many hosts (about 20 MB); beyond it the join is shuffled.
 BROADCAST_HOSTS = 100_000
+_HOST = "__loomtext_html_host"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -188,9 +189,9 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     other columns stay, and inputs named host, path or text are replaced.
     """
     base = pages.drop("host", "path", "text")
-    won = materialize(host_paths(base, url_col, html_col).select(F.col("host").alias("_h"), F.col("path").alias("path")))
+    won = materialize(host_paths(base, url_col, html_col).select(F.col("host").alias(_HOST), F.col("path").alias("path")))
     side = F.broadcast(won) if won.count() <= BROADCAST_HOSTS else won
-    d = base.withColumn("host", host_of(url_col)).join(side, F.col("host") == F.col("_h"), "left").drop("_h")
+    d = base.withColumn("host", host_of(url_col)).join(side, F.col("host") == F.col(_HOST), "left").drop(_HOST)
 
     @F.pandas_udf("string")
     def text(html, path):

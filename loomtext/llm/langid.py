@@ -81,11 +81,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     got = d.select(text_col, lang_col).mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     t = got.toArrow()  # at most 65,536 rows a language
     langs = tuple(sorted(set(t.column(0).to_pylist())))
+    if not langs:
+        return Model((), np.zeros((1 << SPACE_BITS, 0)))
     counts = np.zeros((1 << SPACE_BITS, len(langs)))
     where = {x: k for k, x in enumerate(langs)}
     counts[t.column(1).to_numpy(), [where[x] for x in t.column(0).to_pylist()]] = t.column(2).to_numpy()
     counts += SMOOTH
-    return Model(langs, np.log(counts / counts.sum(axis=0)) if langs else counts)
+    return Model(langs, np.log(counts / counts.sum(axis=0)))
 
 
 def _em(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -118,13 +120,13 @@ def infer(text: str | None, model: Model) -> tuple[str, float, dict[str, float]]
     return model.langs[chosen[k]], float(min(1.0, max(0.0, share[k]))), {model.langs[c]: float(s) for c, s in zip(chosen, share)}
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and mixture (language:share of the selected set, by share) from each whole text.
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "mixture")) -> DataFrame:
+    """``docs`` with the prediction, its score and the mixture (language:share of the selected set) of each whole text.
 
     A null text, or one without any letter, is ``und`` with score 0, as is any text if nothing was learned. Ties go to the
-    language that sorts first. All rows and other columns stay; inputs of those three names are replaced.
+    language that sorts first. All rows and other columns stay; inputs named as one of ``names`` are replaced.
     """
-    base = docs.drop("lang_pred", "score", "mixture")
+    base = docs.drop(*names)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # 65,536 numbers a language
 
@@ -136,5 +138,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         named = [",".join(f"{k}:{v:.4f}" for k, v in sorted(m.items(), key=lambda x: (-x[1], x[0]))) for _, _, m in got]
         return pd.DataFrame({"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "mixture": named})
 
-    got = base.withColumn("_p", predict.asNondeterministic()(F.col(text_col)))
-    return got.select(*[F.col(f"`{c}`") for c in base.columns], "_p.lang_pred", "_p.score", "_p.mixture")
+    own = "__loomtext_language"
+    got = base.withColumn(own, predict.asNondeterministic()(F.col(text_col)))
+    fields = [F.col(f"`{own}`")[f].alias(n) for f, n in zip(("lang_pred", "score", "mixture"), names)]
+    return got.select(*[F.col(f"`{c}`") for c in base.columns], *fields)

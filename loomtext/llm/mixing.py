@@ -80,11 +80,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     named = docs.where(F.col(id_col).isNotNull())
     m = mix(named, id_col, text_col, source_col, **kw)
+    key, copies, finish, turn, no = (f"__loomtext_mixing_{x}" for x in ("id", "copies", "finish", "round", "copy"))
     half = lambda c: (F.col(c) * 2 >= F.col("size")).cast("int")
-    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(half("first_taken") + F.when(F.col("second_taken") > 0, half("second_taken")).otherwise(0))
-    m = m.select(F.col(id_col).alias("_id"), copies.alias("_copies"), "finish", (F.col("source_size") / F.col("target")).alias("_round"))
-    m = m.groupBy("_id").agg(F.max("_copies").alias("_copies"), F.min("finish").alias("finish"), F.first("_round").alias("_round")).where("_copies > 0")
-    d = named.join(m, named[id_col] == m["_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    d = d.withColumn("_finish", F.col("finish") + (F.col("_copy") - 1) * F.coalesce("_round", F.lit(0.0)))
+    n = F.when(F.col("size") == 0, F.lit(1)).otherwise(half("first_taken") + F.when(F.col("second_taken") > 0, half("second_taken")).otherwise(0))
+    m = m.select(F.col(id_col).alias(key), n.alias(copies), F.col("finish").alias(finish), (F.col("source_size") / F.nullif(F.col("target"), F.lit(0.0))).alias(turn))
+    m = m.groupBy(key).agg(F.max(copies).alias(copies), F.min(finish).alias(finish), F.first(turn).alias(turn)).where(F.col(copies) > 0)
+    d = named.join(m, F.col(id_col) == F.col(key)).withColumn(no, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    d = d.withColumn(finish, F.col(finish) + (F.col(no) - 1) * F.coalesce(turn, F.lit(0.0)))
     d = d.unionByName(docs.where(F.col(id_col).isNull()), allowMissingColumns=True)
-    return d.repartitionByRange(F.col("_finish"), F.xxhash64(F.col(id_col))).sortWithinPartitions("_finish").select(*docs.columns)
+    return d.repartitionByRange(F.col(finish), F.xxhash64(F.col(id_col))).sortWithinPartitions(finish).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -39,6 +39,8 @@ RULES = (
 )
 #: Candidate ids are broadcast up to this number (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Columns of the candidate table, under names that no input has.
+_ID, _FOUND = "__loomtext_secrets_id", "__loomtext_secrets_rules"
 
 Query = frozenset[frozenset[str]]
 _ALL: Query = frozenset([frozenset()])
@@ -96,15 +98,15 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """(_id, _rules): for documents that may match an indexed rule, the names of those rules."""
+    """(_ID, _FOUND): for documents that may match an indexed rule, the names of those rules."""
     spark = docs.sparkSession
     wanted = [(r.name, k, sorted(q)) for r in rules for k, q in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) if q]
     grams = sorted({g for _, _, q in wanted for g in q})
     low = F.lower(F.col(text_col))
-    postings = docs.select(F.col(id_col).alias("_id"), F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+    postings = docs.select(F.col(id_col).alias(_ID), F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
     asked = spark.createDataFrame([(g, name, k, 1 << i, (1 << len(q)) - 1) for name, k, q in wanted for i, g in enumerate(q)], "gram string, rule string, k int, bit long, need long")
-    met = postings.join(F.broadcast(asked), "gram").groupBy("_id", "rule", "k").agg(F.bit_or("bit").alias("have"), F.max("need").alias("need")).where("have = need")
-    return met.groupBy("_id").agg(F.collect_set("rule").alias("_rules"))
+    met = postings.join(F.broadcast(asked), "gram").groupBy(_ID, "rule", "k").agg(F.bit_or("bit").alias("have"), F.max("need").alias("need")).where("have = need")
+    return met.groupBy(_ID).agg(F.collect_set("rule").alias(_FOUND))
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -131,25 +133,25 @@ def _spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column spans: array of (start, kind_no, end, kind) over the whole text, by start, then rule order.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
+    """``docs`` with a column ``out``: array of (start, kind_no, end, kind) over the whole text, by start, then rule order.
 
     Matches are leftmost and non-overlapping within a rule; rules may overlap each other. A null text counts as empty and
     has no spans. Ids may be null or repeated: candidates are looked up by id and verified on each row's own text, so every
-    row keeps its own spans. Extra columns stay; an input column named spans is replaced.
+    row keeps its own spans. Extra columns stay; an input column named as ``out`` is replaced.
     """
-    base = docs.drop("spans")
+    base = docs.drop(out)
     indexed = tuple(r for r in rules if frozenset() not in trigram_query(r.pattern))
     text = F.coalesce(F.col(text_col), F.lit(""))
     if indexed:
         found = materialize(candidates(base.select(id_col, text_col), indexed, id_col, text_col))
         side = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-        base = base.join(side, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+        base = base.join(side, F.col(id_col).eqNullSafe(F.col(_ID)), "left")
     parts = []
     for k, r in enumerate(rules):
         spans = _spans(text, r, k)
-        parts.append(F.when(F.array_contains("_rules", r.name), spans).otherwise(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")) if r in indexed else spans)
-    return base.withColumn("spans", F.array_sort(F.concat(*parts))).drop("_id", "_rules")
+        parts.append(F.when(F.array_contains(_FOUND, r.name), spans).otherwise(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")) if r in indexed else spans)
+    return base.withColumn(out, F.array_sort(F.concat(*parts))).drop(_ID, _FOUND)
 
 
 def joined(spans: str = "spans") -> Column:
@@ -162,7 +164,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
 
     Documents without secrets, null texts included, are left as they are. All rows stay.
     """
-    found = scan_secrets(docs, rules, id_col, text_col)
+    own = "__loomtext_secrets_spans"
+    found = scan_secrets(docs, rules, id_col, text_col, own)
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -170,5 +173,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(gap, F.lit("[SECRET]")))).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate("spans", start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2147483647)))), ""))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cut = F.aggregate(F.col(own), start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2147483647)))), ""))
+    return found.withColumn(text_col, F.when(F.size(own) > 0, cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -157,8 +157,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     named = docs.where(F.col(id_col).isNotNull())
     comp = simhash_components(named, id_col, text_col, radius)
-    kept = comp.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("_kept")).distinct()
-    out = named.join(kept, named[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col, text_col])
+    key = "__loomtext_simhash_id"
+    kept = comp.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias(key)).distinct()
+    out = named.join(kept, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col, text_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 
