@@ -15,8 +15,9 @@ from loomtext.llm.common import materialize
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which a learned language was found. Labels stay as they were."""
-    got = langid.identify(docs, queries.learn_languages(docs))
-    return got.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    own = tuple(f"__loomtext_{n}" for n in ("language", "score", "mixture"))
+    got = langid.identify(docs, queries.learn_languages(docs), names=own)
+    return got.where(F.col(own[0]) != langid.UNKNOWN).drop(*own)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
