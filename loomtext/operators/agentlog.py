@@ -32,3 +32,17 @@ def tool_arguments(raw: str) -> list[Column]:
 def task_status(events: DataFrame, task: str, status: str, ts: str) -> DataFrame:
     """(task, status): the last one wins; at a tie of time the one that sorts last."""
     return events.groupBy(task).agg(F.max_by(status, F.struct(ts, status)).alias("status"))
+
+
+def to_blocks(messages: DataFrame, session: str, seq: str, role: str, content: str) -> DataFrame:
+    """(session, system, turns): the system text apart, and turns as array<struct<role, text>> with neighbours of one role
+    joined, as providers that want alternating turns take them."""
+    from pyspark.sql import Window
+
+    d = messages.select(F.col(session).alias("s"), F.col(seq).alias("n"), F.when(F.col(role) == "tool", "user").otherwise(F.col(role)).alias("r"), F.col(content).alias("c"))
+    system = d.where("r = 'system'").groupBy("s").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "\n").alias("system"))
+    w = Window.partitionBy("s").orderBy("n")
+    t = d.where("r <> 'system'").withColumn("g", F.sum(F.coalesce((F.lag("r").over(w) != F.col("r")).cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.groupBy("s", "g").agg(F.first("r").alias("r"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "\n").alias("c"))
+    t = t.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "r", "c"))), lambda x: F.struct(x["r"].alias("role"), x["c"].alias("text"))).alias("turns"))
+    return t.join(system, "s", "left").select(F.col("s").alias(session), "system", "turns")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge")
+MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge", "extras")
 
 
 def load_all() -> None:

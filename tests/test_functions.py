@@ -177,3 +177,39 @@ def test_search_and_links(spark):
     assert d.select(K.first_heading("text", F.col("name"))).first()[0] == "Tiêu đề"
     h = spark.createDataFrame([("<h1> T </h1><p>a <b>x</b> <a href=\"u\">l</a></p><ul><li>i</li></ul>&amp;<script>no</script>",)], "h string")
     assert h.select(K.html_to_markdown("h")).first()[0] == "# T\n\na **x** [l](u)\n\n- i&"
+
+
+def test_likelihood_training_meets_the_gradient(spark):
+    import numpy as np
+
+    from loomtext.operators import crf
+
+    rng = np.random.default_rng(0)
+    feats, gold = [np.array([0]), np.array([1, 2]), np.array([0, 2])], np.array([0, 1, 1])
+    w = rng.standard_normal(3 * 2 + 4)
+
+    def f(x):
+        gs, gt = np.zeros((3, 2)), np.zeros((2, 2))
+        v = crf.sentence_gradient(feats, gold, x[:6].reshape(3, 2), x[6:].reshape(2, 2), gs, gt)
+        return v, np.concatenate([gs.ravel(), gt.ravel()])
+
+    g = f(w)[1]
+    for i in range(len(w)):
+        d = np.eye(len(w))[i] * 1e-6
+        assert abs((f(w + d)[0] - f(w - d)[0]) / 2e-6 - g[i]) < 1e-5
+    x = crf.minimise(lambda z: (float(((z - 3) ** 4).sum()), 4 * (z - 3) ** 3), np.zeros(5), 200)
+    assert np.abs(x - 3).max() < 0.1
+    d = spark.createDataFrame([([["a"], ["b"]], ["X", "Y"]), ([["b"], ["a"]], ["Y", "X"])] * 4, "f array<array<string>>, y array<string>")
+    m = crf.train(d, "f", "y", 0.1)
+    assert m.decode([["a"], ["b"], ["a"]])[0] == ["X", "Y", "X"]
+
+
+def test_fasttext_line():
+    import numpy as np
+
+    from loomtext.operators.training import fasttext_features, fasttext_predict
+
+    ids = fasttext_features(["ab", "zz"], {"ab": 0, "</s>": 1}, 10, 3, 3, 2)
+    assert ids[0] == 0 and 1 in ids and max(ids) < 12
+    p = fasttext_predict(ids, np.ones((12, 2)), np.array([[1.0, 0.0], [0.0, 2.0]]), ["a", "b"], 2)
+    assert [x[0] for x in p] == ["b", "a"] and abs(sum(x[1] for x in p) - 1) < 1e-12
