@@ -13,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import materialize, running_sums
+from loomtext.llm.common import materialize, running_sums, shuffle_partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MOST = 2.0
 SEED = 17
+#: Ranges of the sort by virtual finish time, at least; four for each shuffle partition if that is more.
+RANGES = 256
 
 
 def word_count(text: str) -> Column:
@@ -49,27 +51,48 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, budge
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """One row a document: id_col, source, size, source_size, target, finish, first_taken, second_taken, taken.
+    """One row a document: id_col, source, size, source_size, target, finish, first_taken, second_taken, taken, mix_offset.
 
     ``finish`` is the virtual finish time in the first round of its source (the second adds source_size / target), ``taken``
-    the tokens the mix takes over both rounds. Sizes are words of the whole text, 0 for a null or empty one: such documents
+    the tokens the mix takes over both rounds, ``mix_offset`` the tokens before the document in the mix (null: not taken). Sizes are words of the whole text, 0 for a null or empty one: such documents
     are taken with 0. A null source is a source of its own. Repeated rows are separate documents; rows equal in id, size and
     source are interchangeable. The order hangs on the seed and the rows alone, so reruns agree. Extra columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("_h"))
-    slim = materialize(slim)
-    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")))
-    queued = running_sums(slim, ["source"], [F.col("_h"), F.col("id"), F.col("size")], {"_before": "size"}, F.col("_h"))
+    slim = materialize(slim.withColumn("_row", F.monotonically_increasing_id()))  # fixed by being written
+    targets = materialize(source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, most))
+    queued = running_sums(slim, ["source"], [F.col("_h"), F.col("id"), F.col("size"), F.col("_row")], {"_before": "size"}, F.col("_h"))
     t = targets.select(F.col("source").alias("_s"), "source_size", "target")
-    d = queued.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    d = queued.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     quota = F.floor(F.col("target") + 0.5)
 
     def served(before: Column) -> Column:
         return F.least(F.greatest(quota - before, F.lit(0)), F.col("size")).cast("long")
 
-    d = d.withColumn("first_taken", served(F.col("_before"))).withColumn("second_taken", served(F.col("_before") + F.col("source_size")))
     finish = F.when(F.col("target") > 0, (F.col("_before") + F.col("size")) / F.col("target")).otherwise(F.lit(0.0))
-    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", finish.alias("finish"), "first_taken", "second_taken", (F.col("first_taken") + F.col("second_taken")).alias("taken"))
+    d = materialize(d.select("_row", "id", "source", "size", "source_size", "target", finish.alias("finish"), served(F.col("_before")).alias("_t1"), served(F.col("_before") + F.col("source_size")).alias("_t2")))
+    cut = _cut_at_budget(d, int(targets.agg(F.sum("target")).first()[0] or 0))
+    d = d.join(cut, "_row", "left")
+    zero = F.lit(0).cast("long")
+    first, second = F.coalesce("first_taken", zero), F.coalesce("second_taken", zero)
+    return d.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "finish", first.alias("first_taken"), second.alias("second_taken"), (first + second).alias("taken"), "mix_offset")
+
+
+def _cut_at_budget(d: DataFrame, budget: int) -> DataFrame:
+    """(_row, first_taken, second_taken, mix_offset): the served rounds range-sorted by virtual finish time and cut off once the
+    budget is used up. Every source is served evenly over virtual time, so ranges of equal width hold about equal words; their
+    sums are prefixed, one row a range."""
+    w1, w2 = (F.struct(F.lit(k).alias("round"), at.alias("at"), F.col(c).alias("t")) for k, at, c in ((1, F.col("finish"), "_t1"), (2, F.col("finish") + F.col("source_size") / F.nullif(F.col("target"), F.lit(0.0)), "_t2")))
+    e = d.select("_row", F.explode(F.array(w1, w2)).alias("x")).select("_row", "x.*").where("t > 0")
+    ranges = max(RANGES, 4 * shuffle_partitions(d.sparkSession))
+    e = e.withColumn("_p", F.floor(F.col("at") * ranges).cast("long"))
+    sums = e.groupBy("_p").agg(F.sum("t").alias("_n"))
+    sums = sums.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("_p").orderBy("at", "_row", "round").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_w", F.coalesce(F.sum("t").over(inside), F.lit(0))).join(F.broadcast(sums), F.col("_p") == F.col("_q"))  # a row a range
+    e = e.withColumn("before", (F.col("_b") + F.col("_w")).cast("long"))
+    kept = F.least(F.greatest(F.lit(budget) - F.col("before"), F.lit(0)), F.col("t")).cast("long")
+    return e.groupBy("_row").agg(F.sum(F.when(F.col("round") == 1, kept)).alias("first_taken"), F.sum(F.when(F.col("round") == 2, kept)).alias("second_taken"), F.min("before").alias("mix_offset"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:

@@ -34,7 +34,7 @@ def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fair_queue_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "size", "source_size", "target", "taken", F.col("finish").alias("finish_time"))
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.col("finish").alias("finish_time"), "mix_offset")
 
 
 def op7_cross_polytope_search(spark: SparkSession, sf_dir: str) -> DataFrame:
