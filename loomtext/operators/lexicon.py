@@ -51,13 +51,29 @@ def vocabulary(freq: DataFrame, min_freq: int, specials: tuple[str, ...] = ("<pa
     return first.unionByName(k.select((F.col("rank") + len(specials)).alias("id"), "word", F.col("n").cast("long").alias("n")))
 
 
+#: Rows whose keys are looked at to cut a table into ranges, and how many ranges.
+RANGE_SAMPLE, RANGES = 4096, 256
+
+
 def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``rank`` from 0 in the order of unique columns, by ranges: no task sees more than its range."""
-    d = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    """Add ``rank`` from 0 in the order of unique columns, by ranges: no task sees more than its range.
+
+    Ranges are cut at keys of a bounded sample (picked by hash), so a row's range follows from the row alone and is the same
+    wherever the plan reads it. Ranks are ranks inside a range plus the sizes of the ranges before it.
+    """
+    seen = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order)).limit(RANGE_SAMPLE).collect())
+    cuts = sorted({seen[i * len(seen) // RANGES] for i in range(1, RANGES)}) if len(seen) == RANGE_SAMPLE else []
+    kinds = [df.schema[c].dataType for c in order]
+    key = F.struct(*order)
+    marks = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, order)]) for cut in cuts]
+    where = F.lit(0)
+    if marks:
+        where = F.size(F.filter(F.array(*marks), lambda m: m <= key))
+    d = df.withColumn("_p", where)
     inside = Window.partitionBy("_p").orderBy(*order)
-    d = d.withColumn("_r", F.row_number().over(inside) - 1)
     sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))
     sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a range
+    d = d.withColumn("_r", F.row_number().over(inside) - 1)
     return d.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("rank", (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_q", "_r", "_b")
 
 
