@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
+from loomtext.operators.written import written
 
 
 def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
@@ -61,6 +62,7 @@ def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
     Ranges are cut at keys of a bounded sample (picked by hash), so a row's range follows from the row alone and is the same
     wherever the plan reads it. Ranks are ranks inside a range plus the sizes of the ranges before it.
     """
+    df = written(df)
     seen = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order)).limit(RANGE_SAMPLE).collect())
     cuts = sorted({seen[i * len(seen) // RANGES] for i in range(1, RANGES)}) if len(seen) == RANGE_SAMPLE else []
     kinds = [df.schema[c].dataType for c in order]
@@ -122,5 +124,5 @@ def tfidf_vectors(doc_terms: DataFrame, vocab: DataFrame, sublinear: bool = Fals
     """(doc_id, feature_id, value), each document of length 1; unknown terms are left out."""
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
     x = doc_terms.join(vocab.select("term", "feature_id", "idf"), "term").withColumn("raw", tf * F.col("idf"))
-    norm = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return x.join(norm, "doc_id").select("doc_id", "feature_id", (F.col("raw") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return x.select("doc_id", "feature_id", (F.col("raw") / norm).alias("value"))

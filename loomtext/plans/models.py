@@ -28,13 +28,13 @@ def classifier_vectors(spark, sf_dir, most=2000):
     """Case kept, whitespace words; the most frequent terms by documents, ties alphabetical; rows of length 1."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    d = docs.select("doc_id", F.explode(X.space_tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    d = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(X.space_tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     v = d.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= int(0.9 * n))).orderBy(F.desc("df"), "term").limit(most)
     v = v.withColumn("o", -F.col("df"))
     v = L.dense_ids(v, ["o", "term"]).select("term", F.col("rank").alias("feature_id"), (F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
     x = d.join(v, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norm = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return x.join(norm, "doc_id").select("doc_id", "feature_id", (F.col("raw") / F.col("norm")).alias("value"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return x.select("doc_id", "feature_id", (F.col("raw") / norm).alias("value"))
 
 
 @query(CLS + "SELECT doc_id, feature_id, round(raw / norm, 6) AS value FROM x JOIN m USING (doc_id)")

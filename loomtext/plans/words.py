@@ -154,7 +154,9 @@ v AS (SELECT term, df, cf, ln(((SELECT n FROM n) + 1.0) / (df + 1)) + 1 AS idf,
 
 def grams(spark, sf_dir):
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
-    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.explode(X.word_ngrams(F.col("w"), 1, 2)).alias("term"))
+    # Documents are spread by id before they are cut up: counts and norms a document then need no shuffle of their terms.
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", w.alias("w"))
+    d = d.select("doc_id", F.explode(X.word_ngrams(F.col("w"), 1, 2)).alias("term"))
     return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
