@@ -26,7 +26,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Variants spelled out at once in a task, about.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
