@@ -211,6 +211,54 @@ def is_punct(c) -> Column:
     return _col(c).rlike(r"^\p{P}+$")
 
 
+def is_latin(c) -> Column:
+    """Every character is of the Latin script; true for an empty text."""
+    return _col(c).rlike(r"^\p{IsLatin}*$")
+
+
+def half_width(c) -> Column:
+    """Compatibility forms, full-width letters among them, as their plain ones (NFKC)."""
+    return _normalizer("NFKC")(_col(c))
+
+
+def is_full_width(c) -> Column:
+    """Every character is wide, full-width or of ambiguous width."""
+
+    @F.pandas_udf("boolean")
+    def run(v: pd.Series) -> pd.Series:
+        from unicodedata import east_asian_width
+
+        return pd.Series([None if x is None else all(east_asian_width(ch) in "WFA" for ch in x) for x in v], dtype=object)
+
+    return run(_col(c))
+
+
+#: Rhymes by spelling. <...> is a vowel with any tone, <...!> one with an acute or a dot only.
+RHYMES = (
+    "<aeêioôơuưy>", "<o>[ae]", "<u>[êy]", "o<ae>", "u<êy>",
+    "(<ăâeou!>|i<ê!>|o?<a!>|u?<ô!>|ư<ơ!>)[cpt]", "<êiơ!>[pt]", "(<ư!>|o<ă!>)[ct]", "o<o!>c", "(o<e!>|u<â!>|uy<ê!>?)t", "(<êi!>|o?<a!>|u<êy!>)ch",
+    "(<iuư>|uy)a", "(<ouư>|o?<a>|u?<ô>|ư?<ơ>)i", "o?<ae>o", "(<aâiư>|u<y>|ư<ơ>|i?<ê>)u", "(o?<a>|u?<â>)y",
+    "(<âeouư>|o?<aă>|i<ê>|u?<ô>|ư<ơ>)(m|ng?)", "(<êiơ>|o<e>)[mn]", "u<â>ng?", "uy<ê>?n", "o<o>ng", "(<êi>|o?<a>|u<êy>)nh",
+)
+
+
+def rhyme_pattern() -> str:
+    """All rhymes as one pattern; letters with tones are composed from their base letter and the tone's mark."""
+    from unicodedata import normalize
+
+    def letters(m: re.Match) -> str:
+        marks = ["\u0301", "\u0323"] if m[2] else ["", "\u0300", "\u0301", "\u0309", "\u0303", "\u0323"]
+        return "[" + "".join(normalize("NFC", b + t) for b in m[1] for t in marks) + "]"
+
+    return "^(?:" + "|".join(re.sub(r"<([^<>!]+)(!?)>", letters, p) for p in RHYMES) + ")$"
+
+
+def rhyme(c) -> Column:
+    """A valid rhyme without its tone; null for any other text."""
+    x = _col(c)
+    return F.when(x.rlike(rhyme_pattern()), without_tone(x))
+
+
 def match_case(shape, word) -> Column:
     """``word`` in the case of ``shape``: all capitals, a capital first, or as it is."""
     s, w = _col(shape), _col(word)

@@ -46,3 +46,15 @@ def to_blocks(messages: DataFrame, session: str, seq: str, role: str, content: s
     t = t.groupBy("s", "g").agg(F.first("r").alias("r"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]), "\n").alias("c"))
     t = t.groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "r", "c"))), lambda x: F.struct(x["r"].alias("role"), x["c"].alias("text"))).alias("turns"))
     return t.join(system, "s", "left").select(F.col("s").alias(session), "system", "turns")
+
+
+def parsed_json(raw: str) -> list[Column]:
+    """success, and the value in its variant form (null if the text is no JSON)."""
+    v = F.try_parse_json(F.col(raw))
+    return [v.isNotNull().alias("success"), F.to_json(v).alias("data")]
+
+
+def clock(ts: str) -> list[Column]:
+    """Date, time, weekday and epoch seconds of an instant, in the session's time zone."""
+    t = F.col(ts)
+    return [F.date_format(t, "yyyy-MM-dd").alias("date"), F.date_format(t, "HH:mm:ss").alias("time"), F.date_format(t, "EEEE").alias("weekday"), F.unix_timestamp(t).alias("epoch")]

@@ -97,3 +97,21 @@ def quality_score(text: str) -> Column:
     density = F.when(sents == 0, 0.0).otherwise(F.least(F.greatest(1 - F.abs(n / sents - 100) / 200, F.lit(0.0)), F.lit(1.0)))
     penalty = F.least(F.regexp_count(text, F.lit(r"[\[\]{}<>|=]")).cast("double") / 50, F.lit(1.0))
     return F.greatest(F.lit(1), F.least(F.lit(10), F.round(1 + 9 * (0.4 * size + 0.3 * count + 0.3 * density) - 2 * penalty))).cast("int")
+
+
+def _without_tags(c: Column, to: str) -> Column:
+    return F.trim(F.regexp_replace(c, "<[^>]+>", to))
+
+
+def paper_fields(url: str, html: str) -> list[Column]:
+    """Id, title, authors and abstract of a paper's page; the id stands for a missing title."""
+    number = F.nullif(F.regexp_extract(url, r"(\d{4}\.\d{4,5})", 1), F.lit(""))
+    inner = lambda cls, end: F.regexp_extract(html, rf'(?is)class="{cls}"[^>]*>(.*?)</{end}>', 1)
+    title = _without_tags(inner('title[^"]*', "h1"), " ")
+    return [number.alias("paper_id"), F.coalesce(F.nullif(title, F.lit("")), number).alias("title"), _without_tags(inner("authors", "div"), "").alias("authors"), _without_tags(inner('abstract[^"]*', "blockquote"), "").alias("abstract")]
+
+
+def post_fields(url: str) -> list[Column]:
+    """Account, number and file name of a post's address; nulls if it is none."""
+    part = lambda k: F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]+/([^/?#]+)/status/([^/?#]+)", k), F.lit(""))
+    return [part(1).alias("account"), part(2).alias("post_id"), F.concat(part(1), F.lit("-"), part(2), F.lit(".md")).alias("file_name")]

@@ -40,6 +40,22 @@ def is_tree(heads: Column, projective: bool = False, multiroot: bool = False) ->
     return ok & is_projective(heads) if projective else ok
 
 
+def next_siblings(heads: Column) -> Column:
+    """For each 1-based token, the next one on the same side of the same head, seen from the head outwards; -1 if none.
+
+    Heads below 0 are unknown. A token whose sibling lies nearer to their common head is named by that sibling instead.
+    """
+    h = F.transform(heads, lambda x: x.cast("int"))
+    n = F.size(h)
+    at = lambda i: F.get(h, i - 1)
+    side = lambda i: F.signum((at(i) - i).cast("double"))
+    spots = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    later = lambda i: F.get(F.filter(spots, lambda j: (j > i) & (at(i) >= 0) & (at(j) == at(i)) & (side(i) * side(j) > 0)), F.lit(0))
+    pairs = F.filter(F.transform(spots, lambda i: F.struct(i.alias("i"), later(i).alias("j"))), lambda p: p["j"].isNotNull())
+    named = F.transform(pairs, lambda p: F.when(F.abs(at(p["i"]) - p["i"]) > F.abs(at(p["j"]) - p["j"]), p).otherwise(F.struct(p["j"].alias("i"), p["i"].alias("j"))))
+    return F.transform(spots, lambda i: F.coalesce(F.get(F.reverse(F.filter(named, lambda p: p["i"] == i)), F.lit(0))["j"], F.lit(-1)))
+
+
 def _cycle(head: np.ndarray) -> list[int] | None:
     seen = np.zeros(len(head), int)
     for start in range(1, len(head)):
@@ -158,3 +174,39 @@ def decode(scores: Column, kind: str = "mst") -> Column:
         return pd.Series([f([list(r) for r in x]) for x in v], dtype=object)
 
     return run.asNondeterministic()(scores)
+
+
+def cky(scores) -> list[tuple[int, int]]:
+    """Spans of the best binary tree over scores[from][to] of spans between fences 0 to n, in pre-order; ties to the first split."""
+    s = np.array(scores, float)
+    n = len(s) - 1
+    if n < 1:
+        return []
+    best, cut = np.zeros_like(s), np.zeros(s.shape, int)
+    for w in range(1, n + 1):
+        for i in range(n + 1 - w):
+            j = i + w
+            if w > 1:
+                inner = best[i, i + 1 : j] + best[i + 1 : j, j]
+                k = int(inner.argmax())
+                best[i, j], cut[i, j] = inner[k], i + 1 + k
+            best[i, j] += s[i, j]
+    out, todo = [], [(0, n)]
+    while todo:
+        i, j = todo.pop()
+        out.append((i, j))
+        if j > i + 1:
+            todo += [(int(cut[i, j]), j), (i, int(cut[i, j]))]
+    return out
+
+
+def constituents(scores: Column) -> Column:
+    """array<struct<start, stop>> of array<array<double>> span scores."""
+
+    @F.pandas_udf("array<struct<start:int,stop:int>>")
+    def run(v):
+        import pandas as pd
+
+        return pd.Series([None if x is None else [{"start": a, "stop": b} for a, b in cky([list(r) for r in x])] for x in v], dtype=object)
+
+    return run.asNondeterministic()(scores)

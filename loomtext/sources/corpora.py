@@ -41,6 +41,39 @@ def read_wiki(spark: SparkSession, path: str) -> DataFrame:
     return d.select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
 
 
+def folder_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, modified) of all files under a folder, by relative path; contents are not read."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    root = path.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
+    return d.select(F.element_at(F.split("path", root, 2), -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def list_directory(tree: DataFrame, directory: str = "", suffixes: tuple[str, ...] = ("md", "txt", "html", "json", "csv")) -> DataFrame:
+    """(name, is_dir, size, modified) of one folder of a tree: folders (with a closing /) and files of these suffixes, by name.
+
+    Hidden entries are left out.
+    """
+    base = directory.strip("/") + "/" if directory.strip("/") else ""
+    rest = F.substring(F.col("path"), len(base) + 1, 1_000_000)
+    d = tree.where(F.col("path").startswith(base)).withColumn("_r", rest).withColumn("is_dir", F.contains(F.col("_r"), F.lit("/")))
+    d = d.withColumn("name", F.when(F.col("is_dir"), F.concat(F.substring_index("_r", "/", 1), F.lit("/"))).otherwise(F.col("_r"))).where(~F.col("name").startswith("."))
+    d = d.where(F.col("is_dir") | F.substring_index("name", ".", -1).isin(*suffixes) & F.contains(F.col("name"), F.lit(".")))
+    own = lambda c: F.when(~F.col("is_dir"), F.max(c))
+    return d.groupBy("name", "is_dir").agg(own("size").alias("size"), own("modified").alias("modified")).orderBy("name")
+
+
+def missing_paths(sample: DataFrame, current: DataFrame) -> DataFrame:
+    """(path) of the sample tree's files that the current tree lacks."""
+    return sample.join(current, "path", "left_anti").select("path").orderBy("path")
+
+
+def write_articles(pages: DataFrame, path: str, most: int = 10_000, compression: str = "none") -> None:
+    """<doc> blocks of (id, title, url, text), at most ``most`` articles a file."""
+    head = F.format_string('<doc id="%s" url="%s" title="%s">\n', F.col("id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")))
+    block = F.concat(head, F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n</doc>\n"))
+    pages.select(block.alias("value")).write.option("maxRecordsPerFile", most).option("compression", compression).text(path)
+
+
 def read_traces(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
     """The newest traces of a folder of JSON files."""
     d = spark.read.option("multiLine", "true").json(path).withColumn("modified", F.col("_metadata.file_modification_time"))
