@@ -3,7 +3,8 @@
 Every distinct fingerprint emits all variants within half the radius (2 of 4 bits: 2,081 of them). Two fingerprints that
 differ in at most 4 bits share a variant, and two that share one differ in at most 4: the candidate set is exact.
 Variants are shuffled by their leading bits: a row (prefix, fingerprint) stands for all variants of that fingerprint
-under that prefix, so 79 rows travel where 2,081 would, and the rest is spelled out in the receiving task. There
+under that prefix, so 79 rows travel where 2,081 would, and the rest is spelled out in the receiving task. Prefixes that
+very many near copies share are split by further bits. There
 colliding fingerprints are linked to the smallest of their variant (a star, never all pairs), links are deduplicated and
 verified by their bit distance and reduced to a forest. Components follow by star contraction over the fingerprints.
 """
@@ -27,6 +28,11 @@ SHINGLE = 4
 SEED = 42
 #: Variants spelled out at once in a task, about.
 CHUNK = 500_000
+#: Variants under one prefix from which on it is split by its next STEP bits: among tasks, then within a task.
+HEAVY = 8_000_000
+STEP = 8
+#: Heavy prefixes are broadcast up to this number (8 MB); beyond it the joins are shuffled.
+BROADCAST_PREFIXES = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -94,46 +100,86 @@ def _collisions(prefix: np.ndarray, fp: np.ndarray, bits: int, half: int) -> tup
     return forest(pairs[:, 0], pairs[:, 1]) if len(pairs) else (fp[:0], fp[:0])
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, bits: int | None = None) -> DataFrame:
-    """(src, dst) links that connect exactly the distinct ``fp`` values of a frame (fp long) within ``radius`` bits.
+def _weights(bits: int, half: int) -> list[int]:
+    """Variants that a row stands for, by the bits its prefix differs in."""
+    return [sum(comb(64 - bits, r) for r in range(half - d + 1)) for d in range(half + 1)]
 
-    ``bits`` (leading bits to shuffle on) follows from the number of fingerprints, so that the variants under one prefix
-    fit a task: 12, or more from about 100 million fingerprints on. It changes the layout, not the result.
-    """
-    spark, half = fps.sparkSession, radius // 2
-    ball = sum(comb(64, r) for r in range(half + 1))
-    n = fps.count()
-    if bits is None:
-        bits = min(28, max(12, ceil(log2(max(1, n) * ball / 64e6))))
-    parts = max(shuffle_partitions(spark), ceil(n * ball / 64e6))
+
+def _bounded_collisions(prefix: np.ndarray, fp: np.ndarray, bits: int, half: int, heavy: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_collisions``, of one prefix after another by its next bits where there are more than ``heavy`` variants."""
+    diff = np.bitwise_count((fp >> np.uint64(64 - bits)) ^ prefix)
+    if bits + STEP > 64 - STEP or np.array(_weights(bits, half))[diff].sum() <= heavy:
+        yield _collisions(prefix, fp, bits, half)
+        return
+    edges = [0, *(np.flatnonzero(np.diff(prefix)) + 1).tolist(), len(prefix)]
+    deep = bits + STEP
+    for a, z in zip(edges[:-1], edges[1:]):
+        head, mine = fp[a:z] >> np.uint64(64 - deep), fp[a:z]
+        for v in range(1 << STEP):
+            p = (prefix[a] << np.uint64(STEP)) | np.uint64(v)
+            near = mine[np.bitwise_count(head ^ p) <= half]
+            if len(near) > 1:
+                yield from _bounded_collisions(np.full(len(near), p), near, deep, half, heavy)
+
+
+def _links_under(rows: DataFrame, bits: int, half: int, parts: int, heavy: int) -> DataFrame:
+    """(src, dst) links of rows (prefix, fp), prefixes of this many bits."""
+    per_row = sum(comb(64, r) for r in range(half + 1)) / sum(comb(bits, r) for r in range(half + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_p, keep_f, size = [], [], 0
-        per_row = ball * 1.0 / sum(comb(bits, r) for r in range(half + 1))
 
         def out(p: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = _collisions(p, f, bits, half)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
+            for a, b in _bounded_collisions(p, f, bits, half, heavy):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["src", "dst"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             keep_p.append(batch.column(0).to_numpy().astype(np.uint64))
             keep_f.append(batch.column(1).to_numpy().view(np.uint64))
             size += batch.num_rows
-            if size * per_row >= CHUNK:
+            if size * per_row >= CHUNK and keep_p[0][0] != keep_p[-1][-1]:
                 p, f = np.concatenate(keep_p), np.concatenate(keep_f)
                 cut = int(np.searchsorted(p, p[-1]))
-                if cut:
-                    yield from out(p[:cut], f[:cut])
+                yield from out(p[:cut], f[:cut])
                 keep_p, keep_f, size = [p[cut:]], [f[cut:]], len(p) - cut
         if size:
             yield from out(np.concatenate(keep_p), np.concatenate(keep_f))
 
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(bits, half)])
-    rows = fps.select(F.explode(masks).alias("m"), "fp").select(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("m")).alias("prefix"), "fp")
     return rows.repartition(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(run, "src long, dst long")
 
 
+def near_links(fps: DataFrame, radius: int = RADIUS, bits: int | None = None, heavy: int = HEAVY) -> DataFrame:
+    """(src, dst) links that connect exactly the distinct ``fp`` values of a frame (fp long) within ``radius`` bits.
+
+    ``bits`` (leading bits to shuffle on) follows from the number of fingerprints, so that the variants under one prefix
+    fit a task: 12, or more from about 100 million fingerprints on. A prefix with more than ``heavy`` variants (very many
+    near copies) goes by STEP more bits to as many tasks, and by more within a task. Neither changes the result.
+    """
+    spark, half = fps.sparkSession, radius // 2
+    ball = sum(comb(64, r) for r in range(half + 1))
+    n = fps.count()
+    if bits is None:
+        bits = min(28, max(12, ceil(log2(max(1, n) * ball / 64e6))))
+    parts = max(shuffle_partitions(spark), ceil(n * ball / 64e6))
+    masks = F.array(*[F.lit(m).cast("long") for m in _masks(bits, half)])
+    rows = fps.select(F.explode(masks).alias("m"), "fp").select(F.shiftrightunsigned("fp", 64 - bits).bitwiseXOR(F.col("m")).alias("prefix"), "fp", F.bit_count("m").alias("d"))
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in _weights(bits, half)]), F.col("d"))
+    crowded = materialize(rows.groupBy("prefix").agg(F.sum(weight).alias("w")).where(F.col("w") > heavy).select("prefix"))
+    many = crowded.count()
+    if not many:
+        return _links_under(rows.select("prefix", "fp"), bits, half, parts, heavy)
+    side = F.broadcast(crowded) if many <= BROADCAST_PREFIXES else crowded
+    light = rows.join(side, "prefix", "left_anti").select("prefix", "fp")
+    more = F.array(*[F.lit(m).cast("long") for m in _masks(STEP, half)])
+    split = rows.join(side, "prefix", "left_semi").select("prefix", "fp", "d", F.explode(more).alias("m")).where(F.col("d") + F.bit_count("m") <= half)
+    tail = F.shiftrightunsigned("fp", 64 - bits - STEP).bitwiseAND(F.lit((1 << STEP) - 1).cast("long")).bitwiseXOR(F.col("m"))
+    split = split.select(F.shiftleft("prefix", STEP).bitwiseOR(tail).alias("prefix"), "fp")
+    return _links_under(light, bits, half, parts, heavy).unionByName(_links_under(split, bits + STEP, half, parts, heavy))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id_col, fp, component): component is the smallest id reachable over fingerprints within ``radius`` bits.
 
@@ -142,7 +188,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are not read. An empty table gives an empty result.
     """
     each = materialize(with_fingerprints(docs, id_col, text_col))
-    reps = each.groupBy("fp").agg(F.min("id").alias("rep"))
+    reps = materialize(each.groupBy("fp").agg(F.min("id").alias("rep")))
     found = connected_components(near_links(reps.select("fp"), radius))
     rooted = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     label = rooted.groupBy("root").agg(F.min("rep").alias("component"))

@@ -132,3 +132,38 @@ def test_components_of_long_chains(spark):
 def test_forest():
     a, b = forest(np.array([5, 9, 9, 2]), np.array([9, 7, 7, 1]))
     assert sorted(zip(a.tolist(), b.tolist())) == [(2, 1), (7, 5), (9, 5)]
+
+
+def test_crowded_prefixes_are_split_alike(spark):
+    """A third of all fingerprints lies around one centre; small bounds split its prefixes among tasks and within them."""
+    rng = random.Random(4)
+    centre = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    while len(fps) < 160:
+        x = centre
+        for b in rng.sample(range(64), rng.choice([1, 2, 6, 7, 9])):
+            x ^= 1 << b
+        fps.add(x)
+    fps = sorted(fps)
+    comp = {x: x for x in fps}
+
+    def root(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 4:
+                comp[root(x)] = root(y)
+    groups = {}
+    for x in fps:
+        groups.setdefault(root(x), set()).add(x)
+    want = sorted(sorted(g) for g in groups.values() if len(g) > 1)
+    assert max(map(len, want)) > 20
+    d = spark.createDataFrame([(int(np.array(x, np.uint64).view(np.int64)),) for x in fps], "fp long")
+    for heavy in (simhash.HEAVY, 20_000, 500):
+        found = {}
+        for r in connected_components(simhash.near_links(d, heavy=heavy)).collect():
+            found.setdefault(r.component, set()).add(r.node & (2**64 - 1))
+        assert sorted(sorted(g) for g in found.values()) == want
