@@ -213,3 +213,19 @@ def test_fasttext_line():
     assert ids[0] == 0 and 1 in ids and max(ids) < 12
     p = fasttext_predict(ids, np.ones((12, 2)), np.array([[1.0, 0.0], [0.0, 2.0]]), ["a", "b"], 2)
     assert [x[0] for x in p] == ["b", "a"] and abs(sum(x[1] for x in p) - 1) < 1e-12
+
+
+def test_folder_tree_and_articles(spark, tmp_path):
+    from loomtext.sources import corpora as C
+
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, text in (("x.md", "one"), ("a/y.txt", "two"), ("a/b/z.md", "three"), ("a/.hid.md", ""), ("a/w.bin", "-")):
+        (tmp_path / name).write_text(text)
+    tree = C.folder_tree(spark, str(tmp_path))
+    top = [(r.name, r.is_dir, r.size) for r in C.list_directory(tree).collect()]
+    assert top == [("a/", True, None), ("x.md", False, 3)]
+    assert [r.name for r in C.list_directory(tree, "a").collect()] == ["b/", "y.txt"]
+    pages = spark.createDataFrame([(1, "T", None, "t1"), (2, None, "u", None)], "id long, title string, url string, text string").coalesce(1)
+    C.write_articles(pages, str(tmp_path / "out"), most=1)
+    parts = sorted(p.read_text() for p in (tmp_path / "out").glob("part-*"))
+    assert len(parts) == 2 and parts[0].startswith('<doc id="1" url="" title="T">\nT\n\nt1\n</doc>')
