@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are divided by the largest norm and get one more component that makes them unit vectors, so that the largest inner
-product is the nearest unit vector also where norms differ. In each of TABLES tables a pseudo-rotation (three rounds of
+Rows are parted into bands of like norms. A band's vectors are divided by its largest norm and get one more component that
+makes them unit vectors, so that the largest inner product is the nearest unit vector also where norms differ; few rows of
+other norms do not turn a band's rows to that component. In each of TABLES tables a pseudo-rotation (three rounds of
 random signs and a fast Hadamard transform) takes a vector to the nearest signed axis, its bucket. A query probes the
-PROBES axes that its own rotation is nearest to, in every table. Each bucket is met in blocks of bounded size on both
+PROBES axes that its own rotation is nearest to, in every table of every band. Bands of at most EXACT rows meet every query. Each bucket is met in blocks of bounded size on both
 sides; a block keeps each query's best, by exact inner products of the original vectors, and the best over all are merged.
 No candidate is capped: a bucket's best k are the only ones of it that can be among the best k of all.
 """
@@ -25,6 +26,10 @@ PROBES = 24
 SEED = 5
 #: Rows of a bucket that meet in one block, on either side.
 BLOCK = 4096
+#: Norms are counted in bins of 1/BINS octave; a band is BINS bins from its largest norm down.
+BINS = 8
+#: Rows of a band that is compared with every query instead of hashed: the few rows of the largest norms are near to no query by angle.
+EXACT = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,11 +57,24 @@ def _rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return x
 
 
-def _lift(x: np.ndarray, top: float | None) -> np.ndarray:
-    """Unit vectors of the padded width; ``top`` is the largest norm for rows, None for queries."""
+def _bands(bins: list[tuple[int, float, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (bin, largest norm, rows): the bands' lowest norms, largest norms and rows, ascending."""
+    out: list[list] = []
+    for at, top, n in sorted(bins, reverse=True):
+        if out and at > out[-1][0] - BINS:
+            out[-1][2] += n
+            out[-1][3] = at
+        else:
+            out.append([at, top, n, at])
+    out.reverse()
+    return np.array([2.0 ** (b[3] / BINS) for b in out]), np.array([b[1] for b in out]), np.array([b[2] for b in out])
+
+
+def _lift(x: np.ndarray, top: np.ndarray | None) -> np.ndarray:
+    """Unit vectors of the padded width; ``top`` is the largest norm of each row's band, None for queries."""
     norm = np.linalg.norm(x, axis=1)
     out = np.zeros((len(x), _width(x.shape[1])))
-    out[:, : x.shape[1]] = x / (norm[:, None] if top is None else top)
+    out[:, : x.shape[1]] = x / (norm if top is None else top)[:, None]
     if top is not None:
         out[:, x.shape[1]] = np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))
     return out
@@ -66,6 +84,7 @@ def _best(qv: np.ndarray, xv: np.ndarray, qid: np.ndarray, xid: np.ndarray, k: i
     """Of each query the k best rows but itself: (query, row, exact score). Equal vectors get equal scores."""
     s = qv @ xv.T
     s[qid[:, None] == xid[None, :]] = -np.inf
+    k += len(xid) - len(np.unique(xid))  # repeated rows of an id take no other's place
     if s.shape[1] > k:
         edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         edge = edge - 1e-9 * np.maximum(1.0, np.abs(edge))
@@ -108,8 +127,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     if not dims:
         return spark.createDataFrame([], empty)
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    top = base.agg(F.max(F.sqrt(norm2))).first()[0]
+    norm = base.select(F.sqrt(norm2).alias("norm"))
+    bins = norm.groupBy(F.floor(F.log2(F.greatest("norm", F.lit(1e-300))) * BINS).alias("bin")).agg(F.max("norm"), F.count("*")).collect()  # a bin is 1/BINS octave
+    low, top, size = _bands([tuple(b) for b in bins])
     width, signs = _width(dims), rotations(tables, _width(dims), seed)
+    buckets = tables * 2 * width
     ask = clean(queries).where(F.size("v") == dims)
 
     def code(is_query: bool):
@@ -117,27 +139,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for b in batches:
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
-                    x = _lift(matrix(part.column(1), dims), None if is_query else top)
+                    x = matrix(part.column(1), dims)
+                    band = None if is_query else np.maximum(np.searchsorted(low, np.linalg.norm(x, axis=1), side="right") - 1, 0)
+                    x = _lift(x, None if is_query else top[band])
                     out = []
                     for s in signs:
                         y = _rotate(x, s)
                         axis = np.argpartition(-np.abs(y), probes - 1, axis=1)[:, :probes] if is_query and probes < width else (np.argsort(-np.abs(y), axis=1)[:, :probes] if is_query else np.argmax(np.abs(y), axis=1)[:, None])
                         out.append(2 * axis + (np.take_along_axis(y, axis, 1) > 0))
-                    codes = np.concatenate([c + t * 2 * width for t, c in enumerate(out)], axis=1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(codes), pa.list_(pa.int32()))], names=["id", "v", "codes"])
+                    codes = np.concatenate([c + t * 2 * width for t, c in enumerate(out)], axis=1).astype(np.int64)
+                    if is_query:
+                        codes = [*np.insert(codes, 0, -1, axis=1)]
+                    else:
+                        codes = [c if n > EXACT else c[:1] * 0 - 1 for c, n in zip(codes + band[:, None] * buckets, size[band])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.list_(pa.int64()))], names=["id", "v", "codes"])
 
         return run
 
     kind = base.schema["v"].dataType.simpleString()
-    rows = materialize(base.mapInArrow(code(False), f"id long, v {kind}, codes array<int>"))
-    asks = materialize(ask.mapInArrow(code(True), f"id long, v {kind}, codes array<int>"))
+    rows = materialize(base.mapInArrow(code(False), f"id long, v {kind}, codes array<long>"))
+    asks = materialize(ask.mapInArrow(code(True), f"id long, v {kind}, codes array<long>"))
     count = lambda df, n: df.select(F.explode("codes").alias("c")).groupBy("c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
-    # At most tables * 2 * width rows.
-    blocks = F.broadcast(materialize(count(rows, "nx").join(count(asks, "nq"), "c")))
+    # At most bands * tables * 2 * width rows. A query's code p is that of a bucket in every band; -1: the rows of small bands.
+    in_band = F.when(F.col("c") < 0, F.col("c")).otherwise(F.col("c") % buckets)
+    blocks = F.broadcast(materialize(count(rows, "nx").withColumn("p", in_band).join(count(asks, "nq").withColumnRenamed("c", "p"), "p")))
     own = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = rows.select("id", "v", F.explode("codes").alias("c")).join(blocks, "c").select("c", own("nx", 1).alias("bx"), each("nq").alias("bq"), F.lit(1).alias("side"), "id", "v")
-    q = asks.select("id", "v", F.explode("codes").alias("c")).join(blocks, "c").select("c", each("nx").alias("bx"), own("nq", 2).alias("bq"), F.lit(0).alias("side"), "id", "v")
+
+    def meet(x: DataFrame, q: DataFrame) -> DataFrame:
+        """(query_id, id, score) of the best in each block; both sides have id, v, c, nx, nq."""
+        x = x.select("c", own("nx", 1).alias("bx"), each("nq").alias("bq"), F.lit(1).alias("side"), "id", "v")
+        q = q.select("c", each("nx").alias("bx"), own("nq", 2).alias("bq"), F.lit(0).alias("side"), "id", "v")
+        met = q.unionByName(x).repartition("c", "bx", "bq").sortWithinPartitions("c", "bx", "bq", "side").mapInArrow(compare, "query_id long, id long, score double")
+        return met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple] = []
@@ -179,7 +213,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         if kept:
             yield out(_top(*(np.concatenate(x) for x in zip(*kept)), k))
 
-    met = q.unionByName(x).repartition("c", "bx", "bq").sortWithinPartitions("c", "bx", "bq", "side").mapInArrow(compare, "query_id long, id long, score double")
-    once = met.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def ranked(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+    x = rows.select("id", "v", F.explode("codes").alias("c")).join(blocks, "c")
+    q = asks.select("id", "v", F.explode("codes").alias("p")).join(blocks, "p")
+    return ranked(meet(x, q))

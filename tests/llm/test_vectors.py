@@ -94,6 +94,25 @@ def test_search_recall_on_unequal_norms(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["outlier", "lognormal", "unit"])
+def test_search_recall_whatever_the_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "outlier":
+        x[17] *= 100
+    elif norms == "lognormal":
+        x *= np.exp(rng.standard_normal((4000, 1)))
+    x = x.astype(np.float32)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect()}
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    want = {(q, int(k)) for q in range(0, 4000, 20) for k in np.argsort(-s[q])[:20]}
+    print(norms, len(got & want) / len(want), len(got), len(want))
+    assert len(got & want) / len(want) >= 0.9
+
+
 def test_search_of_little(spark):
     df = frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0])])
     got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
