@@ -219,4 +219,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     x = rows.select("id", "v", F.explode("codes").alias("c")).join(blocks, "c")
     q = asks.select("id", "v", F.explode("codes").alias("p")).join(blocks, "p")
-    return ranked(meet(x, q))
+    found = materialize(ranked(meet(x, q)))
+    # Queries that met too few rows are compared with all of them.
+    least = min(k, rows.select("id").distinct().count())
+    full = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    short = materialize(asks.select("id", "v").join(full, "id", "left_anti"))
+    n_short = short.count()
+    if not n_short:
+        return found
+    grid = {"c": F.lit(-1), "nx": F.lit(-(-int(size.sum()) // BLOCK)), "nq": F.lit(-(-n_short // BLOCK))}
+    rest = ranked(meet(rows.select("id", "v").withColumns(grid), short.withColumns(grid)))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(*rest.columns).unionByName(rest)

@@ -110,9 +110,29 @@ def test_search_recall_whatever_the_norms(spark, norms):
     np.fill_diagonal(s, -np.inf)
     want = {(q, int(k)) for q in range(0, 4000, 20) for k in np.argsort(-s[q])[:20]}
     print(norms, len(got & want) / len(want), len(got), len(want))
+    assert len(got) == len(want)
     assert len(got & want) / len(want) >= 0.9
 
 
+@pytest.mark.parametrize("exact", [1024, 0])
+@pytest.mark.parametrize("n", [15, 21, 60])
+def test_search_fills_up(spark, monkeypatch, n, exact):
+    monkeypatch.setattr(ann, "EXACT", exact, raising=False)
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = ann.nearest(df, df).collect()
+    assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in range(n) for k in range(1, min(20, n - 1) + 1)]
+    if n <= 21:
+        assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(n) for i in range(n) if i != q}
+
+
+def test_search_of_few_is_whole(spark):
+    df = frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0]), (3, [-1.0, 0.0])] + [(2, [0.9, 0.0])] * 30)
+    got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got} == {(20, 1, 2, 0.9), (20, 2, 1, 0.5), (20, 3, 3, -1.0)}
+
+
 def test_search_of_little(spark):
     df = frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0])])
     got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
