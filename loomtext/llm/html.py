@@ -3,7 +3,8 @@
 Every page scores its containers by the text in them and votes for the best one's generalised path (tags and classes,
 numbers replaced). Votes are summed per host in Spark, and each page is extracted again with its host's winning path; a
 page on which that path has no text uses its own best. Whatever is a menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment by tag, role or class is left out in either pass.
+script, style or reader comment by tag, role or class is left out in either pass. Noise is told by whole class names; an
+article or main inside something that a class or role names as noise is kept, and the body always begins anew.
 """
 
 from __future__ import annotations
@@ -33,11 +34,13 @@ _ATTR = re.compile(r"""([a-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _CONTAINERS = frozenset("html body div section article main aside nav header footer form table tbody thead tfoot tr td th ul ol dl menu figure fieldset details blockquote center dialog".split())
 _BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption summary caption legend hgroup".split())
 _DROPPED = frozenset("nav aside footer form menu dialog button head".split())
+#: Why a container is dropped. An article begins anew inside FORM ones, a main also inside TAG ones; HIDDEN ones hide it too.
+FORM, TAG, HIDDEN = 1, 2, 3
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menus?|sub-?menu|sidebars?|side-?bar|aside|ads?|adverts?|advertisements?|ad-?(?:box|slot|unit|banner|container|wrapper)|adsbygoogle|banners?|promos?|promotion|sponsor(?:ed|s)?"
+    r"(?:nav|navbar|navigation|menus?|sub-?menu|sidebars?|side-?bar|aside|ads?|adverts?|advertisements?|ad-?(?:box|slot|unit|banner|container|wrapper)|adsbygoogle|banners?|promos?|promotion|sponsor(?:ed|s)?"
     r"|cookies?|cookie-?(?:bar|banner|notice|consent)|consent|gdpr|notices?|alerts?|footers?|foot|site-?(?:header|footer|nav)|page-?(?:header|footer)|headers?|masthead|topbar|top-?bar|bottom-?bar|comments?|comment-?(?:list|form|section|area)|commentlist|replies|respond|disqus"
-    r"|share|sharing|social|related|recommend(?:ed|ations)?|read-?more|more-?(?:posts|stories)|newsletter|subscribe|subscription|sign-?up|login|search|search-?(?:form|box)|breadcrumbs?|pagination|pager|pages|popup|pop-?up|modal|overlay|widgets?|toolbar|tags|tag-?(?:list|cloud)|byline-?share|skip-?link|hidden|sr-only|visually-hidden|toc|legal|copyright|disclaimer)(?:$|[\s_-])",
+    r"|share|sharing|social|related|recommend(?:ed|ations)?|read-?more|more-?(?:posts|stories)|newsletter|subscribe|subscription|sign-?up|login|search|search-?(?:form|box)|breadcrumbs?|pagination|pager|pages|popup|pop-?up|modal|overlay|widgets?|toolbar|tags|tag-?(?:list|cloud)|byline-?share|skip-?link|hidden|sr-only|visually-hidden|toc|legal|copyright|disclaimer)",
     re.I,
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
@@ -47,7 +50,7 @@ _DIGITS = re.compile(r"\d+")
 def blocks(html: str) -> list[tuple[str, str, int, str]]:
     """(container path, text, characters in links, tag) of a page's text blocks that aren't noise, in page order."""
     out: list[tuple[str, str, int, str]] = []
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, dropped
+    stack: list[tuple[str, str, int]] = [("", "", 0)]  # tag, path, why dropped
     buf: list[str] = []
     link, in_link, tag_now = 0, False, ""
 
@@ -72,6 +75,9 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if stack[-1][0] == "head" and not m["end"] and (tag in _CONTAINERS or tag in _BREAKS):
+            flush()
+            del stack[-1]  # its end tag may be left out
         if tag == "a":
             in_link = not m["end"]
         elif tag in ("br", "img", "input"):
@@ -91,18 +97,28 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
                         break
                 continue
             raw = m["attrs"]
-            label, drop = "", stack[-1][2] or tag in _DROPPED
-            role = ""
+            label, role = "", ""
+            drop = 0 if tag not in _DROPPED else FORM if tag in ("form", "head") else TAG
             if raw and not raw.isspace():
                 a = {k.lower(): unescape(x or y or z or "") for k, x, y, z in _ATTR.findall(raw)}
                 role = a.get("role", "").lower()
-                names = f"{a.get('class', '')} {a.get('id', '')}"
+                names = f"{a.get('class', '')} {a.get('id', '')}".split()
                 label = ".".join(sorted(_DIGITS.sub("#", c.lower()) for c in a.get("class", "").split()))
                 style = a.get("style", "").replace(" ", "").lower()
                 good = tag in ("article", "main", "body", "html") or role == "main"
-                drop = drop or role in _ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or (not good and bool(_NOISE.search(names)))
+                if role in _ROLES or (not good and any(map(_NOISE.fullmatch, names))):
+                    drop = max(drop, FORM)
+                if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
+                    drop = HIDDEN
             if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
-                drop = True
+                drop = max(drop, TAG)
+            above = stack[-1][2]
+            if tag == "body":
+                drop = above = 0
+            elif above and (tag in ("article", "main") or role == "main") and not any(s[0] in ("article", "main") and not s[2] for s in stack):
+                # Articles in the noise of an article are comments and teasers.
+                above = 0 if above <= (FORM if tag == "article" else TAG) else above
+            drop = max(drop, above)
             path = stack[-1][1]
             own = tag + ("." + label if label else "") + ("!main" if role == "main" else "")
             stack.append((tag, f"{path}>{own}" if path else own, drop))
@@ -113,7 +129,7 @@ def blocks(html: str) -> list[tuple[str, str, int, str]]:
 
 
 def _noise(text: str, link: int, tag: str) -> bool:
-    """Lists and bare containers of links are menus, wherever they stand."""
+    """Lists and bare containers of links are menus outside the article."""
     return link > 0.8 * len(text) and tag in ("li", "", "dt", "dd")
 
 
@@ -149,12 +165,19 @@ def _inside(path: str, root: str) -> bool:
     return path == root or path.startswith(root + ">")
 
 
+def _taken(found: list[tuple[str, str, int, str]], root: str) -> list[str]:
+    """The texts under ``root``. Where that is the whole page, menus outside its articles are left out."""
+    page = root.rpartition(">")[2].partition(".")[0] in ("", "html", "body")
+    article = re.compile(r">(?:article|main)(?:[.>!]|$)|!main(?:>|$)")
+    return [t for p, t, k, g in found if _inside(p, root) and not (page and _noise(t, k, g) and not article.search(p))]
+
+
 def main_text(html: str | None, path: str | None = None) -> str:
     """The blocks under ``path``, or under the page's own best container if that holds none, joined by newlines."""
     found = blocks(html or "")
-    took = [t for p, t, k, g in found if path is not None and _inside(p, path) and not _noise(t, k, g)]
+    took = _taken(found, path) if path is not None else []
     if not took and (own := best_path(found)):
-        took = [t for p, t, k, g in found if _inside(p, own[0]) and not _noise(t, k, g)]
+        took = _taken(found, own[0])
     return "\n".join(took)
 
 

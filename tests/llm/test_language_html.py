@@ -96,6 +96,35 @@ def test_article_without_noise(shape):
     assert html.main_text(page) == WANT
 
 
+LAYOUTS = ["<div class='layout no-sidebar'>{}</div>", "<div class='has-sidebar'>{}</div>", "<div class='elementor-widget'>{}</div>", "<div class='widget'>{}</div>", "<form id='f1'><div class='page'>{}</div></form>", "<nav><ul><li><a href='/'>Home</a></ul>{}"]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_article_in_a_layout(layout, tag):
+    if (tag != "main" and "<nav>" in layout) or (tag == "div" and ("'widget'" in layout or "<form" in layout)):
+        pytest.skip("only named tags begin anew there")
+    page = "<!DOCTYPE html><html><head><title>T</title></head><body>" + NOISE[0] + layout.format(f"<{tag}>{ARTICLE}</{tag}>") + NOISE[9] + "</body></html>"
+    assert html.main_text(page) == WANT
+
+
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_head_without_an_end(body):
+    assert html.main_text(f"<html><head><title>T</title><meta charset='utf-8'>{body}<article>{ARTICLE}</article>") == WANT
+
+
+def test_links_of_an_article_stay():
+    links = "<ul><li><a href='/1'>First source of it</a><li><a href='/2'>Second source of it</a></ul><div><a href='/3'>Bare link</a></div>"
+    assert html.main_text(f"<body><ul><li><a href='/'>Home</a></ul><article>{ARTICLE}{links}</article></body>") == WANT + "\nFirst source of it\nSecond source of it\nBare link"
+
+
+def test_comments_and_hidden_articles_stay_out():
+    inner = "<section class='comments'><article class='comment'><p>A comment of a reader.</p></article></section>"
+    assert html.main_text(f"<body><article>{ARTICLE}{inner}</article></body>") == WANT
+    assert html.main_text(f"<body><main><article>{ARTICLE}</article>{inner}</main></body>") == WANT
+    assert html.main_text(f"<body><article>{ARTICLE}</article><div hidden><article><p>{'Hidden words. ' * 99}</p></article></div></body>") == WANT
+
+
 def test_broken_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p>") == ""
     assert html.main_text("plain words only") == "plain words only"
