@@ -98,10 +98,31 @@ def crf_sequence_score(spark, sf_dir):
     return S.labelling_score(t, state, toy(spark)[1], ["doc_id"], "pos").withColumn("score", F.round("score", 6))
 
 
+#: Words that are decoded at once; a longer sentence is decoded in runs of so many, which see the words around them.
+RUN = 200
+
+
 def training_rows(spark, sf_dir):
-    t = S.context_features(tagged(spark, sf_dir), ["T[0]", "T[-1]", "T[0].istitle", "T[1]"], ["w"], ["doc_id"], "pos")
-    g = t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.array("f0", "f1", "f2", "f3").alias("f"), "tag", "w"))).alias("x"))
-    return g.select("doc_id", F.transform("x", lambda v: v["f"]).alias("feats"), F.transform("x", lambda v: v["tag"]).alias("gold"), F.transform("x", lambda v: v["w"]).alias("words"))
+    """(doc_id, start, opens, feats, gold, words): the sentences of whole texts, in runs of at most RUN words.
+
+    ``start`` is the place of a run's first word in the document's order, ``opens`` whether it begins a sentence. Texts are cut
+    at white space, which is in no word: the runs' words are the text's words. Features as of the templates T[0], T[-1],
+    T[0].istitle, T[1].
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?…])\s+|\n+")).alias("sent", "text"))
+    d = d.select("doc_id", "sent", X.simple_tokens("text").alias("w")).where("size(w) > 0")
+    title = lambda x: F.substring(x, 1, 1) == F.upper(F.substring(x, 1, 1))
+    feats = F.transform("w", lambda x, i: F.array(
+        F.concat(F.lit("T[0]="), x),
+        F.concat(F.lit("T[-1]="), F.coalesce(F.get("w", i - 1), F.lit("BOS"))),
+        F.concat(F.lit("T[0].istitle="), F.when(title(x), "True").otherwise("False")),
+        F.concat(F.lit("T[1]="), F.coalesce(F.get("w", i + 1), F.lit("EOS"))),
+    ))
+    gold = F.transform("w", lambda x: F.when(title(x), "B-W").otherwise("I-W"))
+    d = d.select("doc_id", "sent", "w", feats.alias("f"), gold.alias("g"), F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN).cast("int"))).alias("k"))
+    part = lambda c: F.slice(c, F.col("k") * RUN + 1, RUN)
+    start = F.col("sent").cast("long") * F.lit(1 << 32) + F.col("k") * RUN
+    return d.select("doc_id", start.alias("start"), (F.col("k") == 0).alias("opens"), part("f").alias("feats"), part("g").alias("gold"), part("w").alias("words"))
 
 
 @query()
@@ -115,11 +136,12 @@ def crf_train(spark, sf_dir):
 
 
 def segmented(spark, sf_dir):
-    """Word segmentation: tokens, features, decoded tags, words joined by underscores."""
+    """Word segmentation: tokens of whole texts, features, decoded tags, words joined by underscores."""
     rows = training_rows(spark, sf_dir)
     model = S.train_perceptron(rows.where("doc_id % 5 = 0"), "feats", "gold", 1)
-    got = S.decode(rows, model).select("doc_id", F.posexplode(F.arrays_zip("words", "tags")).alias("pos", "x")).select("doc_id", "pos", "x.words", "x.tags")
-    return S.merge_begins(got, ["doc_id"], "pos", "words", F.col("tags") == "B-W", "_")
+    got = S.decode(rows, model).select("doc_id", "start", "opens", F.posexplode(F.arrays_zip("words", "tags")).alias("i", "x"))
+    got = got.select("doc_id", (F.col("start") + F.col("i")).alias("pos"), (F.col("opens") & (F.col("i") == 0)).alias("first"), "x.words", "x.tags")
+    return S.merge_begins(got, ["doc_id"], "pos", "words", F.col("first") | (F.col("tags") == "B-W"), "_")
 
 
 @query()
