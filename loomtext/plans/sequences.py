@@ -136,9 +136,9 @@ def crf_train(spark, sf_dir):
 
 
 def segmented(spark, sf_dir):
-    """Word segmentation: tokens of whole texts, features, decoded tags, words joined by underscores."""
+    """Word segmentation: tokens of whole texts, features, decoded tags, words joined by underscores; trained on all rows."""
     rows = training_rows(spark, sf_dir)
-    model = S.train_perceptron(rows.where("doc_id % 5 = 0"), "feats", "gold", 1)
+    model = S.train_perceptron(rows, "feats", "gold", 1)
     got = S.decode(rows, model).select("doc_id", "start", "opens", F.posexplode(F.arrays_zip("words", "tags")).alias("i", "x"))
     got = got.select("doc_id", (F.col("start") + F.col("i")).alias("pos"), (F.col("opens") & (F.col("i") == 0)).alias("first"), "x.words", "x.tags")
     return S.merge_begins(got, ["doc_id"], "pos", "words", F.col("first") | (F.col("tags") == "B-W"), "_")

@@ -53,3 +53,10 @@ def test_segmented_texts_are_whole(spark, docs, name):
         mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.word_no)
         assert [r.word_no for r in mine] == list(range(len(mine)))
         assert "_".join(r.word for r in mine) == "_".join(words(text))
+
+
+@pytest.mark.parametrize("name", ["crf_train", "crf_likelihood_train"])
+def test_taggers_are_scored_on_all_odd_documents(spark, docs, name):
+    r = QUERIES[name](spark, docs).first()
+    assert r.sentences == Q.training_rows(spark, docs).where("doc_id % 2 = 1").count() == 3 + 1 + 2
+    assert 0 < r.accuracy <= 1
