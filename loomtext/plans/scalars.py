@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.functions import tables as T
@@ -236,8 +239,18 @@ def sentences_per_doc(spark, sf_dir):
 
 @query()
 def regex_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.posexplode(X.regex_tokens("text")).alias("pos", "x"))
-    return d.select("doc_id", "pos", "x.token", "x.cls")
+    """Tokens leave in batches of a few texts: those of 10,000 whole texts would not fit an executor."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 20):
+                part = b.slice(at, 20)
+                rows = [(i, k, t, c) for i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if x for k, (t, c) in enumerate(X.tokenize(unicodedata.normalize("NFC", x)))]
+                cols = zip(*rows) if rows else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), kind) for v, kind in zip(cols, (part.column(0).type, pa.int32(), pa.string(), pa.string()))], names=["doc_id", "pos", "token", "cls"])
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, pos int, token string, cls string")
 
 
 @query("SELECT * FROM (VALUES (0, 'Viện nghiên cứu', 'fixed_words'), (1, 'chiến lược', 'fixed_words'), (2, 'quốc', 'word'), (3, 'gia', 'word'), (4, '1.500', 'number'), (5, '=>', 'special')) t(pos, token, cls)")

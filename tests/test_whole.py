@@ -60,3 +60,13 @@ def test_taggers_are_scored_on_all_odd_documents(spark, docs, name):
     r = QUERIES[name](spark, docs).first()
     assert r.sentences == Q.training_rows(spark, docs).where("doc_id % 2 = 1").count() == 3 + 1 + 2
     assert 0 < r.accuracy <= 1
+
+
+def test_regex_tokens_of_the_whole_table(spark, docs):
+    """Plain texts by brute force: numbers with a fraction, words, and single marks."""
+    got = QUERIES["regex_tokens"](spark, docs).collect()
+    for i in (6, 501, 503):
+        mine = sorted((r for r in got if r.doc_id == i), key=lambda r: r.pos)
+        want = re.findall(r"\d+(?:\.\d+)?|\w+|[^\w\s]", TEXTS[i])
+        assert [r.token for r in mine] == want and [r.pos for r in mine] == list(range(len(want)))
+        assert [r.cls for r in mine] == ["number" if w[0].isdigit() else "word" if w[0].isalpha() else "punct" for w in want]
