@@ -1,4 +1,6 @@
 import random
+import re
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
@@ -134,6 +136,56 @@ def test_broken_pages():
     assert html.main_text("<article><script>never closed <p>x</p>") == ""
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a</p><svg class="x"/><p>b</p>', "a\nb"),
+        ("<p>a</p><svg><path d='m'><text>t</text><p>b</p>", "a\nb"),
+        ("<article>Let <math><mi>x</mi><annotation>TEX</annotation></math> be one</article>", "Let x be one"),
+        ('<div class="legal content"><p>hello there</p></div>', "hello there"),
+        ('<div id="search"><p>hello there</p></div>', "hello there"),
+        ('<div class="comments"><p>hello there</p></div>', "hello there"),
+        ("<article><p class='ad'>Buy</p><p>Read <span class=ad>Buy <span>x</span> y</span> this</p></article>", "Read this"),
+        ("<article><ul><li>a<ul><li>b<li>c</ul><li>d</ul></article>", "a\nb\nc\nd"),
+        ("<article><table><tr><td>a</div>b<td>c<tr><th>d</table>e</article>", "a\nb\nc\nd\ne"),
+        ("<head><title>t</title>Hello <b>you</b>", "Hello you"),
+        ("<body><article><p>one</p></body></html><p>two</p>", "one\ntwo"),
+        ("<article><p>x <video src=v>Old <b>browser</b></video>z<p>y</article>", "x z\ny"),
+    ],
+)
+def test_odd_markup(page, want):
+    assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("unclosed", ["<tr><td>text here", "<li><b>text here</b>", "<div>text here", "<p>text here</div></span></td>", "<section class='a'><article>text here", "<dt>text<dd>here", "<div><table><tr><td>text here"])
+def test_unclosed_markup_takes_linear_time(unclosed):
+    import time
+
+    start = time.process_time()
+    got = html.main_text("<body><table>" + unclosed * 20_000)
+    assert got.count("text") == 20_000 and time.process_time() - start < 3
+
+
+def test_names_do_not_drop_what_hosts_agree_on(spark):
+    """The articles of this host stand in a container with a noisy name, some of them short beside what else is there."""
+    page = "<html><body><div class='intro'><p>About this site, in a few words that are always the same.</p></div><div class='legal'><h1>Title here</h1>{}</div><div class='related'><p>More to read</p></div></body></html>"
+    rows = [(i, "http://z.org/", page.format("<p>A paragraph of the law, long enough to be the text of a page, and some more.</p>" * (6 if i else 1))) for i in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].startswith("Title here\nA paragraph") and got[i].count("\n") == (6 if i else 1) for i in got)
+    assert html.main_text(rows[0][2]) != got[0]
+
+
+def test_host_paths_against_plain_votes(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    sums = {}
+    for r in pages.collect():
+        got = html.vote(r.html or "")
+        host = re.sub(r"^www\.", "", (urlsplit(r.url or "").hostname or "").lower())
+        if got and got[1] > 0:
+            sums.setdefault(host, {}).setdefault(got[0], []).append(got[1] ** 0.5)
+    want = {h: min((-round(sum(v), 3), p) for p, v in s.items())[1] for h, s in sums.items()}
+    assert {r.host: r.path for r in html.host_paths(pages).collect()} == want
+
 
 def test_host_votes_win(spark):
     good = "<html><body><div class='a1'>" + ARTICLE + "</div><div class='b'><p>short</p></div></body></html>"
