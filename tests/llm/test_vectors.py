@@ -55,6 +55,33 @@ def test_links_against_brute_force(spark):
             assert r.n_links == 0 and r.component_id == r.vec_id
 
 
+@pytest.mark.parametrize("setting", ["blocks", "tiers"])
+def test_links_in_deep_trees(spark, monkeypatch, setting):
+    """Outer leaves far smaller than the table: recall stays, and nothing is counted twice. A heap of near copies is met in blocks."""
+    monkeypatch.setattr(rpforest, "LEAST_ROWS", 64)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 24))
+    x[1500:2000] = x[:500] + 0.15 * rng.standard_normal((500, 24))
+    if setting == "blocks":
+        x[2000:] = x[7] + 0.01 * rng.standard_normal((1000, 24))
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in rpforest.link_table(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), cells=24 * 64, leaf=32).collect()}
+    assert len(got) == len(x)
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.99 * want.sum() > 0
+
+
+def test_few_nodes_hold_near_copies():
+    rng = np.random.default_rng(2)
+    x = rpforest.unit(rng.standard_normal((1, 32)) + 1e-4 * rng.standard_normal((5000, 32)))
+    t = rpforest.grow(x, 64, 16, 3, rpforest.SPILL, 1)
+    assert len(t.cut) == 0 and t.share.tolist() == [5000] * 3
+    t = rpforest.grow(rpforest.unit(rng.standard_normal((5000, 32))), 64, 16, 3, rpforest.SPILL, 1)
+    assert t.share.max() <= 64 and len(t.below) < 3 * 5000
+
+
 def test_links_of_few_and_none(spark):
     assert rpforest.link_table(frame(spark, [])).count() == 0
     assert [r.n_links for r in rpforest.link_table(frame(spark, [(1, None), (2, [0.0])])).collect()] == [0, 0]
