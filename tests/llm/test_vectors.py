@@ -154,6 +154,33 @@ def test_search_fills_up(spark, monkeypatch, n, exact):
         assert {(r.query_id, r.vec_id) for r in got} == {(q, i) for q in range(n) for i in range(n) if i != q}
 
 
+def test_settings_follow_the_data():
+    """Near neighbours in a large table are found in fine buckets, far ones only by probing most of the coarse ones."""
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((4000, 64))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    index = ann.Index(np.array([0.5]), np.array([1.0001]), np.array([10**8]), np.random.default_rng(5).choice([-1.0, 1.0], (4, 3, 3, 128)))
+    near = [r + 0.02 * rng.standard_normal((20, 64)) for r in rows[:100]]
+    near = [v / np.linalg.norm(v, axis=1)[:, None] for v in near]
+    fine = ann.choose(index, rows, 10**8, rows[:100], near, 5 * 10**6, lambda t: 2000)
+    far = ann.choose(index, rows, 10**8, rows[:100], [rows[rng.integers(0, 4000, 20)] for _ in range(100)], 5 * 10**6, lambda t: 2000)
+    buckets = lambda i: np.prod([2.0 * d for d in i.hashes])
+    assert buckets(fine) > buckets(far) and fine.probes[0] / buckets(fine) < 0.02 < far.probes[0] / buckets(far)
+
+
+@pytest.mark.parametrize("exact", [1024, 0])
+def test_search_among_extreme_norms(spark, monkeypatch, exact):
+    monkeypatch.setattr(ann, "EXACT", exact)
+    x = np.random.default_rng(1).standard_normal((60, 8))
+    x[::3] *= 1e-160
+    x[1::3] *= 1e150
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(df, df.where("vec_id = 1"), 5).collect()}
+    s = x @ x[1]
+    s[1] = -np.inf
+    assert [got[1, r] for r in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
 def test_search_of_few_is_whole(spark):
     df = frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0]), (3, [-1.0, 0.0])] + [(2, [0.9, 0.0])] * 30)
     got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
@@ -163,7 +190,7 @@ def test_search_of_few_is_whole(spark):
 def test_search_of_little(spark):
     df = frame(spark, [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (40, [0.0, 0.0])])
     got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} <= {(20, 1, 1, 0.5)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == {(20, 1, 1, 0.5)}
     none = frame(spark, [])
     assert ann.nearest(none, none).count() == 0
     assert ann.nearest(frame(spark, [(1, None)]), df).count() == 0
