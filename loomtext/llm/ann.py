@@ -303,13 +303,13 @@ class _Cell:
         self.ids, self.x, self.who, self.sub, self.k = ids, x, who[o], sub[o], k
         self.most = k + len(ids) - len(np.unique(ids))  # repeated rows of an id take no other's place
 
-    def meet(self, ids: np.ndarray, v: np.ndarray, who: np.ndarray, sub: np.ndarray) -> tuple | None:
+    def meet(self, ids: np.ndarray, v: np.ndarray, who: np.ndarray, sub: np.ndarray, floor: np.ndarray) -> tuple | None:
         o = np.argsort(sub, kind="stable")
         who, sub = who[o], sub[o]
         edges = [0, *(np.flatnonzero(np.diff(sub)) + 1).tolist(), len(sub)]
         left, right = (np.searchsorted(self.sub, sub[edges[:-1]], side=s) for s in ("left", "right"))
         out = []
-        floor = np.full(len(ids), -np.inf)
+        floor = floor.copy()
         for a, z, p, q in zip(edges[:-1], edges[1:], left.tolist(), right.tolist()):
             for at in range(a, z if q > p else a, 1024):
                 mine, theirs = who[at : min(z, at + 1024)], self.who[p:q]
@@ -351,8 +351,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     cells = lambda t: max(2 * shuffle_partitions(spark), -(-total * t // CELL))
     if tables and probes:
         index = replace(index, hashes=(width,), tables=tables, probes=(min(probes, 2 * width),) * len(size))
-    elif size.max() > EXACT:
-        index = choose(index, *_sampled(base, ask, total, n_asks, dims, k, seed), n_asks, cells)
+    some_ids, some = np.zeros(0, np.int64), np.zeros((0, dims))
+    if not index.probes and size.max() > EXACT:
+        some_ids, some, q, near = _sampled(base, ask, total, n_asks, dims, k, seed)
+        index = choose(index, some, total, q, near, n_asks, cells)
     n_cells = cells(index.tables)
     kind = base.schema["v"].dataType.simpleString()
 
@@ -369,8 +371,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         every = total * index.tables + n_asks * index.tables * sum(index.probes)
         return {r.code: -(-r.n // BLOCK) for r in n.where(F.col("n") > max(BLOCK, every // 1_000_000)).collect()}
 
+    def floors(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """What a query's k-th nearest reaches by the sampled rows alone: worse rows needn't be sent on."""
+        if len(some) <= k:
+            return np.full(len(x), -np.inf)
+        s = x @ some.T
+        s[ids[:, None] == some_ids[None, :]] = -np.inf
+        edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        return edge - 1e-9 * np.maximum(1.0, np.abs(edge))
+
     def shipped(df: DataFrame, side: int, of: Callable, nx: dict[int, int], nq: dict[int, int]) -> DataFrame:
-        """(cell, side, id, v, subs): each vector once a cell, with its buckets (or their blocks of queries) there."""
+        """(cell, side, id, v, subs, floor): each vector once a cell, with its buckets (or their blocks of queries) there."""
         heavy = np.array(sorted({*nx, *nq}), np.int64)
         n_mine, n_other = (np.array([d.get(int(c), 1) for c in heavy] + [1], np.int64) for d in ((nx, nq) if side == 0 else (nq, nx)))
 
@@ -379,7 +390,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
                     ids = part.column(0).to_numpy()
-                    who, code = of(matrix(part.column(1), dims))
+                    x = matrix(part.column(1), dims)
+                    who, code = of(x)
+                    floor = floors(ids, x) if side else np.zeros(len(ids))
                     place = np.searchsorted(heavy, code)
                     place = np.where((place < len(heavy)) & (np.append(heavy, 0)[place] == code), place, len(heavy))
                     mine = (_mix(ids[who] + side) % n_mine[place].astype(np.uint64)).astype(np.int64)
@@ -399,17 +412,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     start = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (cell[1:] != cell[:-1])))
                     subs = pa.ListArray.from_arrays(pa.array(np.append(start, len(who)).astype(np.int32)), pa.array(sub))
                     take = pa.array(who[start])
-                    yield pa.RecordBatch.from_arrays([pa.array(cell[start].astype(np.int32)), pa.array(np.full(len(start), side, np.int32)), part.column(0).take(take), part.column(1).take(take), subs], names=["cell", "side", "id", "v", "subs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[start].astype(np.int32)), pa.array(np.full(len(start), side, np.int32)), part.column(0).take(take), part.column(1).take(take), subs, pa.array(floor[who[start]])], names=["cell", "side", "id", "v", "subs", "floor"])
 
-        return df.select("id", "v").mapInArrow(run, f"cell int, side int, id long, v {kind}, subs array<long>")
+        return df.select("id", "v").mapInArrow(run, f"cell int, side int, id long, v {kind}, subs array<long>, floor double")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, cell = None, [], None
 
         def joined() -> tuple:
-            ids, x, n, sub = (np.concatenate(c) for c in zip(*held))
+            ids, x, n, sub, floor = (np.concatenate(c) for c in zip(*held))
             held.clear()
-            return ids, x, np.repeat(np.arange(len(ids)), n), sub
+            return ids, x, np.repeat(np.arange(len(ids)), n), sub, floor
 
         def out(got: tuple | None) -> Iterator[pa.RecordBatch]:
             if got is not None and len(got[0]):
@@ -427,7 +440,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 key = (int(where[a]), int(side[a]))
                 if key != now:
                     if held and now[1] == 0:
-                        cell = _Cell(*joined(), k) if now[0] == key[0] else None
+                        cell = _Cell(*joined()[:4], k) if now[0] == key[0] else None
                     elif held and cell:
                         yield from out(cell.meet(*joined()))
                     held.clear()
@@ -436,7 +449,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 if key[1] == 1 and cell is None:
                     continue  # no rows here
                 part = b.slice(a, z - a)
-                held.append((part.column(2).to_numpy(), matrix(part.column(3), dims), part.column(4).value_lengths().to_numpy(), part.column(4).flatten().to_numpy()))
+                held.append((part.column(2).to_numpy(), matrix(part.column(3), dims), part.column(4).value_lengths().to_numpy(), part.column(4).flatten().to_numpy(), part.column(5).to_numpy()))
                 if key[1] == 1 and sum(len(h[0]) for h in held) >= 4000:
                     yield from out(cell.meet(*joined()))
         if held and now[1] == 1 and cell:
@@ -463,15 +476,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select(*rest.columns).unionByName(rest)
 
 
-def _sampled(base: DataFrame, ask: DataFrame, total: int, n_asks: int, dims: int, k: int, seed: int) -> tuple[np.ndarray, int, np.ndarray, list[np.ndarray]]:
-    """For ``choose``: about SAMPLE rows, the number of all, about ASKED queries, and the vectors of each one's k nearest rows."""
+def _sampled(base: DataFrame, ask: DataFrame, total: int, n_asks: int, dims: int, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """About SAMPLE rows (ids, each once, and vectors), about ASKED queries, and the vectors of each one's k nearest rows."""
 
     def some(df: DataFrame, n: int, of: int) -> tuple[np.ndarray, np.ndarray]:
         share = int(min(1.0, 1.2 * n / of) * 1_000_000_007) + 1
         got = df.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000_007)) < share).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).select("id", "v").toArrow().combine_chunks()
         return got.column(0).to_numpy(), matrix(got.column(1).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float64())), dims)
 
-    (qid, q), (_, rows) = some(ask, ASKED, n_asks), some(base, SAMPLE, total)
+    (qid, q), (ids, rows) = some(ask, ASKED, n_asks), some(base, SAMPLE, total)
+    ids, first = np.unique(ids, return_index=True)
+    rows = rows[first]
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in qid]  # per query: (score, id, vector), the k best
@@ -496,4 +511,4 @@ def _sampled(base: DataFrame, ask: DataFrame, total: int, n_asks: int, dims: int
         got = base.mapInArrow(best, "n int, s double, id long, v array<double>").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("n", "v").toArrow()
         for n, v in zip(got.column(0).to_pylist(), matrix(got.column(1).combine_chunks(), dims)):
             near[n].append(v)
-    return rows, total, q, [np.array(v).reshape(-1, dims) for v in near]
+    return ids, rows, q, [np.array(v).reshape(-1, dims) for v in near]
