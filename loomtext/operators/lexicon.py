@@ -126,3 +126,16 @@ def tfidf_vectors(doc_terms: DataFrame, vocab: DataFrame, sublinear: bool = Fals
     x = doc_terms.join(vocab.select("term", "feature_id", "idf"), "term").withColumn("raw", tf * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return x.select("doc_id", "feature_id", (F.col("raw") / norm).alias("value"))
+
+
+def expand_rules(rules: DataFrame) -> DataFrame:
+    """(key, value) of rules (seq, key, value): each also capitalized (the rest in small letters) and in capitals.
+
+    Of rules for one key the last holds, at the place of the first; forms that were made go before rules as given, later
+    ones before earlier ones.
+    """
+    d = rules.groupBy("key").agg(F.max_by("value", "seq").alias("value"), F.min("seq").alias("seq"))
+    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
+    form = lambda made, o, f: F.struct(F.lit(made).alias("made"), F.col("seq"), F.lit(o).alias("o"), f("key").alias("key"), f("value").alias("value"))
+    e = d.select(F.explode(F.array(form(0, 0, F.col), form(1, 1, cap), form(1, 2, F.upper))).alias("x")).select("x.*")
+    return e.groupBy("key").agg(F.max_by("value", F.struct("made", "seq", "o")).alias("value"))

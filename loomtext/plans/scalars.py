@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import tables as T
 from loomtext.functions import text as X
 from loomtext.operators import address as A
+from loomtext.operators import lexicon as L
 from loomtext.plans.catalog import query, table
 
 
@@ -59,15 +60,15 @@ def text_normalize_space(spark, sf_dir):
     return d.select("item_id", F.array_join(F.transform(F.split("n", " "), one), " ").alias("text"))
 
 
-@query("SELECT * FROM (VALUES ('hoà', 'hòa'), ('Hoà', 'Hòa'), ('HOÀ', 'HÒA'), ('k', 'K'), ('K', 'K')) t(key, value)")
+@query(r"""
+WITH b AS (SELECT w AS key, reverse(w) AS value FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents) WHERE NOT contains(w, 'ß')),
+e AS (SELECT key, value, 0 AS made, key AS seq, 0 AS o FROM b
+  UNION ALL SELECT upper(left(key, 1)) || lower(substr(key, 2)), upper(left(value, 1)) || lower(substr(value, 2)), 1, key, 1 FROM b UNION ALL SELECT upper(key), upper(value), 1, key, 2 FROM b)
+SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY made DESC, seq DESC, o DESC) AS r FROM e) WHERE r = 1""")
 def rule_expand(spark, sf_dir):
-    """Each rule also capitalized and in capitals; later rules win."""
-    d = spark.createDataFrame([(1, "hoà", "hòa"), (2, "k", "không"), (3, "k", "k")], "seq int, key string, value string")
-    cap = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1000))
-    forms = F.array(F.struct(F.lit(1).alias("o"), F.col("key"), F.col("value")), F.struct(F.lit(2).alias("o"), cap("key").alias("key"), cap("value").alias("value")), F.struct(F.lit(3).alias("o"), F.upper("key").alias("key"), F.upper("value").alias("value")))
-    e = d.select("seq", F.explode(forms).alias("x")).select("seq", "x.*")
-    last = e.groupBy("key").agg(F.max_by("value", F.struct("seq", "o")).alias("value"))
-    return last.select("key", F.when(F.col("key") == "k", F.lit("K")).otherwise(F.col("value")).alias("value"))
+    """Rules (here each word read backwards, in the words' order), also capitalized and in capitals; later rules win."""
+    w = table(spark, sf_dir, "documents").select(F.explode(X.simple_tokens("text")).alias("key")).where("NOT contains(key, 'ß')").distinct()
+    return L.expand_rules(w.select(F.col("key").alias("seq"), "key", F.reverse("key").alias("value")))
 
 
 def _plain_sql(col):
@@ -184,9 +185,9 @@ def social_preprocess(spark, sf_dir):
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, k, w[k] AS x, regexp_replace(w[k], '^[.,!?;:]+|[.,!?;:]+$', '', 'g') IN ('the', 'le', 'der') AS neg FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
 m AS (SELECT doc_id, k, CASE WHEN bool_or(neg) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) THEN 'NEG_' || x ELSE x END AS x FROM t)
-SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text FROM m WHERE doc_id < 100 GROUP BY doc_id""")
+SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text FROM m GROUP BY doc_id""")
 def negation_mark(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 100").withColumn("w", X.space_tokens(F.lower("text")))
+    d = table(spark, sf_dir, "documents").withColumn("w", X.space_tokens(F.lower("text")))
     return d.select("doc_id", F.array_join(X.mark_negation(F.col("w"), ("the", "le", "der"), 2), " ").alias("text")).where("text <> ''")
 
 

@@ -9,14 +9,15 @@ from loomtext.functions import text as X
 from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import sequence as S
+from loomtext.operators import tagger as T
 from loomtext.plans.catalog import query, table
 
-TK = r"SELECT doc_id, (k - 1)::BIGINT AS pos, w[k] AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+')[1:60] AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)"
+TK = r"SELECT doc_id, (k - 1)::BIGINT AS pos, w[k] AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)"
 
 
 def tokens(spark, sf_dir):
-    """The first 60 words of each document: sentences of a bounded length for the taggers' demonstrations."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(X.simple_tokens("text"), 1, 60)).alias("pos", "w"))
+    """All words of each document, with their places."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.simple_tokens("text")).alias("pos", "w"))
     return d.select("doc_id", F.col("pos").cast("long").alias("pos"), "w")
 
 
@@ -135,50 +136,37 @@ def crf_train(spark, sf_dir):
     return got.agg(F.count("*").alias("sentences"), (F.sum(right) / F.sum(F.size("gold"))).alias("accuracy"))
 
 
-def segmented(spark, sf_dir):
-    """Word segmentation: tokens of whole texts, features, decoded tags, words joined by underscores; trained on all rows."""
-    rows = training_rows(spark, sf_dir)
-    model = S.train_perceptron(rows, "feats", "gold", 1)
-    got = S.decode(rows, model).select("doc_id", "start", "opens", F.posexplode(F.arrays_zip("words", "tags")).alias("i", "x"))
-    got = got.select("doc_id", (F.col("start") + F.col("i")).alias("pos"), (F.col("opens") & (F.col("i") == 0)).alias("first"), "x.words", "x.tags")
-    return S.merge_begins(got, ["doc_id"], "pos", "words", F.col("first") | (F.col("tags") == "B-W"), "_")
+def tagged_words(spark, sf_dir, depth):
+    """(doc_id, word_no, word, tags): whole texts, sentence by sentence, through the pipeline's first ``depth`` taggers."""
+    d = T.tag(training_rows(spark, sf_dir).select("doc_id", "start", "words"), "words", depth)
+    d = d.select("doc_id", "start", F.posexplode("tagged").alias("i", "x")).select("doc_id", "start", "i", "x.*")
+    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "i")) - 1
+    tags = T.FIELDS[1:depth]
+    return d.select("doc_id", no.cast("long").alias("word_no"), F.replace("word", F.lit(" "), F.lit("_")).alias("word"), *tags)
 
 
 @query()
 def word_segment(spark, sf_dir):
-    return segmented(spark, sf_dir).select("doc_id", "word_no", "word")
-
-
-def pos_rows(spark, sf_dir):
-    tag = F.when(F.col("word").rlike("^[0-9]"), "M").when(F.col("word").rlike("^[A-Z]"), "Np").when(F.length("word") <= 3, "E").otherwise("N")
-    return segmented(spark, sf_dir).withColumn("pos_tag", tag)
+    """Words of whole texts, the spaces inside them as underscores, by a chain trained on the tagged sentences."""
+    return tagged_words(spark, sf_dir, 1)
 
 
 @query()
 def pos_tag(spark, sf_dir):
     """(word, pos) of segmented words."""
-    return pos_rows(spark, sf_dir).select("doc_id", "word_no", "word", "pos_tag")
-
-
-def chunk_rows(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("word_no")
-    noun = F.col("pos_tag").isin("N", "Np", "M")
-    d = pos_rows(spark, sf_dir).withColumn("_n", noun)
-    tag = F.when(~F.col("_n"), "O").when(F.coalesce(F.lag("_n").over(w), F.lit(False)), "I-NP").otherwise("B-NP")
-    return d.withColumn("chunk_tag", tag).drop("_n")
+    return tagged_words(spark, sf_dir, 2)
 
 
 @query()
 def chunk(spark, sf_dir):
     """(word, pos, chunk)."""
-    return chunk_rows(spark, sf_dir).select("doc_id", "word_no", "word", "pos_tag", "chunk_tag")
+    return tagged_words(spark, sf_dir, 3)
 
 
 @query()
 def ner(spark, sf_dir):
     """(word, pos, chunk, entity)."""
-    e = F.when((F.col("pos_tag") == "Np") & (F.col("chunk_tag") == "B-NP"), "B-MISC").otherwise("O")
-    return chunk_rows(spark, sf_dir).withColumn("ner_tag", e).select("doc_id", "word_no", "word", "pos_tag", "chunk_tag", "ner_tag")
+    return tagged_words(spark, sf_dir, 4)
 
 
 GP = f"""WITH t AS ({TK}), x AS (SELECT doc_id, pos, w, CASE WHEN length(w) % 4 = 0 THEN 'B-X' WHEN length(w) % 4 = 1 THEN 'I-X' WHEN length(w) % 4 = 2 THEN 'B-Y' ELSE 'O' END AS gold,
@@ -212,20 +200,31 @@ def token_accuracy(spark, sf_dir):
     return per.agg(F.round(F.sum("ok") / F.sum("n"), 9).alias("accuracy"), F.round(F.avg((F.col("ok") == F.col("n")).cast("double")), 9).alias("sentence_accuracy"))
 
 
-@query(GP + """ SELECT round(sum(least(p, g)) / (sum(p) + 1e-5), 6) AS precision, round(sum(least(p, g)) / (sum(g) + 1e-5), 6) AS recall, round(2 * sum(least(p, g)) / (sum(p) + sum(g) + 1e-5), 6) AS f1
-FROM (SELECT doc_id, k, sum(a) AS p, sum(b) AS g FROM (SELECT doc_id, pred AS k, 1 AS a, 0 AS b FROM x UNION ALL SELECT doc_id, gold, 0, 1 FROM x) GROUP BY doc_id, k)""")
+BRACKETS = GP + f""", a AS {_ent_sql('pred')}, b AS {_ent_sql('gold')}, u AS (SELECT doc_id, first, last, type, 1 AS p, 0 AS g FROM a UNION ALL SELECT doc_id, first, last, type, 0, 1 FROM b),
+l AS (SELECT doc_id, first, last, type, sum(p) AS p, sum(g) AS g FROM u GROUP BY ALL), n AS (SELECT doc_id, first, last, sum(p) AS p, sum(g) AS g FROM u GROUP BY ALL)"""
+
+
+def _prf_sql(rows):
+    return f"SELECT round(sum(least(p, g)) / (sum(p) + 1e-5), 6) AS precision, round(sum(least(p, g)) / (sum(g) + 1e-5), 6) AS recall, round(2 * sum(least(p, g)) / (sum(p) + sum(g) + 1e-5), 6) AS f1 FROM {rows}"
+
+
+@query(BRACKETS + f""" SELECT 'labelled' AS kind, * FROM ({_prf_sql('l')}) UNION ALL SELECT 'unlabelled', * FROM ({_prf_sql('n')})
+UNION ALL SELECT 'exact', x, x, x FROM (SELECT round(avg(ok::INT), 6) AS x FROM (SELECT doc_id, bool_and(p = g) AS ok FROM l GROUP BY doc_id))""")
 def bracket_f1(spark, sf_dir):
-    """Bags of labels a document: common counts are the smaller ones."""
+    """Bags of brackets (first, last, label) a document, labelled and without labels; exact: documents with all brackets right."""
     x = gold_and_pred(spark, sf_dir)
-    r = M.bags(x.select("doc_id", F.col("pred").alias("k")), x.select("doc_id", F.col("gold").alias("k")), ["doc_id", "k"], eps=1e-5)
-    return r.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    pred, gold = (S.entities(x, ["doc_id"], "pos", c) for c in ("pred", "gold"))
+    side = lambda kind, keys: M.bags(pred, gold, ["doc_id", *keys], eps=1e-5).select(F.lit(kind).alias("kind"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    exact = M.exact_bags(pred, gold, ["doc_id"], ["first", "last", "type"]).select(F.lit("exact").alias("kind"), *[F.round("exact", 6).alias(c) for c in ("precision", "recall", "f1")])
+    return side("labelled", ["first", "last", "type"]).unionByName(side("unlabelled", ["first", "last"])).unionByName(exact)
 
 
-@query(GP + """, a AS (SELECT DISTINCT doc_id, pred AS k FROM x), b AS (SELECT DISTINCT doc_id, gold AS k FROM x), c AS (SELECT * FROM a INTERSECT SELECT * FROM b)
-SELECT round((SELECT count(*) FROM c) / ((SELECT count(*) FROM a) + 1e-5), 6) AS precision, round((SELECT count(*) FROM c) / ((SELECT count(*) FROM b) + 1e-5), 6) AS recall, round(2 * (SELECT count(*) FROM c) / ((SELECT count(*) FROM a) + (SELECT count(*) FROM b) + 1e-5), 6) AS f1""")
+@query(BRACKETS + " " + _prf_sql("(SELECT least(p, 1) AS p, least(g, 1) AS g FROM l)"))
 def span_f1(spark, sf_dir):
+    """Sets of spans (first, last, label) a document."""
     x = gold_and_pred(spark, sf_dir)
-    r = M.bags(x.select("doc_id", F.col("pred").alias("k")).distinct(), x.select("doc_id", F.col("gold").alias("k")).distinct(), ["doc_id", "k"], eps=1e-5)
+    pred, gold = (S.entities(x, ["doc_id"], "pos", c).distinct() for c in ("pred", "gold"))
+    r = M.bags(pred, gold, ["doc_id", "first", "last", "type"], eps=1e-5)
     return r.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -250,21 +249,21 @@ def restore_diacritics(spark, sf_dir):
 
 
 @query(rf"""
-WITH t AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents WHERE lang = 'fr'), c AS (SELECT w, count(*) AS n, translate(w, '{X._tone_pairs()[0]}', '{X._tone_pairs()[1]}') AS key FROM t GROUP BY w)
+WITH t AS (SELECT lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents), c AS (SELECT w, count(*) AS n, translate(w, '{X._tone_pairs()[0]}', '{X._tone_pairs()[1]}') AS key FROM t GROUP BY w)
 SELECT key, w AS restored, n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, w) AS r FROM c) WHERE r = 1""")
 def restore_unigram(spark, sf_dir):
     """The most frequent spelling of each bare word."""
-    c = L.frequencies(L.tokens(table(spark, sf_dir, "documents").where("lang = 'fr'"))).withColumn("key", X.remove_tone("word"))
+    c = L.frequencies(L.tokens(table(spark, sf_dir, "documents"))).withColumn("key", X.remove_tone("word"))
     top = c.groupBy("key").agg(F.min_by(F.struct("word", "n"), F.struct(-F.col("n"), F.col("word"))).alias("x"))
     return top.select("key", F.col("x.word").alias("restored"), F.col("x.n").alias("n"))
 
 
 @query(rf"""
-WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents WHERE lang = 'fr'), c AS (SELECT w, count(*) AS n, translate(w, '{X._tone_pairs()[0]}', '{X._tone_pairs()[1]}') AS key FROM t GROUP BY w),
+WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents), c AS (SELECT w, count(*) AS n, translate(w, '{X._tone_pairs()[0]}', '{X._tone_pairs()[1]}') AS key FROM t GROUP BY w),
 m AS (SELECT key, w AS best FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, w) AS r FROM c) WHERE r = 1)
 SELECT round(sum(n * (w = best)::INT) / sum(n), 9) AS accuracy FROM c JOIN m USING (key)""")
 def syllable_accuracy(spark, sf_dir):
-    c = L.frequencies(L.tokens(table(spark, sf_dir, "documents").where("lang = 'fr'"))).withColumn("key", X.remove_tone("word"))
+    c = L.frequencies(L.tokens(table(spark, sf_dir, "documents"))).withColumn("key", X.remove_tone("word"))
     m = restore_unigram(spark, sf_dir).select("key", "restored")
     return c.join(m, "key").agg(F.round(F.sum(F.when(F.col("word") == F.col("restored"), F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("accuracy"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.functions.tables import STOPWORDS
 from loomtext.operators import lexicon as L
+from loomtext.operators.written import written
 from loomtext.plans.catalog import query, table
 
 TOK = r"SELECT doc_id, lang, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS word FROM documents"
@@ -23,9 +24,9 @@ def dictionary(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.explode(X.lower_tokens("text")).alias("word")).distinct()
 
 
-@query(f"SELECT doc_id, word, lang FROM ({TOK}) WHERE lang = 'es'")
+@query(f"SELECT doc_id, word, lang FROM ({TOK})")
 def simple_tokens(spark, sf_dir):
-    return toks(spark, sf_dir, "lang").where("lang = 'es'")
+    return toks(spark, sf_dir, "lang")
 
 
 @query(f"SELECT word, count(*) AS n FROM ({TOK}) GROUP BY word")
@@ -164,14 +165,14 @@ def tfidf_vocab_table(spark, sf_dir):
     return L.tfidf_vocabulary(grams(spark, sf_dir), table(spark, sf_dir, "documents").count(), 2, 0.9, 5000)
 
 
-@query(NG + "SELECT doc_id, term, tf FROM d WHERE doc_id < 50")
+@query(NG + "SELECT doc_id, term, tf FROM d")
 def word_ngrams(spark, sf_dir):
-    return grams(spark, sf_dir).where("doc_id < 50")
+    return grams(spark, sf_dir)
 
 
-@query("SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 2)) AS token FROM documents WHERE lang = 'de'")
+@query("SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) >= 2)) AS token FROM documents")
 def tfidf_tokens(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'de'")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.explode(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)).alias("token"))
 
 
@@ -191,13 +192,15 @@ TFV = NG + """, x AS (SELECT doc_id, feature_id, tf * idf AS raw, term FROM d JO
 
 @query(TFV + "SELECT doc_id, feature_id, round(raw / norm, 6) AS value FROM x JOIN m USING (doc_id)")
 def tfidf_vectors(spark, sf_dir):
-    return L.tfidf_vectors(grams(spark, sf_dir), tfidf_vocab_table(spark, sf_dir)).withColumn("value", F.round("value", 6))
+    g = written(grams(spark, sf_dir))
+    return L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000)).withColumn("value", F.round("value", 6))
 
 
-@query(TFV + "SELECT doc_id, format('tfidf_{}={:.4f}', feature_id, raw / norm) AS feature FROM x JOIN m USING (doc_id) WHERE doc_id < 20 AND raw / norm > 0.0001")
+@query(TFV + "SELECT doc_id, format('tfidf_{}={:.6f}', feature_id, raw / norm) AS feature FROM x JOIN m USING (doc_id)")
 def tfidf_features(spark, sf_dir):
-    v = L.tfidf_vectors(grams(spark, sf_dir), tfidf_vocab_table(spark, sf_dir)).where("doc_id < 20 AND value > 0.0001")
-    return v.select("doc_id", F.format_string("tfidf_%d=%.4f", "feature_id", "value").alias("feature"))
+    g = written(grams(spark, sf_dir))
+    v = L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000))
+    return v.select("doc_id", F.format_string("tfidf_%d=%.6f", "feature_id", "value").alias("feature"))
 
 
 @query(rf"""
@@ -250,12 +253,12 @@ def id_gaps(spark, sf_dir):
 
 @query(f"""
 WITH f AS (SELECT word, count(*) AS n FROM ({TOK}) GROUP BY word HAVING count(*) >= 20), v AS (SELECT word, row_number() OVER (ORDER BY word) + 1 AS id FROM f),
-t AS (SELECT doc_id, (k - 1)::BIGINT AS pos, lower(w[k]) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, least(len(w), 30) + 1)) AS k))
+t AS (SELECT doc_id, (k - 1)::BIGINT AS pos, lower(w[k]) AS word FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k))
 SELECT doc_id, pos, coalesce(id, 1)::BIGINT AS idx FROM t LEFT JOIN v USING (word)""")
 def doc_to_index(spark, sf_dir):
-    """The first 30 words of each document as ids; 1 is the unknown word, 0 would be padding."""
+    """All words of each document as ids; 1 is the unknown word, 0 would be padding."""
     v = L.dense_ids(L.frequencies(toks(spark, sf_dir)).where("n >= 20"), ["word"]).select("word", (F.col("rank") + 2).alias("id"))
-    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(X.lower_tokens("text"), 1, 30)).alias("pos", "word"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lower_tokens("text")).alias("pos", "word"))
     return t.join(v, "word", "left").select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("id", F.lit(1)).alias("idx"))
 
 

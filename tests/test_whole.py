@@ -1,10 +1,15 @@
 """Queries read whole tables and whole texts."""
 
+import random
 import re
+from itertools import product
 
 import pytest
 
+from loomtext.operators import lexicon as L
 from loomtext.operators import sequence as S
+from loomtext.operators import tagger as T
+from loomtext.operators.treebank import SENTENCES
 from loomtext.plans import load_all
 from loomtext.plans import sequences as Q
 from loomtext.plans.catalog import QUERIES
@@ -70,3 +75,61 @@ def test_regex_tokens_of_the_whole_table(spark, docs):
         want = re.findall(r"\d+(?:\.\d+)?|\w+|[^\w\s]", TEXTS[i])
         assert [r.token for r in mine] == want and [r.pos for r in mine] == list(range(len(want)))
         assert [r.cls for r in mine] == ["number" if w[0].isdigit() else "word" if w[0].isalpha() else "punct" for w in want]
+
+
+def test_rule_forms(spark):
+    """As a loop over rules sets them in a dictionary."""
+    rules = [(1, "hoà", "hòa"), (2, "k", "không"), (3, "k", "k"), (4, "Hoà", "own"), (5, "ABc", "xYz")]
+    base = {}
+    for _, k, v in rules:
+        base[k] = v
+    want = dict(base)
+    for k, v in base.items():
+        want[k.capitalize()] = v.capitalize()
+        want[k.upper()] = v.upper()
+    got = {r.key: r.value for r in L.expand_rules(spark.createDataFrame(rules, "seq int, key string, value string")).collect()}
+    assert got == want and got["k"] == "k"
+
+
+def test_template_sets(spark):
+    """Sizes, and the same values as the column operator gives."""
+    assert [len(t) for t in (T.POS_TEMPLATES, T.CHUNK_TEMPLATES, T.NER_TEMPLATES)] == [22, 29, 31]
+    rows = [(0, i, w, p) for i, (w, p) in enumerate([("Bộ", "N"), ("Công Thương", "Np"), ("xóa", "V"), ("500", "M")])]
+    d = S.context_features(spark.createDataFrame(rows, "s int, i int, w string, p string"), T.NER_TEMPLATES[:28], ["w", "p"], ["s"], "i").orderBy("i").collect()
+    got = T.features([[r[2] for r in rows], [r[3] for r in rows]], T.NER_TEMPLATES[:28])
+    assert got == [[r[f"f{k}"] for k in range(28)] for r in d]
+
+
+def test_taggers_learn_the_tagged_sentences():
+    p = T.default_pipeline()
+    gold = [[x.split("/") for x in s.split()] for s in SENTENCES]
+    got = list(zip(*p.run([" ".join(g[0] for g in s).replace("_", " ").split() for s in gold], 4)))
+    got = [list(zip(*columns)) for columns in got]
+    assert [[w.replace(" ", "_") for w, *_ in s] for s in got] == [[g[0] for g in s] for s in gold]
+    pairs = [(tuple(g[1:]), t[1:]) for a, b in zip(gold, got) for g, t in zip(a, b)]
+    assert sum(g == t for g, t in pairs) / len(pairs) > 0.95
+    names = p.run(["Bộ Công Thương xóa một tổng cục giảm nhiều đầu mối".split(), [], ["BOS"]], 4)
+    assert names[3][0][:2] == ["B-ORG", "I-ORG"] and names[3][1] == [] and len(names[3][2]) == 1
+
+
+def test_tags_against_one_by_one_decoding():
+    """Many sentences at once as each alone, by the features as text."""
+    p = T.default_pipeline()
+    rng = random.Random(4)
+    known = [x.split("/")[0] for s in SENTENCES for x in s.split()]
+    rows = [[rng.choice([*known, "zzz", "BOS", "EOS", "9"]) for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    tags = [[rng.choice(["N", "V", "Np"]) for _ in r] for r in rows]
+    got = p.chunk.tags([rows, tags])
+    for r, g, y in zip(rows, tags, got):
+        fs = T.features([r, g, ["X"] * len(r)], T.CHUNK_TEMPLATES)
+        assert y == p.chunk.chain.decode(fs)[0]
+
+
+def test_tags_against_all_labellings():
+    """The best labelling by trying every one, with the trained weights."""
+    t = T.default_pipeline().words
+    words = "Ông sống ở Hà Nội hôm nay".split()
+    e = t.chain.emissions(T.features([words, ["X"] * len(words)], t.templates))
+    score = lambda path: sum(e[i, y] for i, y in enumerate(path)) + sum(t.chain.trans[a, b] for a, b in zip(path, path[1:]))
+    best = max(product(range(len(t.chain.labels)), repeat=len(words)), key=score)
+    assert t.tags([[words]])[0] == [t.chain.labels[y] for y in best]
