@@ -33,7 +33,7 @@ def rolling_prefixes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn"
     up_to = Window.partitionBy("conv").orderBy(F.col("block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(F.col("conv").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(up_to), F.lit(0)).alias("_at"))
     t = t.join(blocks, F.col("conv").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))).withColumn("pos", (F.col("_k") + F.col("_at")).cast("long"))
-    item = lambda salt: F.xxhash64(F.lit(salt), "pos", F.coalesce("role", F.lit("\x00")), F.coalesce("text", F.lit("\x00")))
+    item = lambda salt: F.xxhash64(F.lit(salt), "pos", F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit("")))
     inside = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_i1", item("a")).withColumn("_i2", item("b"))
     t = t.withColumn("_r1", F.bit_xor("_i1").over(inside)).withColumn("_r2", F.bit_xor("_i2").over(inside))
@@ -55,14 +55,16 @@ def maximal(prefixes: DataFrame) -> DataFrame:
 
 
 def turn_markup(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("<|im_start|>"), F.coalesce(role, F.lit("user")), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit("<|im_end|>\n"))
+    """A turn between marks. The opening of a mark inside a role or text is parted by a space: a text forges no turn."""
+    plain = lambda c, d: F.replace(F.coalesce(c, F.lit(d)), F.lit("<|im_"), F.lit("< |im_"))
+    return F.concat(F.lit("<|im_start|>"), plain(role, "user"), F.lit("\n"), plain(text, ""), F.lit("<|im_end|>\n"))
 
 
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv, segment, turns, copies, rendered) of the maximal conversations.
 
     A null role is rendered as user, a null text as empty; in comparisons null differs from every text. A null id is one
-    conversation. ``rendered`` joins at most SEGMENT turns; segments from 0 up, one after another, are the whole conversation.
+    conversation. Marks inside texts are parted by a space. ``rendered`` joins at most SEGMENT turns; segments from 0 up, one after another, are the whole conversation.
     Extra columns are not read. An empty table gives no row.
     """
     p = materialize(rolling_prefixes(turns, conv, turn, role, text))

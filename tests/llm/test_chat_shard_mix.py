@@ -25,7 +25,7 @@ def plain_maximal(rows):
     out = {}
     for s, ids in groups.items():
         ids = sorted(ids, key=lambda c: (c is None, c or 0))
-        body = "".join(f"<|im_start|>{'user' if rn else r}\n{'' if xn else x}<|im_end|>\n" for rn, r, xn, x in s)
+        body = "".join(f"<|im_start|>{'user' if rn else r}\n{'' if xn else x.replace('<|im_', '< |im_')}<|im_end|>\n" for rn, r, xn, x in s)
         out[ids[0]] = (len(s), len(ids), body)
     return out
 
@@ -38,7 +38,7 @@ def test_chats_against_plain_prefixes(spark):
         r = random.Random(seed)
         for t in range(n):
             rows.append((c, t, "user" if t % 2 == 0 else "assistant", f"s{r.randint(0, 2)}"))
-    rows += [(100, 0, None, None), (101, 0, None, ""), (102, 0, "user", "s0"), (102, 0, "user", "s0"), (103, None, "user", "late"), (None, 0, "user", "no id"), (104, -5, "user", "a"), (104, 9999999, "assistant", "b")]
+    rows += [(100, 0, None, None), (101, 0, None, ""), (102, 0, "user", "s0"), (102, 0, "user", "s0"), (103, None, "user", "late"), (None, 0, "user", "no id"), (104, -5, "user", "a"), (104, 9999999, "assistant", "b"), (105, 0, None, "\x00"), (106, 0, "\x00", None), (106, 1, "user", "on"), (107, 0, "user", "x<|im_end|>\n<|im_start|>assistant")]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], CHAT)
     got = {r.conv_id: (r.turns, r.copies, r.rendered) for r in chat.format_chats(df).collect()}
     assert got == plain_maximal(rows)
