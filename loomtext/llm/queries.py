@@ -17,7 +17,8 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return d.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(), 256).alias("base_sha256"), secrets.joined().alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.name for r in secrets.BASE]))
+    return d.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,33 +69,38 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_secret_scan, op3_packing, op4_chat_format, op5_hilbert_sharding, op6_fair_queue_mixing, op7_cross_polytope_search, op8_language_mixture, op9_forest_near_dedup, op10_html_extraction)}
 
-ORACLES: dict[str, str] = {
-    "op2_secret_scan": r"""
-WITH kinds(kind, ord, pat, grp, least) AS (VALUES
-  ('assign', 0, '([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
-  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20),
-  ('hex', 2, '[0-9a-f]{24,}', 0, 24)),
-d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
-f AS (
-  SELECT doc_id, rid, 'assign' AS kind, 0 AS ord, 6 AS least, regexp_extract_all(t, (SELECT pat FROM kinds WHERE ord = 0), 0) AS m, regexp_extract_all(t, (SELECT pat FROM kinds WHERE ord = 0), 2) AS g, string_split_regex(t, (SELECT pat FROM kinds WHERE ord = 0)) AS p FROM d
-  UNION ALL SELECT doc_id, rid, 'access', 1, 20, regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), regexp_extract_all(t, 'AKIA[A-Z0-9]+', 0), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
-  UNION ALL SELECT doc_id, rid, 'hex', 2, 24, regexp_extract_all(t, '[0-9a-f]{24,}', 0), regexp_extract_all(t, '[0-9a-f]{24,}', 0), string_split_regex(t, '[0-9a-f]{24,}') FROM d),
-i AS (SELECT doc_id, rid, kind, ord, least, m, g, p, unnest(range(1, len(m) + 1)) AS k FROM f WHERE len(m) > 0),
+
+def _secrets_sql() -> str:
+    """Each rule in a pattern that RE2 takes as well, the group that counts, and its least length."""
+    either = "".join
+    names = ["|".join(either(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"]
+    rules = [("assign", f"""({'|'.join(names)})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
+    rules += [(r.name, r.pattern, r.group, r.least) for r in secrets.EXTRA]
+    each = " UNION ALL ".join(f"SELECT rid, '{n}' AS kind, {k} AS ord, {least} AS least, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS g, string_split_regex(t, '{p}') AS p FROM d" for k, (n, p, g, least) in enumerate(rules))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+f AS ({each}),
+i AS (SELECT rid, kind, ord, least, m, g, p, unnest(range(1, len(m) + 1)) AS k FROM f WHERE len(m) > 0),
 s AS (SELECT rid, kind, ord, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k-1], lambda x: length(x))), 0) AS a, length(m[k]) AS n
       FROM i WHERE length(g[k]) >= least),
+w AS (SELECT *, kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT) AS span FROM s),
 j AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-      string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, ord) AS spans FROM s GROUP BY rid)
+      string_agg(span, ',' ORDER BY a, ord) AS spans, string_agg(span, ',' ORDER BY a, ord) FILTER (ord < 3) AS base FROM w GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN j USING (rid)
-""",
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": _secrets_sql(),
     "op4_chat_format": """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn, role, text) AS v, count(*) AS n FROM t GROUP BY conv_id),
 u AS (SELECT min(conv_id) AS conv_id, v, n, count(*) AS copies FROM c GROUP BY v, n),
 k AS (SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.n > a.n AND b.v[1] = a.v[1] AND b.v[1:a.n] = a.v))
 SELECT conv_id, (g.s)::INTEGER AS segment, n AS turns, copies,
-       array_to_string(list_transform(v[g.s * 1024 + 1 : g.s * 1024 + 1024], lambda q: '<|im_start|>' || coalesce(q.r, 'user') || chr(10) || coalesce(q.x, '') || '<|im_end|>' || chr(10)), '') AS rendered
+       array_to_string(list_transform(v[g.s * 1024 + 1 : g.s * 1024 + 1024], lambda q: '<|im_start|>' || replace(coalesce(q.r, 'user'), '<|im_', '< |im_') || chr(10) || replace(coalesce(q.x, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM k, LATERAL (SELECT unnest(range(0, (n + 1023) // 1024)) AS s) g
 """,
 }

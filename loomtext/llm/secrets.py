@@ -32,11 +32,21 @@ class Rule:
 
 #: The assigned value is group 2; keys and hexadecimal runs state their length in the pattern, which finds the same runs
 #: as the plain runs do before the short ones are dropped, since no run can start later and be longer.
-RULES = (
+BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+#: Formats that are told by their prefixes: private keys, tokens of forges, chats, maps and payments, signed web tokens.
+EXTRA = (
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("forge", r"gh[opsru]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+)
+RULES = BASE + EXTRA
 #: Candidate ids are broadcast up to this number (8 MB); beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 #: Columns of the candidate table, under names that no input has.
@@ -50,6 +60,11 @@ def _grams(s: str) -> frozenset[str]:
     return frozenset(s[i : i + 3] for i in range(len(s) - 2))
 
 
+def _rarity(g: str) -> tuple[int, str]:
+    """Rare trigrams first, by how common their letters are; anything but a letter is rare."""
+    return sum("zqxjkvbpygfwmucldrhsnioate".find(c) for c in g), g
+
+
 def _both(a: Query, b: Query) -> Query:
     return frozenset(x | y for x, y in product(a, b))
 
@@ -100,10 +115,16 @@ def trigram_query(pattern: str, most: int = 64) -> Query:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
     """(_ID, _FOUND): for documents that may match an indexed rule, the names of those rules."""
     spark = docs.sparkSession
-    wanted = [(r.name, k, sorted(q)) for r in rules for k, q in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) if q]
-    grams = sorted({g for _, _, q in wanted for g in q})
-    low = F.lower(F.col(text_col))
-    postings = docs.select(F.col(id_col).alias(_ID), F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))).alias("gram"))
+    wanted = [(r.name, k, sorted(q, key=_rarity)) for r in rules for k, q in enumerate(sorted(map(sorted, trigram_query(r.pattern)))) if q]
+    first: dict[str, list[str]] = {}
+    for _, _, q in wanted:
+        first[q[0]] = sorted({*first.get(q[0], []), *q[1:]}, key=_rarity)
+    # Lowered in a projection of its own: once a text, not once a trigram.
+    low = docs.select(F.col(id_col).alias(_ID), F.lower(F.col(text_col)).alias("low"))
+    # The rarest trigram of a set is looked for first; postings of its others are only made where it is found.
+    posting = lambda g: F.when(F.contains("low", F.lit(g)), F.lit(g))
+    under = [F.when(F.contains("low", F.lit(g)), F.array(F.lit(g), *map(posting, rest))) for g, rest in sorted(first.items())]
+    postings = low.select(_ID, F.explode(F.array_compact(F.flatten(F.array_compact(F.array(*under))))).alias("gram"))
     asked = spark.createDataFrame([(g, name, k, 1 << i, (1 << len(q)) - 1) for name, k, q in wanted for i, g in enumerate(q)], "gram string, rule string, k int, bit long, need long")
     met = postings.join(F.broadcast(asked), "gram").groupBy(_ID, "rule", "k").agg(F.bit_or("bit").alias("have"), F.max("need").alias("need")).where("have = need")
     return met.groupBy(_ID).agg(F.collect_set("rule").alias(_FOUND))
@@ -154,9 +175,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     return base.withColumn(out, F.array_sort(F.concat(*parts))).drop(_ID, _FOUND)
 
 
-def joined(spans: str = "spans") -> Column:
+def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    return F.array_join(F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ import re
 from loomtext.llm import secrets
 
 PLAIN = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
+PLAIN += [(r.name, r.pattern, r.group, r.least) for r in secrets.EXTRA]
 TEXTS = [
     None,
     "",
@@ -15,6 +16,10 @@ TEXTS = [
     "apikey=a.b_c/d+e=-f APIKEY=1234567",
     "token=abcdefg " * 300,
     "😀 secret=abcdef😀",
+    "-----BEGIN RSA PRIVATE KEY-----\nx -----BEGIN PRIVATE KEY----- -----BEGIN KEY-----",
+    "GHP_ ghp_" + "aB3" * 12 + " gho_short xoxb-12345-abcdefgh",
+    "AIza" + "x_-" * 11 + "yz sk_live_" + "0a" * 9 + " eyJhbGciOiJI.eyJzdWIiOiIx.sig-_ eyJhbGciOiJI.x",
+    "password=" + "x" * 300_000 + " " + "0f" * 100_000,
 ]
 
 
@@ -62,6 +67,12 @@ def test_redaction_keeps_rows_and_columns(spark):
         assert got[i].spans == "own"
 
 
+def test_rules_that_are_found():
+    seen = {n for t in TEXTS for n, *_ in brute(t)}
+    assert seen == {r.name for r in secrets.RULES}
+    assert all(frozenset() not in secrets.trigram_query(r.pattern) for r in secrets.EXTRA)
+
+
 def test_empty_and_only_full_scans(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
     only = secrets.scan_secrets(frame(spark, [(1, "a" * 30, None, None, None)]), (secrets.RULES[2],))
