@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over document metadata, in DataFrame operations only.
 
-Source, language and size are quantised to 32 steps each. Sources and languages keep their order (their first six bytes
-as a number, cut at equi-depth quantiles), sizes go by equi-depth quantiles too, so files cut from the curve hold narrow
+Source, language and size are quantised to 32 steps each, of about equal rows. Sources and languages keep their order: whole
+values are counted, and steps are cut along the ranked distinct values; sizes go by quantiles. So files cut from the curve hold narrow
 ranges in all three and readers can skip them by any of these columns. Documents are ordered by curve index, then by a
 hash, and runs of nearly equal bytes are cut as shards. The order is never gathered: sums per (cell, slot) are prefixed.
 """
@@ -56,9 +56,21 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(planes, start, plane, finish)
 
 
-def _ordinal(c: Column) -> Column:
-    """An order-keeping number of a string's first six UTF-8 bytes."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(c, "utf-8")), 1, 12), 12, "0"), 16, 10).cast("double")
+def value_edges(docs: DataFrame, col: str, steps: int) -> list[str]:
+    """The first value of each step but the lowest: distinct values in order, cut into ``steps`` of about equal rows.
+
+    Values are counted first, so a hot one is one row; they are range-sorted and counts are prefixed by range, one row a range.
+    """
+    counts = docs.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    counts = materialize(counts.repartitionByRange("value").withColumn("p", F.spark_partition_id()))
+    ranges = counts.groupBy("p").agg(F.sum("n").alias("m"))
+    ranges = ranges.select("p", F.coalesce(F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("p").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("w", inside).join(F.broadcast(ranges), "p")
+    # A value goes to the step in which the middle of its rows lies.
+    step = F.least(F.floor((F.col("b") + F.col("w") + F.col("n") / 2) * steps / F.col("total")), F.lit(steps - 1))
+    first = at.groupBy(step.alias("step")).agg(F.min("value").alias("value")).orderBy("step").collect()  # a row a step
+    return [r.value for r in first[1:]]
 
 
 def _at_most(value: Column):
@@ -68,21 +80,20 @@ def _at_most(value: Column):
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", bits: int = BITS) -> DataFrame:
     """(id_col, size, text_crc32, law, shard, slot, grown_shard, curve): runs of the curve of nearly equal bytes.
 
-    Size is the text's UTF-8 bytes plus 1 (null text: 1, CRC that of no bytes). Null metadata count as step 0. ``slot`` runs
+    Size is the text's UTF-8 bytes plus 1 (null text: 1, CRC that of no bytes). Null metadata count as step 0; sources and languages may be of any type that has a text. ``slot`` runs
     without gaps from 0 in each shard, along the curve. Rows equal in all columns read are interchangeable. A hot cell is
     cut like any run. An empty table gives no row; more shards than documents leave some shards empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    slim = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), _ordinal(F.col(source_col)).alias("d0"), _ordinal(F.col(lang_col)).alias("d1"), F.log2(size.cast("double")).alias("d2"))
+    slim = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"), F.col(source_col).cast("string").alias("d0"), F.col(lang_col).cast("string").alias("d1"), F.log2(size.cast("double")).alias("d2"))
     slim = materialize(slim)
     steps = 1 << bits
     probes = [i / steps for i in range(1, steps)]
-    cuts = slim.agg(*[F.percentile_approx(f"d{k}", probes, 10000).alias(f"q{k}") for k in range(3)]).first()
+    sizes = slim.agg(F.percentile_approx("d2", probes, 10000)).first()[0]
     dims = []
-    for k in range(3):
-        edges = sorted(set(cuts[f"q{k}"] or []))
-        marks = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
+    for k, (edges, kind) in enumerate([(value_edges(slim, "d0", steps), "string"), (value_edges(slim, "d1", steps), "string"), (sorted(set(sizes or [])), "double")]):
+        marks = F.array(*map(F.lit, edges)).cast(f"array<{kind}>")
         value = F.col(f"d{k}")
         dims.append(F.when(value.isNull(), F.lit(0)).otherwise(F.size(F.filter(marks, _at_most(value)))))
     cells = slim.select("id", "size", "text_crc32", F.xxhash64("id", "text_crc32", "size").alias("_h"), hilbert_index(dims, bits).alias("curve"), F.lit(1).cast("long").alias("one"))
