@@ -88,6 +88,32 @@ def test_shards_are_even_runs(spark, n, shards):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == want
 
 
+def test_files_are_skipped_by_each_dimension(spark):
+    """Sources that begin alike, and languages and sizes: each value lies in few of the shards, by rows as dealt at random in all."""
+    rng = random.Random(2)
+    rows = [(i, "x" * rng.choice([10, 100, 1000]), f"https://common_crawl_{rng.randint(0, 7)}", rng.choice(["de", "en", "es", "fr"])) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sharding.shard(df, 32).join(df.select("doc_id", "source", "lang"), "doc_id").collect()
+    for of, values in ((lambda r: r.source, 8), (lambda r: r.lang, 4), (lambda r: r.size, 3)):
+        met = {(r.shard, of(r)) for r in got}
+        assert len(met) / (32 * values) < 0.6
+    assert sharding.value_edges(df, "source", 8) == [f"https://common_crawl_{k}" for k in range(1, 8)]
+
+
+def test_steps_of_values_hold_equal_rows(spark):
+    rng = random.Random(5)
+    values = [f"v{rng.randint(0, 400):03}" for _ in range(5000)] + ["v123"] * 2500 + [None] * 10
+    edges = sharding.value_edges(spark.createDataFrame([(v,) for v in values], "v string").repartition(7), "v", 10)
+    kept = sorted(v for v in values if v)
+    n = len(kept)
+    step = {}
+    for v in dict.fromkeys(kept):
+        a = kept.index(v)
+        step.setdefault(min(9, int((a + kept.count(v) / 2) * 10 / n)), v)
+    assert edges == [step[k] for k in sorted(step)][1:]
+    assert sharding.value_edges(spark.createDataFrame([], "v string"), "v", 4) == []
+
+
 def test_no_shards(spark):
     assert sharding.shard(spark.createDataFrame([], DOCS)).count() == 0
 
@@ -141,6 +167,58 @@ def test_mixture_meets_targets(spark):
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in got) == sorted((r.doc_id or -1, r.size, r.taken) for r in again)
 
 
+@pytest.mark.parametrize("budget", [1.5, 0.7])
+def test_mixture_against_a_plain_queue(spark, budget):
+    """Words served one after another, the next one always of the document with the smallest virtual time, until the budget is used up."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", "c", "c"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df, budget=budget).collect()}
+    total = sum(r.size for r in got.values())
+    left = round(budget * total)
+    heap = []
+    for s in {r.source for r in got.values()}:
+        mine = sorted((r for r in got.values() if r.source == s and r.size), key=lambda r: r.finish)
+        words = [(r.doc_id, mine[0].target) for _ in range(2) for r in mine for _ in range(r.size)]
+        heap += [((k + 1) / t, s, i) for k, (i, t) in enumerate(words)]
+    heap.sort()
+    taken = defaultdict(int)
+    for _, _, i in heap[:left]:
+        taken[i] += 1
+    # Fluid service ends each source within a word of the plain queue, in the one document in service.
+    off = {i: abs(taken[i] - r.taken) for i, r in got.items()}
+    assert sum(map(bool, off.values())) <= 3 and max(off.values()) <= 1
+    order = sorted((r for r in got.values() if r.first_taken), key=lambda r: r.mix_offset)
+    assert all(a.finish <= b.finish for a, b in zip(order, order[1:]))
+    seen = sorted((r.finish + k * r.source_size / r.target, r.doc_id, t) for r in got.values() for k, t in ((0, r.first_taken), (1, r.second_taken)) if t)
+    at = 0
+    for f, i, t in seen:
+        if f == got[i].finish:
+            assert got[i].mix_offset == at
+        at += t
+
+
+def test_the_cut_follows_the_budget(spark):
+    """Words of two sources at rates 3 and 1 up to a tenth, then to all of them."""
+    rows = [(k, "a", 10, 30.0, 10 * k, (10.0 * k + 10) / 30, 100) for k in range(10)] + [(20 + k, "b", 5, 10.0, 5 * k, (5.0 * k + 5) / 10, 50) for k in range(10)]
+    d = spark.createDataFrame(rows, "_row long, source string, size long, target double, _before long, finish double, source_size long")
+    assert abs(mixing.cut_time(d, 4.0) - 0.1) < 1e-6 and abs(mixing.cut_time(d, 240.0) - 6) < 1e-6
+    assert abs(mixing.cut_time(d, 290.0) - (200 / 30 + (290 - 200 - 200 / 3) / 10)) < 1e-2
+    assert mixing.cut_time(d, 1000.0) > 1e6 and mixing.cut_time(d.where("false"), 0.0) == 0
+
+
+def test_mixed_rows_of_one_id(spark):
+    """An id's rows with different texts stand as often as each was served."""
+    rows = [(7, "w " * k, "s") for k in range(1, 40)] + [(i, "x y z", "t") for i in range(100, 120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        n[r.text] += 1
+    served = {r.size: r.taken for r in mixing.mix(df).where("source = 's'").collect()}
+    for k in range(1, 40):
+        assert n["w " * k] in (served[k] // k, served[k] // k + 1)
+
+
 def test_mixed_documents(spark):
     rows = [(i, "w " * (i % 9 + 1), f"s{i % 3}", 1, "x") for i in range(90)] + [(None, "w", "s0", 1, "x"), (95, "", "s1", 1, "x"), (96, None, "s1", 1, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies int, finish string")
