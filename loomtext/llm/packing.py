@@ -9,13 +9,16 @@ task is redone from its own input alone. A window closes after WINDOW tokens (a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,8 @@ LENGTH = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Tokens of a window: bounds the memory of a task (4 bytes a token, and the pieces).
 WINDOW = 4_000_000
+#: Bytes of texts that are encoded at once, but for a single longer text.
+BATCH = 4_000_000
 #: Words whose ids a worker keeps, at about 200 bytes each.
 KEPT_WORDS = 600_000
 
@@ -41,7 +46,13 @@ def _tokenizer(path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {}, {})
+        tok = Tokenizer.from_file(path)
+        spec = json.loads(tok.to_str())
+        cut = spec.get("pre_tokenizer") or {}
+        # Only a plain byte-level BPE cuts at single spaces before anything else.
+        led = spec["model"].get("type") == "BPE" and not spec.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        named = "|".join(re.escape(t["content"]) for t in spec.get("added_tokens") or [])
+        _loaded[path] = (tok, {}, {}, led, re.compile(named) if named else None)
     return _loaded[path]
 
 
@@ -50,16 +61,17 @@ def encode(texts: list[str], path: str) -> list[np.ndarray]:
 
     A byte-level BPE cuts texts at single spaces before it merges, so ids of a text are those of its space-led words one
     after another; words are encoded once and kept. Texts with a run of spaces, a space at the end or the opening of a
-    special token's name go through the tokenizer whole, as its rules look further there.
+    special token's name go through the tokenizer whole, as its rules look further there, and so do all texts if the
+    tokenizer is of another kind.
     """
-    tok, led, first = _tokenizer(path)
+    tok, led, first, by_word, named = _tokenizer(path)
     out: list = [None] * len(texts)
     held: list[tuple] = []  # (text, words, places of words not known, their ids)
     whole: list[int] = []
     new_led: set[str] = set()
     new_first: set[str] = set()
     for i, t in enumerate(texts):
-        if "  " in t or "<|" in t or t[-1:] == " " or t[:1] == " ":
+        if t and not by_word or "  " in t or "<|" in t or t[-1:] == " " or t[:1] == " " or (named and named.search(t)):
             whole.append(i)
         elif t:
             w = t.split(" ")
@@ -218,8 +230,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         src_type = None
         for b in batches:
             src_type = b.column(0).type
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            # At once some thousand texts, or some MB of them.
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                limit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH, side="right"))
+                part = b.slice(at, max(1, min(1000, limit - at)))
+                at += part.num_rows
                 for i, t in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()], path)):
                     t = np.append(t, np.uint32(end_id))
                     ids.append(i)

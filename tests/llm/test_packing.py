@@ -78,3 +78,15 @@ def test_pieces_of_a_table(spark):
     assert sum(r.length for r in docs[3]) == 2 * (len(reference(["a "])[0]) + 1)
     assert sorted(r.doc_tokens for r in docs[None]) == [1, 2]
     assert len(packing.pack(df.where("false")).collect()) == 0
+
+
+def test_other_kinds_of_tokenizers(tmp_path, monkeypatch):
+    """A tokenizer that doesn't cut at single spaces gets whole texts."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {w: i for i, w in enumerate(["[UNK]", "a", "b", "a b"])}
+    t = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Split(",", "removed")
+    path = str(tmp_path / "t.json")
+    t.save(path)
+    assert [x.tolist() for x in packing.encode(["a b,b", "a,b", "", "c"], path)] == [[3, 2], [1, 2], [], [0]]
