@@ -33,6 +33,8 @@ HEAVY = 8_000_000
 STEP = 8
 #: Heavy prefixes are broadcast up to this number (8 MB); beyond it the joins are shuffled.
 BROADCAST_PREFIXES = 1_000_000
+#: Dropped documents (id and hash, 16 MB) are broadcast up to this number; beyond it the join is shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -59,6 +61,8 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
@@ -197,15 +201,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest: one document of each group stays, whole, all columns kept.
+    """One document of each group of near copies, whole, all columns kept: of the rows with its smallest id, the one of the smallest text hash.
 
-    Rows equal in id and text are one document: one of them stays. Rows without an id cannot be named in a group: all stay.
+    Ids may be repeated: it is rows that are told apart, by id and a 64-bit hash of the text. Rows equal in both are one
+    document: one of them stays. Rows without an id cannot be named in a group: all stay. Decisions are made on ids and hashes;
+    texts are not shuffled while the dropped documents are few enough to broadcast, else once.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    comp = simhash_components(named, id_col, text_col, radius)
-    key = "__loomtext_simhash_id"
-    kept = comp.where(F.col(id_col) == F.col("component")).select(F.col(id_col).alias(key)).distinct()
-    out = named.join(kept, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col, text_col])
+    key, text_hash = "__loomtext_simhash_id", "__loomtext_simhash_hash"
+    slim = named.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h")).alias("id"), F.col(text_col).alias("text"))
+    comp = materialize(simhash_components(slim, "id", "text", radius))
+    rows = comp.groupBy("id", "component").agg(F.count("*").alias("n"))
+    dropped = materialize(rows.where(F.col("id") != F.col("component")).select(F.col("id.id").alias(key), F.col("id.h").alias(text_hash)).distinct())
+    repeated = materialize(rows.where((F.col("id") == F.col("component")) & (F.col("n") > 1)).select(F.col("id.id").alias(key), F.col("id.h").alias(text_hash)))
+
+    def told(side: DataFrame, n: int, df: DataFrame, how: str) -> DataFrame:
+        on = (F.col(id_col) == F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(text_hash))
+        return df.join(F.broadcast(side) if n <= BROADCAST_IDS else side, on, how)
+
+    out = told(dropped, dropped.count(), named, "left_anti")
+    n = repeated.count()
+    if n:
+        out = told(repeated, n, out, "left_anti").unionByName(told(repeated, n, out, "left_semi").dropDuplicates([id_col, text_col]))
     return out.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -167,3 +167,12 @@ def test_crowded_prefixes_are_split_alike(spark):
         for r in connected_components(simhash.near_links(d, heavy=heavy)).collect():
             found.setdefault(r.component, set()).add(r.node & (2**64 - 1))
         assert sorted(sorted(g) for g in found.values()) == want
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """The second row of id 5 is a copy of 3's text, the other one stays; repeated rows stay once; an id's own near copies too."""
+    a, b = " ".join(f"one{i}" for i in range(60)), " ".join(f"two{i}" for i in range(60))
+    rows = [(3, a), (5, b), (5, a), (8, a), (9, "other words here now"), (9, "other words here now"), (10, b), (10, None), (None, a), (None, a)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(3, a), (5, b), (9, "other words here now"), (10, None), (None, a), (None, a)]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
