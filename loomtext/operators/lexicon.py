@@ -17,6 +17,11 @@ def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.explode(X.lower_tokens(text)).alias("word"))
 
 
+def spread(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, *keep) by document: what is counted, summed or joined by document afterwards needs no shuffle of its words."""
+    return docs.select("doc_id", *keep).repartition("doc_id")
+
+
 def frequencies(t: DataFrame) -> DataFrame:
     return t.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -32,11 +37,12 @@ def idf_log10(doc_words: DataFrame, n_docs: int) -> DataFrame:
 def kl_stopwords(doc_words: DataFrame) -> DataFrame:
     """(word, f, l_x, score): P_x log2(P_x / P_c), P_x the word's share in the documents that hold it, P_c in all.
 
-    Document lengths are summed from the counts and joined by document; a stop word's many rows are combined map-side.
+    Document lengths are summed from the counts and joined by document, without a shuffle if the counts come from
+    ``spread`` documents; a stop word's many rows are combined map-side.
     """
     lengths = doc_words.groupBy("doc_id").agg(F.sum("tf").alias("len"))
     per = doc_words.join(lengths, "doc_id").groupBy("word").agg(F.sum("tf").alias("f"), F.sum("len").alias("l_x"))
-    total = doc_words.agg(F.sum("tf").alias("total"))  # one row
+    total = per.agg(F.sum("f").alias("total"))  # one row
     px, pc = F.col("f") / F.col("l_x"), F.col("f") / F.col("total")
     return per.join(F.broadcast(total)).select("word", "f", "l_x", (px * F.log2(px / pc)).alias("score"))
 
@@ -79,9 +85,12 @@ def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
     return d.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("rank", (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_q", "_r", "_b")
 
 
+LM_WORD = "[a-zA-ZÀ-ɏḀ-ỿ]+|[0-9]+"
+
+
 def lm_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, pos, token, gap): alphabetic runs and <num> for digit runs, with what stands before each."""
-    word = "[a-zA-ZÀ-ɏḀ-ỿ]+|[0-9]+"
+    word = LM_WORD
     pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0)).alias("w"), F.split(text, word, -1).alias("g"))
     d = docs.select("doc_id", F.posexplode(pairs).alias("pos", "x")).select("doc_id", "pos", F.lower("x.w").alias("w"), F.col("x.g").alias("gap"))
     return d.where("w IS NOT NULL").select("doc_id", "pos", F.when(F.col("w").rlike("^[0-9]+$"), F.lit("<num>")).otherwise(F.col("w")).alias("token"), "gap")
@@ -96,14 +105,18 @@ def lm_counts(docs: DataFrame, text: str = "text", min_uni: int = 5, min_bi: int
     """Unigrams (w, n) and bigrams (w1, w2, n) of valid syllables; bigrams only across white space, of kept unigrams."""
     t = lm_tokens(docs, text)
     uni = t.where(valid_syllable("token")).groupBy(F.col("token").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= min_uni)
-    return uni, lm_bigrams(t, uni, min_bi)
-
-
-def lm_bigrams(t: DataFrame, uni: DataFrame, min_bi: int) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    nxt = t.withColumn("w2", F.lead("token").over(w)).withColumn("g2", F.lead("gap").over(w))
-    nxt = nxt.where(F.col("g2").rlike(r"^\s+$") & valid_syllable("token") & valid_syllable("w2"))
-    bi = nxt.groupBy(F.col("token").alias("w1"), "w2").agg(F.count("*").alias("n")).where(F.col("n") >= min_bi)
+    return uni, lm_bigrams(docs, uni, text, min_bi)
+
+
+def lm_bigrams(docs: DataFrame, uni: DataFrame, text: str, min_bi: int) -> DataFrame:
+    """Pairs are made of a text's tokens where they stand, so that only counts are shuffled."""
+    word = F.regexp_extract_all(F.col(text), F.lit(LM_WORD), F.lit(0))
+    gap = F.split(text, LM_WORD, -1)
+    named = lambda x: F.when(x.rlike("^[0-9]+$"), F.lit("<num>")).otherwise(F.lower(x))
+    both = F.struct(F.transform(word, named).alias("w"), gap.alias("g"))
+    pairs = X.let(both, lambda s: F.transform(s["w"], lambda w, i: F.struct(w.alias("w1"), F.get(s["w"], i + 1).alias("w2"), F.get(s["g"], i + 1).alias("g"))))
+    p = docs.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("g").rlike(r"^\s+$") & valid_syllable("w1") & valid_syllable("w2"))
+    bi = p.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= min_bi)
     return bi.join(uni.select(F.col("w").alias("w1")), "w1", "left_semi").join(uni.select(F.col("w").alias("w2")), "w2", "left_semi").select("w1", "w2", "n")
 
 

@@ -5,13 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet files in the folder of spark.checkpoint.dir, which all executors share; in local mode without that
-    setting, in a temporary folder. What reads it doesn't compute it again, nor depend on the executors that did."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A path not used before under spark.checkpoint.dir, which all executors share; in local mode without that setting, in a
+    temporary folder."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir", None)
     if not top:
@@ -19,6 +18,11 @@ def written(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = getattr(spark, "_loomtext_written", None) or "file://" + tempfile.mkdtemp(prefix="loomtext-")
         spark._loomtext_written = top
-    path, schema = f"{top.rstrip('/')}/loomtext/{uuid.uuid4().hex}", df.schema
+    return f"{top.rstrip('/')}/loomtext/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in a new folder. What reads it doesn't compute it again, nor depend on the executors that did."""
+    spark, path, schema = df.sparkSession, new_folder(df.sparkSession), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators import agentlog as A
 from loomtext.operators import knowledge as K
+from loomtext.operators.written import new_folder
 from loomtext.plans.catalog import query, table
 from loomtext.streaming import windows as S
 
@@ -180,42 +181,55 @@ def _plain(df, *cols):
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark, sf_dir):
-    t = S.run_to_table(S.tumbling(_stream(spark, sf_dir), "ts", "1 hour", "event_type"), "events_tumbling", "complete")
+    t = S.run_to_files(S.tumbling(_stream(spark, sf_dir), "ts", "1 hour", "event_type"), "complete")
     return _plain(t, "start").withColumn("total", F.round("total", 6))
 
 
 @query("SELECT time_bucket(INTERVAL '15 minutes', ts) - INTERVAL 15 MINUTE * k AS start, event_type, count(*) AS n FROM events, (SELECT unnest(range(0, 4)) AS k) GROUP BY ALL")
 def events_sliding(spark, sf_dir):
-    return _plain(S.run_to_table(S.sliding(_stream(spark, sf_dir), "ts", "1 hour", "15 minutes", "event_type"), "events_sliding", "complete"), "start")
+    return _plain(S.run_to_files(S.sliding(_stream(spark, sf_dir), "ts", "1 hour", "15 minutes", "event_type"), "complete"), "start")
 
 
 @query("""
 WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def events_sessions(spark, sf_dir):
-    return _plain(S.run_to_table(S.sessions(_stream(spark, sf_dir), "ts", "2 hours", "user_id"), "events_sessions", "complete"), "start", "end")
+    return _plain(S.run_to_files(S.sessions(_stream(spark, sf_dir), "ts", "2 hours", "user_id"), "complete"), "start", "end")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def events_dedup(spark, sf_dir):
-    d = S.distinct_events(table(spark, sf_dir, "events").select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"])
-    return d.select("user_id", "event_type")
+    """A stream without repeats, kept for longer than the table's events span."""
+    d = S.distinct_events(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "36500 days")
+    return S.run_to_files(d).select("user_id", "event_type")
+
+
+@query("""
+SELECT event_id, ts AS at FROM events WHERE event_type IS DISTINCT FROM 'purchase' OR ts > (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 7 DAY FROM events WHERE event_type IS DISTINCT FROM 'purchase')""")
+def events_late(spark, sf_dir):
+    """Purchases that come after all other events: those older than the watermark are dropped."""
+    e, folder = table(spark, sf_dir, "events"), new_folder(spark)
+    for part in ("NOT event_type <=> 'purchase'", "event_type <=> 'purchase'"):
+        e.where(part).write.mode("append").parquet(f"{folder}/in")
+        s = S.stream_of(spark, f"{folder}/in", e.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = S.run_to_files(S.distinct_events(s.select("event_id", "ts"), "ts", ["event_id"], "7 days"), folder=folder)
+    return _plain(out, "ts").withColumnRenamed("ts", "at")
 
 
 @query("SELECT event_type AS word, count(*) AS df FROM events GROUP BY event_type")
 def stream_vocabulary(spark, sf_dir):
     """Document frequencies kept up by a stream."""
     s = _stream(spark, sf_dir).groupBy(F.col("event_type").alias("word")).agg(F.count("*").alias("df"))
-    return S.run_to_table(s, "stream_vocabulary", "complete")
+    return S.run_to_files(s, "complete")
 
 
 @query("SELECT event_id, upper(event_type) AS kind FROM events")
 def stream_projection(spark, sf_dir):
     """Scalar functions on a stream as on a table."""
-    return S.run_to_table(_stream(spark, sf_dir).select("event_id", F.upper("event_type").alias("kind")), "stream_projection")
+    return S.run_to_files(_stream(spark, sf_dir).select("event_id", F.upper("event_type").alias("kind")))
 
 
 @query()
 def stream_pairs(spark, sf_dir):
     """Starts paired with ends by a stateful operator with a timeout."""
-    return _plain(S.run_to_table(S.paired(_stream(spark, sf_dir), "user_id", "event_type", "ts", "view", "purchase"), "stream_pairs"), "started", "ended")
+    return _plain(S.run_to_files(S.paired(_stream(spark, sf_dir), "user_id", "event_type", "ts", "view", "purchase")), "started", "ended")

@@ -53,7 +53,8 @@ SELECT word, f::BIGINT AS f, l_x::BIGINT AS l_x, round((f / l_x) * log2((f / l_x
 
 @query(KL)
 def kl_stopwords(spark, sf_dir):
-    return L.kl_stopwords(L.doc_frequencies(toks(spark, sf_dir))).withColumn("score", F.round("score", 9))
+    docs = L.spread(table(spark, sf_dir, "documents"), "text")
+    return L.kl_stopwords(L.doc_frequencies(L.tokens(docs))).withColumn("score", F.round("score", 9))
 
 
 @query(f"SELECT word, score FROM ({KL}) ORDER BY score DESC, word LIMIT 70")

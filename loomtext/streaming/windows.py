@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.operators.written import new_folder
+
 LATE = "10 minutes"
 
 
@@ -29,7 +31,7 @@ def sessions(df: DataFrame, ts: str, gap: str, key: str, late: str = LATE) -> Da
 
 
 def distinct_events(df: DataFrame, ts: str, keys: list[str], late: str = LATE) -> DataFrame:
-    """Each key once within the watermark; on a batch, once."""
+    """Each key once within the watermark, its late repeats left out; on a batch, once."""
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
@@ -65,8 +67,26 @@ def paired(df: DataFrame, key: str, kind: str, ts: str, start: str, end: str, ti
     return g.applyInPandasWithState(step, f"{key} {kt}, started timestamp, ended timestamp", "opened long", "append", "EventTimeTimeout")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def run_to_files(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote, as Parquet files; nothing passes through the driver.
+
+    ``append`` goes through the file sink, whose log makes a repeated batch count once. ``complete`` writes each batch's whole
+    result to a folder named by the batch, so that a repeated batch overwrites itself, and returns the last one. A later run
+    with the same ``folder`` goes on from the offsets, state and watermark of the one before; ``append`` only.
+    """
+    if folder and mode != "append":
+        raise ValueError("only an appending stream goes on in a folder")
+    spark, schema = df.sparkSession, df.schema
+    folder = folder or new_folder(spark)
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{folder}/out").start().awaitTermination()
+        return spark.read.schema(schema).parquet(f"{folder}/out")
+    last = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        last[:] = [number]
+
+    out.foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out/{last[0]}") if last else spark.createDataFrame([], schema)
