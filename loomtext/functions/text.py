@@ -348,6 +348,11 @@ def lower_tokens(c) -> Column:
     return F.transform(simple_tokens(c), F.lower)
 
 
+def wrapped(tokens: Column) -> Column:
+    """Each token as a list of its own."""
+    return F.transform(tokens, lambda x: F.array(x))
+
+
 def space_tokens(c) -> Column:
     return F.filter(F.split(_col(c), r"\s+"), lambda x: x != "")
 

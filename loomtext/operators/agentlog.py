@@ -58,3 +58,14 @@ def clock(ts: str) -> list[Column]:
     """Date, time, weekday and epoch seconds of an instant, in the session's time zone."""
     t = F.col(ts)
     return [F.date_format(t, "yyyy-MM-dd").alias("date"), F.date_format(t, "HH:mm:ss").alias("time"), F.date_format(t, "EEEE").alias("weekday"), F.unix_timestamp(t).alias("epoch")]
+
+
+#: States of a subtask.
+PROGRESS = "task string, created_at string, updated_at string, subtasks array<struct<id:int,description:string,status:string,result_summary:string,started_at:string,completed_at:string>>"
+
+
+def progress(raw: str) -> list[Column]:
+    """task, next_pending (the first pending subtask's id) and complete (all are completed or skipped) of a progress file's JSON."""
+    p = F.from_json(raw, PROGRESS)
+    left = F.get(F.filter(p["subtasks"], lambda s: s["status"] == "pending"), F.lit(0))["id"]
+    return [p["task"].alias("task"), left.alias("next_pending"), F.forall(p["subtasks"], lambda s: s["status"].isin("completed", "skipped")).alias("complete")]

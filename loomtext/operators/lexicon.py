@@ -152,3 +152,16 @@ def expand_rules(rules: DataFrame) -> DataFrame:
     form = lambda made, o, f: F.struct(F.lit(made).alias("made"), F.col("seq"), F.lit(o).alias("o"), f("key").alias("key"), f("value").alias("value"))
     e = d.select(F.explode(F.array(form(0, 0, F.col), form(1, 1, cap), form(1, 2, F.upper))).alias("x")).select("x.*")
     return e.groupBy("key").agg(F.max_by("value", F.struct("made", "seq", "o")).alias("value"))
+
+
+def reversed_index(df: DataFrame, key: str, values: str, order: str) -> DataFrame:
+    """(value, key): the key under which a value stands; of several the last one in ``order``."""
+    return df.select(F.explode(values).alias("value"), F.col(key).alias("_k"), F.col(order).alias("_o")).groupBy("value").agg(F.max_by("_k", F.struct("_o", "_k")).alias(key))
+
+
+def tag_problems(senses: DataFrame, tags: DataFrame, least: int) -> DataFrame:
+    """(word, tag, problem) of a dictionary (word, tag): tags that aren't among ``tags``, and a row when it has too few words."""
+    bad = senses.join(F.broadcast(tags.select("tag")), "tag", "left_anti").select("word", "tag", F.lit("tag").alias("problem"))  # tags: a tag set of tens
+    few = senses.agg(F.count_distinct("word").alias("n")).where(F.col("n") < least)
+    none = F.lit(None).cast("string")
+    return bad.unionByName(few.select(none.alias("word"), none.alias("tag"), F.lit("words").alias("problem")))

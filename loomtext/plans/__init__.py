@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge", "extras", "details")
+MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge", "extras", "details", "records")
 
 
 def load_all() -> None:

@@ -97,8 +97,7 @@ def absa_parse(spark, sf_dir):
 def alternating_labels(spark, sf_dir):
     """A file of texts, each followed by its label."""
     d = spark.createDataFrame([(0, "good"), (1, "POS"), (2, "bad"), (3, "NEG")], "line_no int, line string")
-    w = Window.orderBy("line_no")  # a file's lines
-    return d.select("line_no", F.col("line").alias("text"), F.lead("line").over(w).alias("label")).where("line_no % 2 = 0")
+    return C.alternating(d, "line_no", "line")
 
 
 @query("SELECT * FROM (VALUES (1, 'B-W', 'Tôi'), (2, 'I-W', 'đi')) t(pos, tag, token)")

@@ -229,7 +229,11 @@ def stream_projection(spark, sf_dir):
     return S.run_to_files(_stream(spark, sf_dir).select("event_id", F.upper("event_type").alias("kind")))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_type, ts FROM events WHERE event_type IN ('view', 'purchase')),
+g AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM e),
+p AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS started, max(ts) FILTER (event_type = 'purchase') AS ended FROM g GROUP BY user_id, k)
+SELECT * FROM p WHERE started IS NOT NULL AND (ended IS NOT NULL OR date_trunc('milliseconds', started) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM e))""")
 def stream_pairs(spark, sf_dir):
     """Starts paired with ends by a stateful operator with a timeout."""
     return _plain(S.run_to_files(S.paired(_stream(spark, sf_dir), "user_id", "event_type", "ts", "view", "purchase")), "started", "ended")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators.trees import is_projective
+
 # --- files --------------------------------------------------------------------------------------------------------------
 
 
@@ -54,7 +56,7 @@ def list_directory(tree: DataFrame, directory: str = "", suffixes: tuple[str, ..
     Hidden entries are left out.
     """
     base = directory.strip("/") + "/" if directory.strip("/") else ""
-    rest = F.substring(F.col("path"), len(base) + 1, 1_000_000)
+    rest = F.substring(F.col("path"), len(base) + 1, 2147483647)
     d = tree.where(F.col("path").startswith(base)).withColumn("_r", rest).withColumn("is_dir", F.contains(F.col("_r"), F.lit("/")))
     d = d.withColumn("name", F.when(F.col("is_dir"), F.concat(F.substring_index("_r", "/", 1), F.lit("/"))).otherwise(F.col("_r"))).where(~F.col("name").startswith("."))
     d = d.where(F.col("is_dir") | F.substring_index("name", ".", -1).isin(*suffixes) & F.contains(F.col("name"), F.lit(".")))
@@ -83,7 +85,7 @@ def read_traces(spark: SparkSession, path: str, most: int = 50) -> DataFrame:
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(token, vector) of a text file: a token and its numbers, by blanks."""
     p = F.split("value", " ")
-    return spark.read.text(path).select(F.get(p, F.lit(0)).alias("token"), F.transform(F.slice(p, 2, 1_000_000), lambda x: x.cast("float")).alias("vector"))
+    return spark.read.text(path).select(F.get(p, F.lit(0)).alias("token"), F.transform(F.filter(p, lambda x, i: i > 0), lambda x: x.cast("float")).alias("vector"))
 
 
 def read_wikipedia(spark: SparkSession, path: str) -> DataFrame:
@@ -122,8 +124,18 @@ def token_rows(blocks: DataFrame, key: str = "block", body: str = "body", strict
 CONLL = ("id", "form", "lemma", "cpos", "pos", "feats", "head", "deprel", "phead", "pdeprel")
 
 
-def conll_tokens(blocks: DataFrame, key: str = "block", body: str = "body") -> DataFrame:
-    """The ten columns of token rows whose id is a number; comments and ranges stay out (see conll_notes)."""
+def conll_tokens(blocks: DataFrame, key: str = "block", body: str = "body", projective: bool = False, shorter_than: int | None = None) -> DataFrame:
+    """The ten columns of token rows whose id is a number; comments and ranges stay out (see conll_notes).
+
+    ``projective`` leaves out sentences with crossing arcs, ``shorter_than`` those of that many tokens or more.
+    """
+    if projective or shorter_than is not None:
+        rows = F.filter(F.split(body, "\n"), lambda x: x.rlike("^[0-9]+\t"))
+        heads = F.transform(rows, lambda r: F.coalesce(F.get(F.split(r, "\t"), F.lit(6)).try_cast("int"), F.lit(-1)))
+        if shorter_than is not None:
+            blocks = blocks.where(F.size(rows) < shorter_than)
+        if projective:
+            blocks = blocks.where(is_projective(heads))
     t = token_rows(blocks, key, body).where(F.get("cells", F.lit(0)).rlike("^[0-9]+$"))
     return t.select(key, *[F.get("cells", F.lit(k)).alias(n) for k, n in enumerate(CONLL)]).withColumn("id", F.col("id").cast("int"))
 
@@ -149,6 +161,83 @@ def ud_headers(blocks: DataFrame, key: str = "block", body: str = "body") -> Dat
     return blocks.select(key, F.explode(h).alias("h")).select(key, F.regexp_extract("h", "^# ([^=]+?) = ", 1).alias("name"), F.regexp_extract("h", "^# [^=]+? = (.*)$", 1).alias("value"))
 
 
+def ud_body(headers: Column, rows: Column) -> Column:
+    """A block of ``# name = value`` lines from array<struct<name, value>> in order, and TAB-separated rows from array<array<string>>."""
+    head = F.transform(headers, lambda h: F.concat(F.lit("# "), h["name"], F.lit(" = "), h["value"]))
+    return F.array_join(F.concat(head, F.transform(rows, lambda r: F.array_join(r, "\t"))), "\n")
+
+
+def write_blocks(df: DataFrame, path: str, body: str = "body") -> None:
+    """Blocks parted by blank lines, as many files as partitions."""
+    df.select(F.col(body).alias("value")).write.option("lineSep", "\n\n").text(path)
+
+
+def raw_ud_headers(raw: str) -> Column:
+    """array<struct<name, value>> of a raw block: its first three header lines, its last line as text, and the type bronze."""
+    lines = F.split(raw, "\n")
+    given = F.transform(F.filter(F.slice(lines, 1, 3), lambda x: x.rlike("^# [^=]+? = ")), lambda x: F.struct(F.regexp_extract(x, "^# ([^=]+?) = ", 1).alias("name"), F.regexp_extract(x, "^# [^=]+? = (.*)$", 1).alias("value")))
+    return F.concat(given, F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("text", F.element_at(lines, -1)), ("type", F.lit("bronze")))]))
+
+
+def labelled_paragraphs(d: DataFrame, text: str, label: str, *keep: str) -> DataFrame:
+    """(*keep, line): ``__label__X text`` of the blank-line separated texts of a file of one class."""
+    parts = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n\n")
+    return d.select(*keep, F.explode(F.transform(parts, lambda p: F.concat(F.lit("__label__"), F.col(label), F.lit(" "), p))).alias("line"))
+
+
+def alternating(d: DataFrame, line_no: str, line: str, *keys: str) -> DataFrame:
+    """(*keys, line_no, text, label) of files of texts (even lines from 0), each followed by its label; a last text without one stays out."""
+    pair, last = F.floor(F.col(line_no) / 2), F.col(line_no) % 2 == 1
+    of = lambda c: F.max(F.when(c, F.trim(line)))
+    g = d.groupBy(*keys, pair.alias("_p")).agg(of(~last).alias("text"), of(last).alias("label"), F.bool_or(last).alias("_both"))
+    return g.where("_both").select(*keys, (F.col("_p") * 2).alias("line_no"), "text", "label")
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """array<struct<a, b>> by position, as long as the shorter one."""
+    n = F.least(F.size(a), F.size(b))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+
+
+def sung_lines(text: str) -> Column:
+    """Lines without music signs, trimmed; those with nothing else stay out."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, "♪", ""), "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
+def stacked(*parts: DataFrame) -> DataFrame:
+    """Splits one after another by column name; a column that a split lacks is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def catalogue(entries: DataFrame, everything: bool = False) -> DataFrame:
+    """(name, type, license, year, directory), newest first, then by type and name downwards; closed ones are starred, or left out."""
+    d = entries if everything else entries.where("NOT license <=> 'Close'")
+    d = d.select("name", "type", F.when(F.col("license") == "Close", "Close*").otherwise(F.col("license")).alias("license"), "year", "directory")
+    return d.orderBy(F.desc("year"), F.desc("type"), F.desc("name"))
+
+
+def read_catalogue(spark: SparkSession, path: str, everything: bool = True) -> DataFrame:
+    """A YAML mapping of names to type, license, year and cache_dir: a configuration file, read on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        known = yaml.safe_load(f) or {}
+    rows = [(n, *[None if e.get(k) is None else str(e[k]) for k in ("type", "license", "year", "cache_dir")]) for n, e in known.items()]
+    return catalogue(spark.createDataFrame(rows, "name string, type string, license string, year string, directory string"), everything)
+
+
+def write_dictionary(words: DataFrame, path: str) -> None:
+    words.select("text", "source").write.json(path)
+
+
+def write_traces(traces: DataFrame, path: str, trace: str = "trace_id") -> None:
+    """JSON files in a folder a trace."""
+    traces.write.partitionBy(trace).mode("overwrite").json(path)
+
+
 def underscore_bio(c: str) -> Column:
     """array<struct<token, tag>> of ``a_b c``: the first piece of a word begins it; empty pieces are skipped."""
     words = F.filter(F.split(c, r"\s+"), lambda x: x != "")
@@ -186,6 +275,6 @@ def session_markdown(turns: DataFrame, conv: str, turn: str, role: str, text: st
 def parse_session(d: DataFrame, conv: str, body: str) -> DataFrame:
     """(conv, turn, role, text) back from a session."""
     heads = F.regexp_extract_all(F.col(body), F.lit(r"(?m)^## (system|user|assistant) [0-9]+\n\n"), F.lit(0))
-    texts = F.slice(F.split(body, r"(?m)^## (?:system|user|assistant) [0-9]+\n\n", -1), 2, 1_000_000)
+    texts = F.filter(F.split(body, r"(?m)^## (?:system|user|assistant) [0-9]+\n\n", -1), lambda x, i: i > 0)
     x = d.select(conv, F.explode(F.arrays_zip(heads.alias("h"), texts.alias("t"))).alias("x"))
     return x.select(conv, F.regexp_extract("x.h", "([0-9]+)", 1).cast("long").alias("turn"), F.regexp_extract("x.h", "## ([a-z]+)", 1).alias("role"), F.regexp_replace("x.t", "\n\n?$", "").alias("text"))

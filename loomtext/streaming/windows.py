@@ -44,7 +44,7 @@ def paired(df: DataFrame, key: str, kind: str, ts: str, start: str, end: str, ti
             state.remove()
             yield pd.DataFrame({key: [k[0]], "started": [pd.Timestamp(opened, unit="us")], "ended": [pd.NaT]})
             return
-        rows = pd.concat(list(batches)).sort_values(ts)
+        rows = pd.concat(list(batches)).sort_values([ts, kind])
         opened = state.get[0] if state.exists else None
         out = []
         for kd, t in zip(rows[kind], rows[ts]):
