@@ -264,7 +264,7 @@ def match_case(shape, word) -> Column:
     s, w = _col(shape), _col(word)
     caps = (F.upper(s) == s) & (F.lower(s) != s)
     first = F.substring(s, 1, 1)
-    return F.when(caps & (F.length(s) > 1), F.upper(w)).when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))).otherwise(w)
+    return F.when(caps & (F.length(s) > 1), F.upper(w)).when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2147483647))).otherwise(w)
 
 
 def vi_sort_key(c) -> Column:
