@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import zlib
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -69,6 +71,73 @@ def test_trigrams_cover_whole_texts():
     assert np.array_equal(langid.trigrams("AÉ x")[0], langid.trigrams("aé  X")[0])
 
 
+def plain_trigrams(text):
+    """Hashed trigrams, one by one, in whole numbers."""
+    letters = "".join(c.lower()[0] if c.isalpha() else " " for c in f" {text} ")
+    letters = re.sub(" +", " ", letters)
+    out = {}
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        h = ord(a) * 2654435761 % 2**32 ^ ord(b) * 2246822519 % 2**32 ^ ord(c) * 3266489917 % 2**32
+        h = (h ^ h >> 15) * 668265263 % 2**32
+        out[h >> 16] = out.get(h >> 16, 0) + 1
+    return out
+
+
+def plain_mixture(grams, like, langs):
+    """Shares of the languages by expectation-maximisation over single trigrams, and the log-likelihood."""
+    share = {x: 1 / len(langs) for x in langs}
+    for _ in range(langid.ROUNDS if len(langs) > 1 else 0):
+        new = dict.fromkeys(langs, 0.0)
+        for g, n in grams.items():
+            whole = sum(share[x] * like(x, g) for x in langs)
+            for x in langs:
+                new[x] += n * share[x] * like(x, g) / whole
+        share = {x: v / sum(grams.values()) for x, v in new.items()}
+    return share, sum(n * math.log(sum(share[x] * like(x, g) for x in langs)) for g, n in grams.items())
+
+
+def plain_language(text, counts):
+    grams = plain_trigrams(text) if text else {}
+    if not any(c.isalpha() for c in text or "") or not counts:
+        return "und", 0.0
+    whole = {x: sum(v.values()) + langid.SMOOTH * 65536 for x, v in counts.items()}
+    like = lambda x, g: (counts[x].get(g, 0) + langid.SMOOTH) / whole[x]
+    full, _ = plain_mixture(grams, like, sorted(counts))
+    order = sorted(counts, key=lambda x: (-full[x], x))
+    price = langid.PENALTY * math.log(max(2, sum(grams.values())))
+    share, best = plain_mixture(grams, like, order[:1])
+    for m in range(2, len(order) + 1):
+        more, value = plain_mixture(grams, like, order[:m])
+        if value - price * (m - 1) <= best:
+            break
+        share, best = more, value - price * (m - 1)
+    top = min(share, key=lambda x: (-share[x], x))
+    return top, share[top]
+
+
+def test_query_against_plain_mixtures(spark, tmp_path):
+    rng = random.Random(8)
+    langs = list(WORDS)
+    rows = [(i, text(langs[i % 3], rng.randint(1, 30), i), langs[i % 3]) for i in range(60)]
+    rows += [(60 + i, text(langs[i % 3], rng.randint(3, 30), i) + " " + text(langs[(i + 1) % 3], rng.randint(3, 30), i), rng.choice(langs)) for i in range(30)]
+    rows += [(90, None, "en"), (91, "", None), (92, "12 !", "fr"), (93, "é", None), (94, "ÀÉ der\u00a0die", "de"), (95, text("en", 9, 1), None), (95, text("fr", 9, 1), "fr"), (None, text("de", 9, 1), "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    counts = {}
+    for i, t, x in rows:
+        if t is not None and x is not None and i is not None and not out(i):
+            for g, n in plain_trigrams(t).items():
+                c = counts.setdefault(x, {})
+                c[g] = c.get(g, 0) + n
+    got = queries.op8_language_mixture(spark, str(tmp_path)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    have = sorted(((r.doc_id, r.lang_pred, r.score) for r in got), key=key)
+    want = sorted(((i, *plain_language(t, counts)) for i, t, _ in rows), key=key)
+    assert [h[:2] for h in have] == [w[:2] for w in want]
+    assert max(abs(h[2] - w[2]) for h, w in zip(have, want)) < 1e-9
+    assert all(r.held_out == out(r.doc_id) for r in got if r.doc_id is not None)
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------------
 
 PARAS = ["First paragraph with <b>bold</b> text &amp; an&nbsp;entity &copy; 2020 that goes on for quite a while.", "Second   paragraph\n over lines, with <a href='/x'>a link</a> inside and enough words to count.", "Third paragraph &lt;escaped&gt; and some more words so that the article is the longest part."]
