@@ -130,24 +130,55 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col:
     return met.groupBy(_ID).agg(F.collect_set("rule").alias(_FOUND))
 
 
+#: Matches of a text that are walked at once: a running list is copied with each of its items, so it is kept to a block.
+BLOCK = 256
+_KIND = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column, fold) -> Column:
+    """array<struct<items, at, then>>: blocks of BLOCK items with the running value from 0 before and after each."""
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda j: F.slice(items, j * BLOCK + 1, F.lit(BLOCK)))
+
+    def step(acc: Column, b: Column) -> Column:
+        then = F.aggregate(b, acc["at"], fold)
+        return F.struct(then.alias("at"), F.concat(acc["out"], F.array(then)).alias("out"))
+
+    def zipped(bs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array(F.lit(0).cast("long")).alias("out"))
+        at = F.aggregate(bs, start, step, lambda acc: acc["out"])
+        return _let(at, lambda t: F.transform(bs, lambda b, j: F.struct(b.alias("items"), F.get(t, j).alias("at"), F.get(t, j + 1).alias("then"))))
+
+    return _let(cut, zipped)
+
+
+def _running(items: Column, fold, emit, kind: str) -> Column:
+    """``emit(before, item)`` of each item, of type ``kind``; ``before`` is the fold from 0 over the items before it. Not for empty arrays."""
+
+    def one(b: Column) -> Column:
+        step = lambda acc, x: F.struct(fold(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(emit(acc["at"], x).cast(kind))).alias("out"))
+        return F.aggregate(b["items"], F.struct(b["at"].alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
+
+    return _let(items, lambda xs: F.flatten(F.transform(_blocks(xs, fold), one)))
+
+
 def _spans(text: Column, rule: Rule, order: int) -> Column:
     """Structs (start, kind_no, end, kind) of a rule's matches; code points, end exclusive."""
     pat = F.lit(rule.pattern)
     hits = F.regexp_extract_all(text, pat, F.lit(0))
     kept = F.regexp_extract_all(text, pat, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
-    kind = "array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>"
-    none = F.array().cast(kind)
+    none = F.array().cast(_KIND)
 
     def walk(m: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(m["gaps"], i))
-            end = start + F.length(F.get(m["hits"], i))
-            one = F.struct(start.cast("long").alias("start"), F.lit(order).alias("kind_no"), end.cast("long").alias("end"), F.lit(rule.name).alias("kind"))
-            return F.struct(end.cast("long").alias("at"), F.when(F.length(F.get(m["kept"], i)) >= rule.least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).cast(kind).alias("out"))
-
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m["hits"]) - 1), start, step, lambda acc: acc["out"])
+        sized = F.transform(m["hits"], lambda h, i: F.struct(F.length(F.get(m["gaps"], i)).alias("gap"), F.length(h).alias("n"), F.length(F.get(m["kept"], i)).alias("kept")))
+        span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind_no"), (at + x["gap"] + x["n"]).alias("end"), F.lit(rule.name).alias("kind"))
+        made = _running(sized, lambda at, x: at + x["gap"] + x["n"], lambda at, x: F.struct(span(at, x).alias("span"), (x["kept"] >= rule.least).alias("ok")), f"struct<span:{_KIND[6:-1]},ok:boolean>")
+        return F.transform(F.filter(made, lambda x: x["ok"]), lambda x: x["span"])
 
     # Bound once by a lambda: the regular expression runs once a text, not once a match.
     found = F.get(F.transform(F.array(F.struct(hits.alias("hits"), kept.alias("kept"), gaps.alias("gaps"))), walk), F.lit(0))
@@ -171,7 +202,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     parts = []
     for k, r in enumerate(rules):
         spans = _spans(text, r, k)
-        parts.append(F.when(F.array_contains(_FOUND, r.name), spans).otherwise(F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string>>")) if r in indexed else spans)
+        parts.append(F.when(F.array_contains(_FOUND, r.name), spans).otherwise(F.array().cast(_KIND)) if r in indexed else spans)
     return base.withColumn(out, F.array_sort(F.concat(*parts))).drop(_ID, _FOUND)
 
 
@@ -188,11 +219,18 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_
     own = "__loomtext_secrets_spans"
     found = scan_secrets(docs, rules, id_col, text_col, own)
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(gap, F.lit("[SECRET]")))).otherwise(acc["out"]).alias("out"))
+    furthest = lambda at, x: F.greatest(at, x["end"])
+    part = lambda t, at, to: F.substring(t, (at + 1).cast("int"), (to - at).cast("int"))
+
+    def pieces(b: Column) -> Column:
+        """A block's stretch of the text, cut out once, and from it what stands before each secret."""
+
+        def step(t: Column) -> Column:
+            put = lambda at, x: F.when(x["start"] >= at, F.concat(part(t, at - b["at"], x["start"] - b["at"]), F.lit("[SECRET]"))).otherwise("")
+            return F.aggregate(b["items"], F.struct(b["at"].alias("at"), F.array().cast("array<string>").alias("out")), lambda acc, x: F.struct(furthest(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(put(acc["at"], x))).alias("out")), lambda acc: F.array_join(acc["out"], ""))
+
+        return _let(part(F.col(text_col), b["at"], b["then"]), step)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    cut = F.aggregate(F.col(own), start, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.lit(2147483647)))), ""))
+    rest = lambda bs: F.substring(F.col(text_col), (F.element_at(bs, -1)["then"] + 1).cast("int"), F.lit(2147483647))
+    cut = _let(_blocks(F.col(own), furthest), lambda bs: F.concat(F.array_join(F.transform(bs, pieces), ""), rest(bs)))
     return found.withColumn(text_col, F.when(F.size(own) > 0, cut).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,3 +77,16 @@ def test_empty_and_only_full_scans(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
     only = secrets.scan_secrets(frame(spark, [(1, "a" * 30, None, None, None)]), (secrets.RULES[2],))
     assert len(only.first().spans) == 1
+
+
+def test_long_text_full_of_secrets(spark):
+    t = "".join(f"é token=abc{i:06d} {'0f' * 12 if i % 7 == 0 else ''} AKIA{'B' * (14 + i % 4)}\n" for i in range(8_000))
+    d = frame(spark, [(1, t, "own", 1, "r")])
+    got = secrets.scan_secrets(d).first()
+    assert [(s.kind, s.start, s.end) for s in got.spans] == brute(t)
+    out, at = "", 0
+    for _, a, b in brute(t):
+        if a >= at:
+            out += t[at:a] + "[SECRET]"
+        at = max(at, b)
+    assert secrets.redact(d).first().text == out + t[at:]
