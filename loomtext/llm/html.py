@@ -28,7 +28,8 @@ from loomtext.llm.common import materialize
 BROADCAST_HOSTS = 100_000
 _HOST = "__loomtext_html_host"
 
-_ATTRS = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
+#: Quotes count right after an equals sign only, where they close again; else a tag ends at the next >. Nothing is tried twice.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>script|style|title|textarea|noscript|template|iframe|noembed|noframes|annotation|annotation-xml)(?![\w:.-]){_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -36,13 +37,15 @@ _TOKEN = re.compile(
     r"|</?[a-z][^>]*\Z|</\Z",
     re.I | re.S,
 )
-_ATTR = re.compile(r"""([a-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_CONTAINERS = frozenset("html head body div section article main aside nav header footer form table tbody thead tfoot tr td th ul ol dl menu figure fieldset details blockquote center dialog button".split())
+_ATTR = re.compile(r"""([a-z_:][\w:.-]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+""", re.I)
+#: What an inline element's attributes may hold that counts.
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_CONTAINERS = frozenset("html head body div section article main aside nav header footer form table tbody thead tfoot tr td th ul ol dl menu figure fieldset details blockquote center dialog".split())
 _BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption summary caption legend hgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Inline elements whose content is no text of the page.
 _SILENT = frozenset("svg select datalist object video audio canvas".split())
-_DROPPED = frozenset("nav aside footer form menu dialog button head".split())
+_DROPPED = frozenset("nav aside footer form menu dialog head".split())
 #: Why a container is left out; from FORM on whatever its path. A main begins anew inside TAG ones too, nothing in HIDDEN ones.
 WEAK, NAMED, FORM, TAG, HIDDEN = 1, 2, 3, 4, 5
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -185,7 +188,7 @@ class Page:
             raw, above = m["attrs"], stack[-1]
             label, role, noise = "", "", 0
             good = tag in ("article", "main", "body", "html")
-            if raw and not raw.isspace():
+            if raw and (block or _TELLING.search(raw)) and not raw.isspace():
                 a = {k.lower(): unescape(x or y or z or "") for k, x, y, z in _ATTR.findall(raw)}
                 role = a.get("role", "").lower()
                 classes = a.get("class", "").split()
@@ -202,9 +205,9 @@ class Page:
                     noise = HIDDEN
             if not block:
                 # Inline elements count where they hide something, and to find the ends of those that do.
-                noise = HIDDEN if tag in _SILENT else noise if noise >= NAMED else 0
+                noise = TAG if tag == "button" else HIDDEN if tag in _SILENT or noise >= NAMED else 0
                 if noise or open_.get(tag):
-                    push(tag, above[1], max(HIDDEN if noise else 0, above[2]))
+                    push(tag, above[1], max(noise, above[2]))
                 continue
             if tag in _DROPPED or (tag == "header" and not kept):
                 noise = max(noise, FORM if tag in ("form", "head") else TAG)

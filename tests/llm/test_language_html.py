@@ -220,6 +220,15 @@ def test_broken_pages():
         ("<head><title>t</title>Hello <b>you</b>", "Hello you"),
         ("<body><article><p>one</p></body></html><p>two</p>", "one\ntwo"),
         ("<article><p>x <video src=v>Old <b>browser</b></video>z<p>y</article>", "x z\ny"),
+        ('<p class="x"">Hello one</p>', "Hello one"),
+        ('<p><a href="x"">link</a></p>', "link"),
+        ("<i class=a'>hi</i> and it's fine", "hi and it's fine"),
+        ("<p title = 'a > b' class=\"c\" d>in</p> \"out\"", 'in\n"out"'),
+        ('<p data-x="never closed>some text</p>', "some text"),
+        ("<p =\">a</p><p '>b</p>", "a\nb"),
+        ("<article><p>before <button class=x>Share <b>it</b></button> after</p><p>end <button>open</p><p>b</p></article>", "before after\nend\nb"),
+        ("<div><button>Menu</div><article>text</article>", "text"),
+        ("<p>x <span hidden=''>no</span><i id=ad>no</i><b data-hidden-not=1>yes</b></p>", "x yes"),
     ],
 )
 def test_odd_markup(page, want):
@@ -235,6 +244,19 @@ def test_unclosed_markup_takes_linear_time(unclosed):
     assert got.count("text") == 20_000 and time.process_time() - start < 3
 
 
+QUOTED = ["<a ", "<a b='", '<a b="c', "<a b=", "<a = ", "<script a='", "<script ", "<!", "</a b='", "<a b='c' ", '<a b="c">\'', "<p class=x'>it's", "<a\t\t", "='"]
+
+
+@pytest.mark.parametrize("tail", ['">', "'>", '"', ""])
+@pytest.mark.parametrize("piece", QUOTED)
+def test_stray_quotes_take_linear_time(piece, tail):
+    import time
+
+    start = time.process_time()
+    html.main_text("<body><p>" + piece * 20_000 + tail)
+    assert time.process_time() - start < 1
+
+
 def test_names_do_not_drop_what_hosts_agree_on(spark):
     """The articles of this host stand in a container with a noisy name, some of them short beside what else is there."""
     page = "<html><body><div class='intro'><p>About this site, in a few words that are always the same.</p></div><div class='legal'><h1>Title here</h1>{}</div><div class='related'><p>More to read</p></div></body></html>"
