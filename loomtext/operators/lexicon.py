@@ -5,21 +5,36 @@ A token table has columns (doc_id, word); all statistics come from (doc_id, word
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
 from loomtext.operators.written import written
 
 
+#: Kept unigrams are broadcast up to so many (some 30 MB).
+BROADCAST_WORDS = 1_000_000
+
+
 def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """(doc_id, *keep, word): lower-case runs of letters, digits and underscores."""
     return docs.select("doc_id", *keep, F.explode(X.lower_tokens(text)).alias("word"))
 
 
-def spread(docs: DataFrame, *keep: str) -> DataFrame:
-    """(doc_id, *keep) by document: what is counted, summed or joined by document afterwards needs no shuffle of its words."""
-    return docs.select("doc_id", *keep).repartition("doc_id")
+def counted(words: Column) -> Column:
+    """Array of (word, tf) of an array of words: sorted, then cut into runs. A document's counts need no shuffle."""
+
+    def runs(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+        return X.let(at, lambda s: F.transform(s, lambda p, j: F.struct(F.get(w, p).alias("word"), (F.coalesce(F.get(s, j + 1), F.size(w)) - p).cast("long").alias("tf"))))
+
+    return X.let(F.sort_array(words), runs)
+
+
+def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word") -> DataFrame:
+    """(doc_id, *keep, word, tf), a row a document and word; made where the documents are."""
+    d = docs.withColumn("_words", words)
+    return d.select("doc_id", *keep, F.explode(counted(F.col("_words"))).alias("_x")).select("doc_id", *keep, F.col("_x.word").alias(name), F.col("_x.tf").alias("tf"))
 
 
 def frequencies(t: DataFrame) -> DataFrame:
@@ -34,14 +49,15 @@ def idf_log10(doc_words: DataFrame, n_docs: int) -> DataFrame:
     return doc_words.groupBy("word").agg(F.count("*").alias("df")).withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")))
 
 
-def kl_stopwords(doc_words: DataFrame) -> DataFrame:
+def kl_stopwords(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, f, l_x, score): P_x log2(P_x / P_c), P_x the word's share in the documents that hold it, P_c in all.
 
-    Document lengths are summed from the counts and joined by document, without a shuffle if the counts come from
-    ``spread`` documents; a stop word's many rows are combined map-side.
+    A document's counts and length are made in its row; only sums by word are shuffled.
     """
-    lengths = doc_words.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    per = doc_words.join(lengths, "doc_id").groupBy("word").agg(F.sum("tf").alias("f"), F.sum("len").alias("l_x"))
+    w = X.lower_tokens(text)
+    d = document_counts(docs.select("doc_id", text).withColumn("_len", F.size(w).cast("long")), w, "_len")
+    per = d.groupBy("word").agg(F.sum("tf").alias("f"), F.sum("_len").alias("l_x"))
+    per = written(per)
     total = per.agg(F.sum("f").alias("total"))  # one row
     px, pc = F.col("f") / F.col("l_x"), F.col("f") / F.col("total")
     return per.join(F.broadcast(total)).select("word", "f", "l_x", (px * F.log2(px / pc)).alias("score"))
@@ -62,22 +78,27 @@ def vocabulary(freq: DataFrame, min_freq: int, specials: tuple[str, ...] = ("<pa
 RANGE_SAMPLE, RANGES = 4096, 256
 
 
-def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``rank`` from 0 in the order of unique columns, by ranges: no task sees more than its range.
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df``, written, with ``_p``: the range of its key that a row lies in.
 
     Ranges are cut at keys of a bounded sample (picked by hash), so a row's range follows from the row alone and is the same
-    wherever the plan reads it. Ranks are ranks inside a range plus the sizes of the ranges before it.
+    wherever the plan reads it.
     """
     df = written(df)
-    seen = sorted(tuple(r) for r in df.select(*order).orderBy(F.xxhash64(*order)).limit(RANGE_SAMPLE).collect())
+    seen = sorted((tuple(r) for r in df.select(*order).dropna().orderBy(F.xxhash64(*order)).limit(RANGE_SAMPLE).collect()))
     cuts = sorted({seen[i * len(seen) // RANGES] for i in range(1, RANGES)}) if len(seen) == RANGE_SAMPLE else []
     kinds = [df.schema[c].dataType for c in order]
     key = F.struct(*order)
     marks = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, order)]) for cut in cuts]
-    where = F.lit(0)
-    if marks:
-        where = F.size(F.filter(F.array(*marks), lambda m: m <= key))
-    d = df.withColumn("_p", where)
+    return df.withColumn("_p", F.size(F.filter(F.array(*marks), lambda m: m <= key)) if marks else F.lit(0))
+
+
+def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
+    """Add ``rank`` from 0 in the order of unique columns, by ranges: no task sees more than its range.
+
+    Ranks are ranks inside a range plus the sizes of the ranges before it.
+    """
+    d = in_ranges(df, order)
     inside = Window.partitionBy("_p").orderBy(*order)
     sizes = d.groupBy("_p").agg(F.count("*").alias("_n"))
     sizes = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a range
@@ -85,6 +106,28 @@ def dense_ids(df: DataFrame, order: list[str]) -> DataFrame:
     return d.join(F.broadcast(sizes), F.col("_p") == F.col("_q")).withColumn("rank", (F.col("_r") + F.col("_b")).cast("long")).drop("_p", "_q", "_r", "_b")
 
 
+def sums_before(df: DataFrame, group: str, order: list[str], value: Column, out: str = "before") -> DataFrame:
+    """Add ``out``: the sum of ``value`` (whole numbers) over the rows of the same group that come first in ``order``.
+
+    A group of any size is summed in ranges: within a range by a window, over the ranges before it by their sums, a row a range and group.
+    """
+    d = in_ranges(df.withColumn("_v", value.cast("long")), [group, *order])
+    sums = d.groupBy("_p", group).agg(F.sum("_v").alias("_n"))
+    upto = Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("_p").alias("_q"), F.col(group).alias("_g"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("_p", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_w", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    d = d.join(sums, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return d.withColumn(out, F.col("_w") + F.col("_b")).drop("_p", "_q", "_g", "_v", "_w", "_b")
+
+
+def first_share(df: DataFrame, group: str, order: str, share: float) -> DataFrame:
+    """The first ``share`` of each group's rows, in the order of a unique column."""
+    n = df.groupBy(F.col(group).alias("_of")).agg(F.count("*").alias("_n"))
+    d = sums_before(df, group, [order], F.lit(1), "_before").join(n, F.col(group).eqNullSafe(F.col("_of")))
+    return d.where(F.col("_before") < F.floor(F.col("_n") * share)).drop("_of", "_n", "_before")
+
+
 LM_WORD = "[a-zA-ZÀ-ɏḀ-ỿ]+|[0-9]+"
 
 
@@ -104,7 +147,7 @@ def valid_syllable(c) -> object:
 def lm_counts(docs: DataFrame, text: str = "text", min_uni: int = 5, min_bi: int = 5) -> tuple[DataFrame, DataFrame]:
     """Unigrams (w, n) and bigrams (w1, w2, n) of valid syllables; bigrams only across white space, of kept unigrams."""
     t = lm_tokens(docs, text)
-    uni = t.where(valid_syllable("token")).groupBy(F.col("token").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= min_uni)
+    uni = written(t.where(valid_syllable("token")).groupBy(F.col("token").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= min_uni))
     return uni, lm_bigrams(docs, uni, text, min_bi)
 
 
@@ -117,6 +160,7 @@ def lm_bigrams(docs: DataFrame, uni: DataFrame, text: str, min_bi: int) -> DataF
     pairs = X.let(both, lambda s: F.transform(s["w"], lambda w, i: F.struct(w.alias("w1"), F.get(s["w"], i + 1).alias("w2"), F.get(s["g"], i + 1).alias("g"))))
     p = docs.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("g").rlike(r"^\s+$") & valid_syllable("w1") & valid_syllable("w2"))
     bi = p.groupBy("w1", "w2").agg(F.count("*").alias("n")).where(F.col("n") >= min_bi)
+    uni = F.broadcast(uni.select("w")) if uni.count() <= BROADCAST_WORDS else uni
     return bi.join(uni.select(F.col("w").alias("w1")), "w1", "left_semi").join(uni.select(F.col("w").alias("w2")), "w2", "left_semi").select("w1", "w2", "n")
 
 

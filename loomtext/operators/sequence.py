@@ -44,6 +44,30 @@ def context_features(rows: DataFrame, templates: list[str], columns: list[str],
     return rows.withColumns(out)
 
 
+def array_features(rows: DataFrame, templates: list[str], columns: list[str], words: list[str] = ()) -> DataFrame:
+    """A row a token, in place of ``columns`` (arrays of one length): ``pos`` and f0, f1, ... as of ``context_features``.
+
+    A sentence is a row, and its tokens look around in its arrays: no shuffle and no window.
+    """
+    fns = {
+        None: lambda v: v,
+        "lower": F.lower,
+        "isdigit": lambda v: F.when(X.is_digit(v), "True").otherwise("False"),
+        "istitle": lambda v: F.when(X.is_title(v), "True").otherwise("False"),
+        "is_in_dict": lambda v: F.when(F.lower(v).isin(*words), "True").otherwise("False"),
+    }
+
+    def one(t: str, i: Column) -> Column:
+        m = TEMPLATE.fullmatch(t)
+        a, b, col = int(m["a"]), int(m["b"] or m["a"]), columns[int(m["col"] or 0)]
+        v = F.array_join(F.slice(col, i + a + 1, F.lit(b - a + 1)), " ") if b > a else F.get(col, i + a)
+        return F.concat(F.lit(t + "="), F.when(i + a < 0, "BOS").when(i + b >= F.size(col), "EOS").otherwise(fns[m["fn"]](v)))
+
+    made = F.transform(columns[0], lambda _, i: F.struct(*[one(t, i).alias(f"f{k}") for k, t in enumerate(templates)]))
+    rest = [c for c in rows.columns if c not in columns]
+    return rows.select(*rest, F.posexplode(made).alias("pos", "_f")).select(*rest, F.col("pos").cast("long").alias("pos"), "_f.*")
+
+
 # --- linear-chain models: (attr, label, w) and (src, dst, w) tables -----------------------------------------------------
 
 
@@ -194,6 +218,32 @@ def merge_begins(tokens: DataFrame, sent: list[str], order: str, token: str, beg
     return g.select(*sent, F.col("word_no").cast("long").alias("word_no"), F.get("x", F.lit(0))["o"].alias("start"), F.size("x").alias("n"), F.array_join(F.transform("x", lambda v: v["t"]), glue).alias("word"))
 
 
+def merged(tokens: Column, begins, glue: str = " ") -> Column:
+    """Array of words of an array of tokens: runs, each opened by a token of which ``begins(token)`` holds, the first by the first token."""
+
+    def words(ts: Column) -> Column:
+        at = F.filter(F.transform(ts, lambda t, i: F.when((i == 0) | begins(t), i)), lambda i: i.isNotNull())
+        return X.let(at, lambda starts: F.transform(starts, lambda p, j: F.array_join(F.slice(ts, p + 1, F.coalesce(F.get(starts, j + 1), F.size(ts)) - p), glue)))
+
+    return X.let(tokens, words)
+
+
+def entity_spans(tags: Column) -> Column:
+    """Array of (type, first, last) of an array of BIO tags, as of ``entities``."""
+    kind = lambda t: F.when(t.rlike("^[BI]-"), F.substring(t, 3, 2147483647)).otherwise("")
+    span = lambda m, nxt, n: F.struct(m["type"].alias("type"), m["at"].cast("long").alias("first"), (F.coalesce(nxt["at"], n) - 1).cast("long").alias("last"))
+
+    def spans(ts: Column) -> Column:
+        def mark(t: Column, i: Column) -> Column:
+            new = t.startswith("B-") | (t.startswith("I-") & ((i == 0) | (kind(F.get(ts, F.greatest(i - 1, F.lit(0)))) != kind(t))))
+            return F.when(new, F.struct(i.alias("at"), kind(t).alias("type"))).when(t == "O", F.struct(i.alias("at"), F.lit(None).cast("string").alias("type")))
+
+        marks = F.filter(F.transform(ts, mark), lambda m: m.isNotNull())
+        return F.filter(X.let(marks, lambda ms: F.transform(ms, lambda m, j: span(m, F.get(ms, j + 1), F.size(ts)))), lambda x: x["type"].isNotNull())
+
+    return X.let(tags, spans)
+
+
 def entities(tokens: DataFrame, sent: list[str], order: str, tag: str) -> DataFrame:
     """(sent, type, first, last) of BIO tags; an I that follows another type or nothing opens an entity."""
     w = Window.partitionBy(*sent).orderBy(order)

@@ -25,4 +25,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as Parquet files in a new folder. What reads it doesn't compute it again, nor depend on the executors that did."""
     spark, path, schema = df.sparkSession, new_folder(df.sparkSession), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._loomtext_path = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a ``written`` frame that nothing reads any more."""
+    path = getattr(df, "_loomtext_path", None)
+    if path:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

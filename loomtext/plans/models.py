@@ -28,7 +28,7 @@ def classifier_vectors(spark, sf_dir, most=2000):
     """Case kept, whitespace words; the most frequent terms by documents, ties alphabetical; rows of length 1."""
     docs = table(spark, sf_dir, "documents")
     n = docs.count()
-    d = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(X.space_tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    d = L.document_counts(docs, X.space_tokens("text"), name="term")
     v = d.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= int(0.9 * n))).orderBy(F.desc("df"), "term").limit(most)
     v = v.withColumn("o", -F.col("df"))
     v = L.dense_ids(v, ["o", "term"]).select("term", F.col("rank").alias("feature_id"), (F.ln(F.lit(n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -224,6 +224,6 @@ def length_buckets(spark, sf_dir):
 SELECT lang, batch, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT lang, n_chars, floor((sum(n_chars) OVER (PARTITION BY lang ORDER BY n_chars, doc_id) - n_chars) / 50000)::BIGINT AS batch FROM documents) GROUP BY lang, batch""")
 def token_batches(spark, sf_dir):
     """Batches of like length under a budget of characters."""
-    w = Window.partitionBy("lang").orderBy("n_chars", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    d = table(spark, sf_dir, "documents").select("lang", "n_chars", F.floor(F.coalesce(F.sum("n_chars").over(w), F.lit(0)) / 50000).alias("batch"))
+    d = L.sums_before(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "lang", ["n_chars", "doc_id"], F.col("n_chars"))
+    d = d.select("lang", "n_chars", F.floor(F.col("before") / 50000).alias("batch"))
     return d.groupBy("lang", "batch").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

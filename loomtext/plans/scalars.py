@@ -61,13 +61,14 @@ def text_normalize_space(spark, sf_dir):
 
 
 @query(r"""
-WITH b AS (SELECT w AS key, reverse(w) AS value FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents) WHERE NOT contains(w, 'ß')),
+WITH b AS (SELECT w AS key, reverse(w) AS value FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)),
 e AS (SELECT key, value, 0 AS made, key AS seq, 0 AS o FROM b
-  UNION ALL SELECT upper(left(key, 1)) || lower(substr(key, 2)), upper(left(value, 1)) || lower(substr(value, 2)), 1, key, 1 FROM b UNION ALL SELECT upper(key), upper(value), 1, key, 2 FROM b)
+  UNION ALL SELECT replace(upper(left(key, 1)), 'ẞ', 'SS') || lower(substr(key, 2)), replace(upper(left(value, 1)), 'ẞ', 'SS') || lower(substr(value, 2)), 1, key, 1 FROM b
+  UNION ALL SELECT replace(upper(key), 'ẞ', 'SS'), replace(upper(value), 'ẞ', 'SS'), 1, key, 2 FROM b)
 SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY made DESC, seq DESC, o DESC) AS r FROM e) WHERE r = 1""")
 def rule_expand(spark, sf_dir):
     """Rules (here each word read backwards, in the words' order), also capitalized and in capitals; later rules win."""
-    w = table(spark, sf_dir, "documents").select(F.explode(X.simple_tokens("text")).alias("key")).where("NOT contains(key, 'ß')").distinct()
+    w = table(spark, sf_dir, "documents").select(F.explode(X.simple_tokens("text")).alias("key")).distinct()
     return L.expand_rules(w.select(F.col("key").alias("seq"), "key", F.reverse("key").alias("value")))
 
 
@@ -291,9 +292,9 @@ def vi_sort(spark, sf_dir):
     return dense_ids(d, ["k", "w"]).select(F.col("rank").cast("int").alias("r"), "w")
 
 
-@query(f"SELECT w, len(list_filter(string_split(w, ' '), lambda p: left(p, 1) <> upper(left(p, 1)))) = 0 AS title FROM {W} WHERE NOT w LIKE '%ß%'")
+@query(f"SELECT w, len(list_filter(string_split(w, ' '), lambda p: left(p, 1) <> upper(left(p, 1)) OR left(p, 1) = 'ß')) = 0 AS title FROM {W}")
 def is_title(spark, sf_dir):
-    return words(spark, sf_dir).where("w NOT LIKE '%ß%'").select("w", X.is_title("w").alias("title"))
+    return words(spark, sf_dir).select("w", X.is_title("w").alias("title"))
 
 
 @query(f"SELECT w, regexp_full_match(w, '[+-]?[0-9]+') AND coalesce(TRY_CAST(w AS HUGEINT) BETWEEN -2147483648 AND 2147483647, false) AS digit FROM (SELECT w FROM {W} UNION ALL SELECT unnest(['-3', '+7', '2147483648', ' 1', '1.5', '']))")

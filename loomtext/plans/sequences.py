@@ -10,6 +10,7 @@ from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import sequence as S
 from loomtext.operators import tagger as T
+from loomtext.operators.written import written
 from loomtext.plans.catalog import query, table
 
 TK = r"SELECT doc_id, (k - 1)::BIGINT AS pos, w[k] AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM documents), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)"
@@ -27,13 +28,13 @@ TEMPLATES = ["T[0]", "T[-1]", "T[1]", "T[-1,0]", "T[0,1]", "T[0].lower", "T[0].i
 @query(f"""
 WITH t AS ({TK}), c AS (SELECT *, lag(w) OVER o AS p1, lag(w, 2) OVER o AS p2, lead(w) OVER o AS n1 FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY pos))
 SELECT doc_id, pos, 'T[0]=' || w AS f0, 'T[-1]=' || coalesce(p1, 'BOS') AS f1, 'T[1]=' || coalesce(n1, 'EOS') AS f2, 'T[-1,0]=' || coalesce(p1 || ' ' || w, 'BOS') AS f3, 'T[0,1]=' || coalesce(w || ' ' || n1, 'EOS') AS f4,
- 'T[0].lower=' || lower(w) AS f5, 'T[0].isdigit=' || CASE WHEN regexp_full_match(w, '[0-9]{{1,9}}') THEN 'True' ELSE 'False' END AS f6,
- 'T[-1].istitle=' || CASE WHEN p1 IS NULL THEN 'BOS' WHEN left(p1, 1) = upper(left(p1, 1)) THEN 'True' ELSE 'False' END AS f7,
+ 'T[0].lower=' || lower(w) AS f5, 'T[0].isdigit=' || CASE WHEN regexp_full_match(w, '[0-9]+') AND TRY_CAST(w AS BIGINT) <= 2147483647 THEN 'True' ELSE 'False' END AS f6,
+ 'T[-1].istitle=' || CASE WHEN p1 IS NULL THEN 'BOS' WHEN left(p1, 1) = upper(left(p1, 1)) AND left(p1, 1) <> 'ß' THEN 'True' ELSE 'False' END AS f7,
  'T[0].is_in_dict=' || CASE WHEN lower(w) IN ('the', 'de', 'der') THEN 'True' ELSE 'False' END AS f8, 'T[-2,-1]=' || coalesce(p2 || ' ' || p1, 'BOS') AS f9
-FROM c WHERE NOT regexp_matches(w, '^[0-9]{{10,}}') AND NOT coalesce(p1, '') LIKE 'ß%'""")
+FROM c""")
 def context_features(spark, sf_dir):
-    f = S.context_features(tokens(spark, sf_dir), TEMPLATES, ["w"], ["doc_id"], "pos", ["the", "de", "der"])
-    return f.where("NOT w RLIKE '^[0-9]{10,}' AND NOT f1 LIKE 'T[-1]=ß%'").drop("w")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.simple_tokens("text").alias("w"))
+    return S.array_features(d, TEMPLATES, ["w"], ["the", "de", "der"]).select("doc_id", "pos", *[f"f{k}" for k in range(len(TEMPLATES))])
 
 
 def tagged(spark, sf_dir):
@@ -41,14 +42,16 @@ def tagged(spark, sf_dir):
     return tokens(spark, sf_dir).withColumn("tag", F.when(F.substring("w", 1, 1) == F.upper(F.substring("w", 1, 1)), "B-W").otherwise("I-W"))
 
 
-BIO = f"WITH t AS ({TK}), g AS (SELECT *, CASE WHEN left(w, 1) = upper(left(w, 1)) THEN 'B-W' ELSE 'I-W' END AS tag FROM t WHERE NOT w LIKE 'ß%')"
+BIO = f"WITH t AS ({TK}), g AS (SELECT *, CASE WHEN left(w, 1) = upper(left(w, 1)) AND left(w, 1) <> 'ß' THEN 'B-W' ELSE 'I-W' END AS tag FROM t)"
 
 
 @query(BIO + """, r AS (SELECT *, sum(CASE WHEN tag = 'B-W' OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS word_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM g))
 SELECT doc_id, word_no::BIGINT AS word_no, string_agg(w, ' ' ORDER BY pos) AS word FROM r GROUP BY doc_id, word_no""")
 def bio_merge(spark, sf_dir):
-    t = tagged(spark, sf_dir).where("w NOT LIKE 'ß%'")
-    return S.merge_begins(t, ["doc_id"], "pos", "w", F.col("tag") == "B-W").select("doc_id", "word_no", "word")
+    d = table(spark, sf_dir, "documents").select("doc_id", X.simple_tokens("text").alias("w"))
+    capital = lambda t: F.substring(t, 1, 1) == F.upper(F.substring(t, 1, 1))
+    d = d.select("doc_id", F.posexplode(S.merged(F.col("w"), capital)).alias("word_no", "word"))
+    return d.select("doc_id", F.col("word_no").cast("long").alias("word_no"), "word")
 
 
 @query("SELECT * FROM (VALUES (0, 0, 'Hà Nội', 'B-LOC', 2), (0, 2, 'là', 'O', 3), (0, 3, 'embedding', 'B-MISC', 6)) t(sent, start, word, entity, last)")
@@ -94,55 +97,55 @@ e AS (SELECT doc_id, CASE WHEN tag = 'B-W' THEN 1.0 / length(w) ELSE 0.25 END +
 SELECT doc_id, round(sum(v), 6) AS score FROM (SELECT doc_id, v FROM e UNION ALL SELECT doc_id, CASE WHEN src = 'B-W' AND tag = 'I-W' THEN 0.5 WHEN src = 'I-W' AND tag = 'I-W' THEN -0.2 WHEN src = 'B-W' AND tag = 'B-W' THEN -0.3 ELSE 0 END FROM l WHERE length(w) > 8) GROUP BY doc_id""")
 def crf_sequence_score(spark, sf_dir):
     """Scores of given labellings under a model with word-length weights up to 8 letters."""
-    t = tagged(spark, sf_dir).where("w NOT LIKE 'ß%'").select("doc_id", "pos", F.col("tag").alias("label"), F.array(F.concat(F.lit("n="), F.length("w").cast("string"))).alias("attrs"))
+    t = tagged(spark, sf_dir).select("doc_id", "pos", F.col("tag").alias("label"), F.array(F.concat(F.lit("n="), F.length("w").cast("string"))).alias("attrs"))
     state = spark.createDataFrame([x for n in range(1, 9) for x in ((f"n={n}", "B-W", 1.0 / n), (f"n={n}", "I-W", 0.25))], "attr string, label string, w double")
     return S.labelling_score(t, state, toy(spark)[1], ["doc_id"], "pos").withColumn("score", F.round("score", 6))
 
 
-#: Words that are decoded at once; a longer sentence is decoded in runs of so many, which see the words around them.
-RUN = 200
+def sentence_words(spark, sf_dir):
+    """(doc_id, sentences): the words of each sentence of whole texts, an array a document. Texts are cut at white space, which is in no word."""
+    cut = F.transform(F.split("text", r"(?<=[.!?…])\s+|\n+"), lambda x: X.simple_tokens(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(cut, lambda w: F.size(w) > 0).alias("sentences"))
 
 
 def training_rows(spark, sf_dir):
-    """(doc_id, start, opens, feats, gold, words): the sentences of whole texts, in runs of at most RUN words.
+    """(doc_id, sent, words, gold, feats): sentences with the parts of speech that the pipeline gives their words.
 
-    ``start`` is the place of a run's first word in the document's order, ``opens`` whether it begins a sentence. Texts are cut
-    at white space, which is in no word: the runs' words are the text's words. Features as of the templates T[0], T[-1],
-    T[0].istitle, T[1].
+    Features as of the templates T[0].lower, T[-1].lower, T[1].lower, T[0].istitle and the last two and three letters; parts of speech are none of them.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?…])\s+|\n+")).alias("sent", "text"))
-    d = d.select("doc_id", "sent", X.simple_tokens("text").alias("w")).where("size(w) > 0")
-    title = lambda x: F.substring(x, 1, 1) == F.upper(F.substring(x, 1, 1))
-    feats = F.transform("w", lambda x, i: F.array(
-        F.concat(F.lit("T[0]="), x),
-        F.concat(F.lit("T[-1]="), F.coalesce(F.get("w", i - 1), F.lit("BOS"))),
-        F.concat(F.lit("T[0].istitle="), F.when(title(x), "True").otherwise("False")),
-        F.concat(F.lit("T[1]="), F.coalesce(F.get("w", i + 1), F.lit("EOS"))),
+    d = T.tag(sentence_words(spark, sf_dir).select("doc_id", F.posexplode("sentences").alias("sent", "s")), "s", 2)
+    d = d.select("doc_id", "sent", F.transform("tagged", lambda x: x["word"]).alias("words"), F.transform("tagged", lambda x: x["pos_tag"]).alias("gold"))
+    low = lambda v: F.lower(v)
+    feats = F.transform("words", lambda x, i: F.array(
+        F.concat(F.lit("T[0].lower="), low(x)),
+        F.concat(F.lit("T[-1].lower="), F.coalesce(low(F.get("words", i - 1)), F.lit("BOS"))),
+        F.concat(F.lit("T[1].lower="), F.coalesce(low(F.get("words", i + 1)), F.lit("EOS"))),
+        F.concat(F.lit("T[0].istitle="), F.when(X.is_title(x), "True").otherwise("False")),
+        F.concat(F.lit("end2="), F.right(low(x), F.lit(2))),
+        F.concat(F.lit("end3="), F.right(low(x), F.lit(3))),
     ))
-    gold = F.transform("w", lambda x: F.when(title(x), "B-W").otherwise("I-W"))
-    d = d.select("doc_id", "sent", "w", feats.alias("f"), gold.alias("g"), F.explode(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / RUN).cast("int"))).alias("k"))
-    part = lambda c: F.slice(c, F.col("k") * RUN + 1, RUN)
-    start = F.col("sent").cast("long") * F.lit(1 << 32) + F.col("k") * RUN
-    return d.select("doc_id", start.alias("start"), (F.col("k") == 0).alias("opens"), part("f").alias("feats"), part("g").alias("gold"), part("w").alias("words"))
+    return d.withColumn("feats", feats)
+
+
+def scored_tags(rows, model):
+    """Sentences, words, and the share of words tagged as ``gold`` says."""
+    got = S.decode(rows.select("feats", "gold"), model)
+    right = F.size(F.filter(F.zip_with("gold", "tags", lambda a, b: a == b), lambda x: x))
+    return got.agg(F.count("*").alias("sentences"), F.sum(F.size("gold")).alias("words"), (F.sum(right) / F.sum(F.size("gold"))).alias("accuracy"))
 
 
 @query()
 def crf_train(spark, sf_dir):
-    """A tagger trained on even documents and scored on odd ones."""
-    rows = training_rows(spark, sf_dir)
-    model = S.train_perceptron(rows.where("doc_id % 2 = 0"), "feats", "gold", 2)
-    got = S.decode(rows.where("doc_id % 2 = 1"), model)
-    right = F.size(F.filter(F.zip_with("gold", "tags", lambda a, b: a == b), lambda x: x))
-    return got.agg(F.count("*").alias("sentences"), (F.sum(right) / F.sum(F.size("gold"))).alias("accuracy"))
+    """Parts of speech learned from the tagged words of even documents by a perceptron, scored on odd ones."""
+    rows = written(training_rows(spark, sf_dir))
+    return scored_tags(rows.where("doc_id % 2 = 1"), S.train_perceptron(rows.where("doc_id % 2 = 0"), "feats", "gold", 2))
 
 
 def tagged_words(spark, sf_dir, depth):
-    """(doc_id, word_no, word, tags): whole texts, sentence by sentence, through the pipeline's first ``depth`` taggers."""
-    d = T.tag(training_rows(spark, sf_dir).select("doc_id", "start", "words"), "words", depth)
-    d = d.select("doc_id", "start", F.posexplode("tagged").alias("i", "x")).select("doc_id", "start", "i", "x.*")
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "i")) - 1
-    tags = T.FIELDS[1:depth]
-    return d.select("doc_id", no.cast("long").alias("word_no"), F.replace("word", F.lit(" "), F.lit("_")).alias("word"), *tags)
+    """(doc_id, word_no, word, tags): whole texts, sentence by sentence, through the pipeline's first ``depth`` taggers. Words are numbered where they are."""
+    d = T.tag(sentence_words(spark, sf_dir), "sentences", depth)
+    d = d.select("doc_id", F.posexplode("tagged").alias("word_no", "x"))
+    return d.select("doc_id", F.col("word_no").cast("long").alias("word_no"), F.replace("x.word", F.lit(" "), F.lit("_")).alias("word"), *[F.col(f"x.{t}") for t in T.FIELDS[1:depth]])
 
 
 @query()
@@ -173,11 +176,24 @@ GP = f"""WITH t AS ({TK}), x AS (SELECT doc_id, pos, w, CASE WHEN length(w) % 4
  CASE WHEN length(w) % 4 = 0 AND length(w) < 8 THEN 'B-X' WHEN length(w) % 4 = 1 THEN 'I-X' WHEN length(w) % 5 = 2 THEN 'B-Y' ELSE 'O' END AS pred FROM t)"""
 
 
+def gold_tag(w):
+    n = F.length(w)
+    return F.when(n % 4 == 0, "B-X").when(n % 4 == 1, "I-X").when(n % 4 == 2, "B-Y").otherwise("O")
+
+
+def pred_tag(w):
+    n = F.length(w)
+    return F.when((n % 4 == 0) & (n < 8), "B-X").when(n % 4 == 1, "I-X").when(n % 5 == 2, "B-Y").otherwise("O")
+
+
 def gold_and_pred(spark, sf_dir):
-    n = F.length("w")
-    gold = F.when(n % 4 == 0, "B-X").when(n % 4 == 1, "I-X").when(n % 4 == 2, "B-Y").otherwise("O")
-    pred = F.when((n % 4 == 0) & (n < 8), "B-X").when(n % 4 == 1, "I-X").when(n % 5 == 2, "B-Y").otherwise("O")
-    return tokens(spark, sf_dir).withColumn("gold", gold).withColumn("pred", pred)
+    return tokens(spark, sf_dir).withColumn("gold", gold_tag("w")).withColumn("pred", pred_tag("w"))
+
+
+def doc_entities(spark, sf_dir, tags):
+    """(doc_id, type, first, last) of the entities that ``gold`` or ``pred`` names, found in each document's array."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(X.simple_tokens("text"), lambda w: gold_tag(w) if tags == "gold" else pred_tag(w)).alias("tags"))
+    return d.select("doc_id", F.explode(S.entity_spans(F.col("tags"))).alias("x")).select("doc_id", "x.*")
 
 
 def _ent_sql(c):
@@ -188,8 +204,7 @@ def _ent_sql(c):
 @query(GP + f""", a AS {_ent_sql('pred')}, b AS {_ent_sql('gold')}, j AS (SELECT coalesce(a.type, b.type) AS type, a.g IS NOT NULL AS p, b.g IS NOT NULL AS q FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.type = b.type AND a.first = b.first AND a.last = b.last)
 SELECT type, sum((p AND q)::INT)::BIGINT AS tp, sum(p::INT)::BIGINT AS np, sum(q::INT)::BIGINT AS ng, round(sum((p AND q)::INT) / sum(p::INT), 9) AS precision, round(sum((p AND q)::INT) / sum(q::INT), 9) AS recall, round(2.0 * sum((p AND q)::INT) / (sum(p::INT) + sum(q::INT)), 9) AS f1 FROM j GROUP BY type""")
 def entity_f1(spark, sf_dir):
-    g = gold_and_pred(spark, sf_dir)
-    side = lambda c: S.entities(g, ["doc_id"], "pos", c)
+    side = lambda c: doc_entities(spark, sf_dir, c)
     r = M.bags(side("pred"), side("gold"), ["doc_id", "type", "first", "last"], ["type"])
     return r.select("type", "tp", "np", "ng", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
@@ -212,8 +227,7 @@ def _prf_sql(rows):
 UNION ALL SELECT 'exact', x, x, x FROM (SELECT round(avg(ok::INT), 6) AS x FROM (SELECT doc_id, bool_and(p = g) AS ok FROM l GROUP BY doc_id))""")
 def bracket_f1(spark, sf_dir):
     """Bags of brackets (first, last, label) a document, labelled and without labels; exact: documents with all brackets right."""
-    x = gold_and_pred(spark, sf_dir)
-    pred, gold = (S.entities(x, ["doc_id"], "pos", c) for c in ("pred", "gold"))
+    pred, gold = (doc_entities(spark, sf_dir, c) for c in ("pred", "gold"))
     side = lambda kind, keys: M.bags(pred, gold, ["doc_id", *keys], eps=1e-5).select(F.lit(kind).alias("kind"), *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
     exact = M.exact_bags(pred, gold, ["doc_id"], ["first", "last", "type"]).select(F.lit("exact").alias("kind"), *[F.round("exact", 6).alias(c) for c in ("precision", "recall", "f1")])
     return side("labelled", ["first", "last", "type"]).unionByName(side("unlabelled", ["first", "last"])).unionByName(exact)
@@ -222,8 +236,7 @@ def bracket_f1(spark, sf_dir):
 @query(BRACKETS + " " + _prf_sql("(SELECT least(p, 1) AS p, least(g, 1) AS g FROM l)"))
 def span_f1(spark, sf_dir):
     """Sets of spans (first, last, label) a document."""
-    x = gold_and_pred(spark, sf_dir)
-    pred, gold = (S.entities(x, ["doc_id"], "pos", c).distinct() for c in ("pred", "gold"))
+    pred, gold = (doc_entities(spark, sf_dir, c).distinct() for c in ("pred", "gold"))
     r = M.bags(pred, gold, ["doc_id", "first", "last", "type"], eps=1e-5)
     return r.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 

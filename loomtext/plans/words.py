@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
@@ -36,13 +35,13 @@ def word_freq(spark, sf_dir):
 
 @query(DW)
 def doc_word_freq(spark, sf_dir):
-    return L.doc_frequencies(toks(spark, sf_dir))
+    return L.document_counts(table(spark, sf_dir, "documents"), X.lower_tokens("text"))
 
 
 @query(f"WITH d AS ({DW}) SELECT word, count(*) AS df, round(log10((SELECT count(*) FROM documents)::DOUBLE / count(*)), 9) AS idf FROM d GROUP BY word")
 def idf_log10(spark, sf_dir):
     n = table(spark, sf_dir, "documents").count()
-    return L.idf_log10(L.doc_frequencies(toks(spark, sf_dir)), n).withColumn("idf", F.round("idf", 9))
+    return L.idf_log10(L.document_counts(table(spark, sf_dir, "documents"), X.lower_tokens("text")), n).withColumn("idf", F.round("idf", 9))
 
 
 KL = f"""
@@ -53,8 +52,7 @@ SELECT word, f::BIGINT AS f, l_x::BIGINT AS l_x, round((f / l_x) * log2((f / l_x
 
 @query(KL)
 def kl_stopwords(spark, sf_dir):
-    docs = L.spread(table(spark, sf_dir, "documents"), "text")
-    return L.kl_stopwords(L.doc_frequencies(L.tokens(docs))).withColumn("score", F.round("score", 9))
+    return L.kl_stopwords(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9))
 
 
 @query(f"SELECT word, score FROM ({KL}) ORDER BY score DESC, word LIMIT 70")
@@ -156,10 +154,8 @@ v AS (SELECT term, df, cf, ln(((SELECT n FROM n) + 1.0) / (df + 1)) + 1 AS idf,
 
 def grams(spark, sf_dir):
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
-    # Documents are spread by id before they are cut up: counts and norms a document then need no shuffle of their terms.
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", w.alias("w"))
-    d = d.select("doc_id", F.explode(X.word_ngrams(F.col("w"), 1, 2)).alias("term"))
-    return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
+    return L.document_counts(d, X.word_ngrams(F.col("w"), 1, 2), name="term")
 
 
 def tfidf_vocab_table(spark, sf_dir):
@@ -273,9 +269,7 @@ def label_encode(spark, sf_dir):
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE r <= floor(n * 0.3)")
 def downsample_prefix(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    n = d.groupBy("source").agg(F.count("*").alias("n"))
-    r = d.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return r.join(n, "source").where(F.col("r") <= F.floor(F.col("n") * 0.3)).select("doc_id", "source")
+    return L.first_share(d, "source", "doc_id", 0.3).select("doc_id", "source")
 
 
 @query(f"SELECT d.doc_id, count(*) AS n_stop FROM ({TOK}) d WHERE word IN (SELECT unnest(['de', 'la', 'le', 'và', 'là', 'the', 'một', '10', '2'])) GROUP BY d.doc_id")

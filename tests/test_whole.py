@@ -38,17 +38,20 @@ def words(text):
     return re.findall(r"\w+", text)
 
 
-def test_training_rows_are_whole_texts(spark, docs):
-    rows = Q.training_rows(spark, docs).collect()
-    for i, text in TEXTS.items():
-        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
-        assert [w for r in mine for w in r.words] == words(text)
-        assert all(0 < len(r.words) == len(r.feats) == len(r.gold) <= Q.RUN for r in mine)
-    long = sorted((r for r in rows if r.doc_id == 3), key=lambda r: r.start)
-    assert [r.opens for r in long] == [True, False, False] and [r.start for r in long] == [0, 200, 400]
-    t = spark.createDataFrame(list(enumerate(words(TEXTS[3]))), "pos int, w string").selectExpr("0 AS s", "pos", "w")
-    want = S.context_features(t, ["T[0]", "T[-1]", "T[0].istitle", "T[1]"], ["w"], ["s"], "pos").orderBy("pos").collect()
-    assert [f for r in long for f in r.feats] == [[x.f0, x.f1, x.f2, x.f3] for x in want]
+def test_sentences_are_whole_texts(spark, docs):
+    rows = {r.doc_id: r.sentences for r in Q.sentence_words(spark, docs).collect()}
+    assert {i: [w for s in x for w in s] for i, x in rows.items()} == {i: words(t) for i, t in TEXTS.items()}
+    assert [len(s) for s in rows[3]] == [450] and len(rows[6]) == 40
+
+
+def test_training_rows(spark, docs):
+    """Labels are the pipeline's for the whole sentence; features see both neighbours."""
+    rows = [r for r in Q.training_rows(spark, docs).collect() if r.doc_id == 3]
+    assert len(rows) == 1
+    want = T.default_pipeline().run([words(TEXTS[3])], 2)
+    assert rows[0].words == want[0][0] and rows[0].gold == want[1][0]
+    low = [w.lower() for w in rows[0].words]
+    assert [f[:3] for f in rows[0].feats] == [[f"T[0].lower={w}", f"T[-1].lower={a}", f"T[1].lower={b}"] for w, a, b in zip(low, ["BOS", *low], [*low[1:], "EOS"])]
 
 
 @pytest.mark.parametrize("name", ["word_segment", "pos_tag", "chunk", "ner"])
@@ -60,10 +63,10 @@ def test_segmented_texts_are_whole(spark, docs, name):
         assert "_".join(r.word for r in mine) == "_".join(words(text))
 
 
-@pytest.mark.parametrize("name", ["crf_train", "crf_likelihood_train"])
+@pytest.mark.parametrize("name", ["crf_train", "crf_likelihood_train", "crf_sparse_train"])
 def test_taggers_are_scored_on_all_odd_documents(spark, docs, name):
     r = QUERIES[name](spark, docs).first()
-    assert r.sentences == Q.training_rows(spark, docs).where("doc_id % 2 = 1").count() == 3 + 1 + 2
+    assert r.sentences == Q.training_rows(spark, docs).where("doc_id % 2 = 1").count() == 1 + 1 + 2 and r.words > 450
     assert 0 < r.accuracy <= 1
 
 
@@ -125,6 +128,103 @@ def test_tags_against_one_by_one_decoding():
         assert y == p.chunk.chain.decode(fs)[0]
 
 
+def test_tags_of_a_sentence_in_blocks(monkeypatch):
+    """5,000 words, decoded from block to block: as one chain over the features as text."""
+    p = T.default_pipeline()
+    rng = random.Random(6)
+    known = " ".join(x.split("/")[0] for s in SENTENCES for x in s.split()).replace("_", " ").split()
+    long = [rng.choice(known) for _ in range(5000)]
+    want = p.words.chain.decode(T.features([long, ["X"] * len(long)], T.WORD_TEMPLATES))[0]
+    tags = [rng.choice(["N", "V", "Np"]) for _ in long]
+    chunks = p.chunk.chain.decode(T.features([long, tags, ["X"] * len(long)], T.CHUNK_TEMPLATES))[0]
+    for block in (1 << 15, 1000, 7):
+        monkeypatch.setattr(T, "BLOCK", block)
+        assert p.words.tags([[["a"], long, [], ["b", "c"]]])[1] == want
+        assert p.chunk.tags([[long], [tags]])[0] == chunks
+
+
+def test_tags_of_texts_and_of_sentences(spark):
+    """A text of sentences as its sentences one after another; null and empty ones have no words."""
+    texts = [[["Ông", "sống", "ở", "Hà", "Nội"], [], ["Tôi", "đi", "học"]], [], None, [None, ["Mary", "read", "books"]]]
+    d = T.tag(spark.createDataFrame(list(enumerate(texts)), "i int, s array<array<string>>").repartition(2), "s", 4)
+    got = {r.i: [tuple(x) for x in r.tagged] for r in d.collect()}
+    p = T.default_pipeline()
+    for i, t in enumerate(texts):
+        run = p.run([s or [] for s in t or []], 4)
+        assert got[i] == [x for s in zip(*run) for x in zip(*s)]
+
+
+def test_sparse_training_against_proximal_steps():
+    """Weights that are zero, and all others, as plain proximal gradient descent finds them."""
+    import numpy as np
+
+    from loomtext.operators import crf
+
+    rng = np.random.default_rng(0)
+    sizes = np.array([3, 0, 1, 4, 6])
+    n = int(sizes.sum())
+    counts = rng.integers(0, 4, n)
+    ids, gold = rng.integers(0, 5, counts.sum()), rng.integers(0, 3, n)
+
+    def smooth(x):
+        gs, gt = np.zeros((5, 3)), np.zeros((3, 3))
+        v = crf.gradient(ids, counts, sizes, gold, x[:15].reshape(5, 3), x[15:].reshape(3, 3), gs, gt)
+        return v + 0.05 * x @ x, np.concatenate([gs.ravel(), gt.ravel()]) + 0.1 * x
+
+    got = crf.minimise_sparse(smooth, np.zeros(24), 0.3, 300, tol=1e-9)
+    y = np.zeros(24)
+    for _ in range(10_000):
+        z = y - 0.02 * smooth(y)[1]
+        y = np.sign(z) * np.maximum(np.abs(z) - 0.006, 0)
+    assert np.abs(got - y).max() < 1e-6 and ((got == 0) == (np.abs(y) < 1e-12)).all() and 0 < (got == 0).sum() < 24
+
+
+def test_gradients_against_all_labellings():
+    import numpy as np
+
+    from loomtext.operators import crf
+
+    rng = np.random.default_rng(1)
+    sizes, counts = np.array([2, 4, 1]), np.array([1, 0, 2, 1, 1, 3, 1])
+    ids, gold = rng.integers(0, 3, counts.sum()), rng.integers(0, 2, 7)
+    ends = np.cumsum(counts)
+
+    def plain(x):
+        s, t, at, total = x[:6].reshape(3, 2), x[6:].reshape(2, 2), 0, 0.0
+        for size in sizes:
+            e = [s[ids[ends[i] - counts[i] : ends[i]]].sum(axis=0) for i in range(at, at + size)]
+            score = lambda p: sum(r[y] for r, y in zip(e, p)) + sum(t[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            total += np.log(sum(np.exp(score(p)) for p in product(range(2), repeat=int(size)))) - score(gold[at : at + size].tolist())
+            at += size
+        return total
+
+    x = rng.standard_normal(10)
+    gs, gt = np.zeros((3, 2)), np.zeros((2, 2))
+    assert abs(crf.gradient(ids, counts, sizes, gold, x[:6].reshape(3, 2), x[6:].reshape(2, 2), gs, gt) - plain(x)) < 1e-9
+    slope = [(plain(x + 1e-5 * e) - plain(x - 1e-5 * e)) / 2e-5 for e in np.eye(10)]
+    assert np.abs(np.concatenate([gs.ravel(), gt.ravel()]) - slope).max() < 1e-6
+
+
+def test_sums_before_and_first_shares(spark, monkeypatch):
+    """Prefix sums of groups, one of them most of the table, cut into ranges."""
+    monkeypatch.setattr(L, "RANGE_SAMPLE", 40)
+    monkeypatch.setattr(L, "RANGES", 8)
+    rng = random.Random(2)
+    rows = [(i, "hot" if i % 3 else rng.choice("ab"), rng.randint(0, 9)) for i in range(500)] + [(900, None, 4), (901, None, 2)]
+    d = spark.createDataFrame(rows, "id long, g string, v int").repartition(4)
+    got = {r.id: r.before for r in L.sums_before(d, "g", ["v", "id"], L.F.col("v")).collect()}
+    assert got == {i: sum(w for j, h, w in rows if h == g and (w, j) < (v, i)) for i, g, v in rows}
+    first = {r.id for r in L.first_share(d, "g", "id", 0.3).collect()}
+    of = {g: sorted(i for i, h, _ in rows if h == g) for g in {r[1] for r in rows}}
+    assert first == {i for ids in of.values() for i in ids[: int(len(ids) * 0.3)]}
+
+
+def test_counts_in_a_row(spark):
+    d = spark.createDataFrame([(1, "b a b a b c"), (2, ""), (3, None), (4, "x")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in L.document_counts(d, L.X.lower_tokens("text")).collect())
+    assert got == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (4, "x", 1)]
+
+
 def test_tags_against_all_labellings():
     """The best labelling by trying every one, with the trained weights."""
     t = T.default_pipeline().words
