@@ -166,23 +166,22 @@ def _running(items: Column, fold, emit, kind: str) -> Column:
     return _let(items, lambda xs: F.flatten(F.transform(_blocks(xs, fold), one)))
 
 
-def _spans(text: Column, rule: Rule, order: int) -> Column:
-    """Structs (start, kind_no, end, kind) of a rule's matches; code points, end exclusive."""
+def _spans(text: Column, rule: Rule, order: int, likely: bool) -> Column:
+    """Structs (start, kind_no, end, kind) of a rule's matches; code points, end exclusive. Texts that aren't ``likely`` to match are asked first."""
     pat = F.lit(rule.pattern)
-    hits = F.regexp_extract_all(text, pat, F.lit(0))
-    kept = F.regexp_extract_all(text, pat, F.lit(rule.group))
-    gaps = F.split(text, rule.pattern, -1)
     none = F.array().cast(_KIND)
 
     def walk(m: Column) -> Column:
-        sized = F.transform(m["hits"], lambda h, i: F.struct(F.length(F.get(m["gaps"], i)).alias("gap"), F.length(h).alias("n"), F.length(F.get(m["kept"], i)).alias("kept")))
+        kept = lambda h: F.length(F.regexp_extract(h, rule.pattern, rule.group)) >= rule.least if rule.group else F.length(h) >= rule.least
+        sized = F.transform(m["hits"], lambda h, i: F.struct(F.length(F.get(m["gaps"], i)).alias("gap"), F.length(h).alias("n"), kept(h).alias("ok")))
         span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind_no"), (at + x["gap"] + x["n"]).alias("end"), F.lit(rule.name).alias("kind"))
-        made = _running(sized, lambda at, x: at + x["gap"] + x["n"], lambda at, x: F.struct(span(at, x).alias("span"), (x["kept"] >= rule.least).alias("ok")), f"struct<span:{_KIND[6:-1]},ok:boolean>")
+        made = _running(sized, lambda at, x: at + x["gap"] + x["n"], lambda at, x: F.struct(span(at, x).alias("span"), x["ok"].alias("ok")), f"struct<span:{_KIND[6:-1]},ok:boolean>")
         return F.transform(F.filter(made, lambda x: x["ok"]), lambda x: x["span"])
 
-    # Bound once by a lambda: the regular expression runs once a text, not once a match.
-    found = F.get(F.transform(F.array(F.struct(hits.alias("hits"), kept.alias("kept"), gaps.alias("gaps"))), walk), F.lit(0))
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    # Bound once by a lambda: each regular expression runs once over a text for its matches and, where there are some, once for what stands between.
+    gaps = lambda hits: F.struct(hits.alias("hits"), F.split(text, rule.pattern, -1).alias("gaps"))
+    found = _let(F.regexp_extract_all(text, pat, F.lit(0)), lambda hits: F.when(F.size(hits) > 0, _let(gaps(hits), walk)).otherwise(none))
+    return found if likely else F.when(text.rlike(rule.pattern), found).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -201,7 +200,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         base = base.join(side, F.col(id_col).eqNullSafe(F.col(_ID)), "left")
     parts = []
     for k, r in enumerate(rules):
-        spans = _spans(text, r, k)
+        spans = _spans(text, r, k, r in indexed)
         parts.append(F.when(F.array_contains(_FOUND, r.name), spans).otherwise(F.array().cast(_KIND)) if r in indexed else spans)
     return base.withColumn(out, F.array_sort(F.concat(*parts))).drop(_ID, _FOUND)
 
