@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,6 +164,82 @@ def eisner(scores) -> list[int]:
     return head
 
 
+def eisner_siblings(scores, siblings) -> list[int]:
+    """Heads of the best projective tree with one root, where a dependent is also scored by the dependent of its head next to it on its inner side.
+
+    ``scores``[dependent][head]; ``siblings``[dependent][head][sibling], nothing for the dependent nearest to its head. Spans of three kinds: an arc and
+    what is under it, a head and all on one side, and two neighbouring dependents of one head with what lies between them.
+    """
+    s = np.array(scores, float)
+    n = len(s)
+    t = np.array(siblings, float).reshape(n, n, n) if n else np.zeros((0, 0, 0))
+    if n < 2:
+        return [0] * n
+    arc = np.full((n, n), -np.inf)  # [head, dependent]
+    side = np.full((n, n), -np.inf)  # [head, furthest word]
+    pair = np.full((n, n), -np.inf)  # [nearer, further], both ways the same
+    arc_at, side_at, pair_at = ({} for _ in range(3))
+    np.fill_diagonal(side, 0)
+    for width in range(1, n):
+        for i in range(n - width):
+            j = i + width
+            inner = side[i, i:j] + side[j, i + 1 : j + 1]
+            k = int(inner.argmax())
+            pair[i, j] = pair[j, i] = inner[k]
+            pair_at[i, j] = i + k
+            for head, dep in ((i, j), (j, i)):
+                if not dep:
+                    continue
+                step = 1 if dep > head else -1
+                first = side[head, head] + side[dep, head + step]
+                best, at = first, head
+                for r in range(head + step, dep, step) if head else ():  # the root takes one dependent
+                    v = arc[head, r] + pair[r, dep] + t[dep, head, r]
+                    if v > best:
+                        best, at = v, r
+                arc[head, dep], arc_at[head, dep] = best + s[dep, head], at
+            for head, end in ((i, j), (j, i)):
+                step = 1 if end > head else -1
+                best, at = -np.inf, None
+                for r in range(head + step, end + step, step):
+                    v = arc[head, r] + side[r, end]
+                    if v > best:
+                        best, at = v, r
+                side[head, end], side_at[head, end] = best, at
+    heads = [0] * n
+
+    def open_side(head: int, end: int) -> None:
+        if head != end:
+            r = side_at[head, end]
+            open_side(r, end)
+            open_arc(head, r)
+
+    def open_arc(head: int, dep: int) -> None:
+        heads[dep] = head
+        at = arc_at[head, dep]
+        if at == head:
+            open_side(dep, head + (1 if dep > head else -1))
+        else:
+            a, b = sorted((at, dep))
+            k = pair_at[a, b]
+            open_side(a, k)
+            open_side(b, k + 1)
+            open_arc(head, at)
+
+    open_side(0, n - 1)
+    return heads
+
+
+def decode_siblings(scores: Column, siblings: Column) -> Column:
+    """array<int> heads by ``eisner_siblings`` of array<array<double>> and array<array<array<double>>>; null for nulls."""
+
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else eisner_siblings(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.list_(pa.int32()))
+
+    return run(scores, siblings)
+
+
 def decode(scores: Column, kind: str = "mst") -> Column:
     """array<int> heads of array<array<double>> scores[dependent][head], row 0 the root's."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.operators import agentlog as A
 from loomtext.operators import knowledge as K
-from loomtext.operators import training as TR
+from loomtext.operators import subword as SW
 from loomtext.operators import trees as T
 from loomtext.operators import wikitemplates as W
 from loomtext.plans.catalog import query, table
@@ -36,11 +36,35 @@ def constituency_decode(spark, sf_dir):
     return d.select("id", F.array_join(F.transform(T.constituents(F.col("s")), lambda x: F.concat_ws("-", x["start"], x["stop"])), ",").alias("spans"))
 
 
-@query("SELECT * FROM (VALUES (0, 'b', 0.5), (1, 'a', 0.25), (2, 'c', 0.25)) t(place, label, p)")
+TREE_LABELS = ["news", "law", "talk", "verse", "code", "list", "letter", "notice"]
+TREE_COUNTS = [900, 500, 300, 120, 119, 40, 8, 3]
+TREE_WORDS = ["the", "and", "le", "la", "der", "die", "el", "en", "de", "of"]
+#: Weights by rule: inner nodes and words in four components.
+TREE_OUTPUT = [[((5 * i + 3 * j) % 7 - 3) / 2 for j in range(4)] for i in range(len(TREE_LABELS) - 1)]
+TREE_INPUT = [[((7 * i + 2 * j) % 9 - 4) / 3 for j in range(4)] for i in range(len(TREE_WORDS))]
+
+
+def _leaf_rows() -> str:
+    turns = [(leaf, TREE_OUTPUT[node], right) for leaf, path in enumerate(SW.LabelTree(TREE_LABELS, TREE_COUNTS).leaves()) for node, right in path]
+    return ", ".join(f"({leaf}, '{TREE_LABELS[leaf]}', {list(w)}::DOUBLE[], {right})" for leaf, w, right in turns)
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+'))) AS w FROM documents),
+v(w, x) AS (VALUES {", ".join(f"('{w}', {x}::DOUBLE[])" for w, x in zip(TREE_WORDS, TREE_INPUT))}),
+h AS (SELECT doc_id, [avg(x[1]), avg(x[2]), avg(x[3]), avg(x[4])] AS h FROM w JOIN v USING (w) GROUP BY doc_id),
+t(leaf, label, o, r) AS (VALUES {_leaf_rows()}),
+s AS (SELECT doc_id, leaf, label, sum(ln(CASE WHEN r THEN 1 / (1 + exp(-list_dot_product(h, o))) ELSE 1 - 1 / (1 + exp(-list_dot_product(h, o))) END + 1e-5)) AS s FROM h, t GROUP BY doc_id, leaf, label)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, leaf) - 1)::BIGINT AS place, label, round(exp(s), 6) AS p FROM s QUALIFY place < 3""")
 def code_tree_labels(spark, sf_dir):
-    """A hierarchical softmax over weights of zero: each turn is even. Rounded to three places."""
-    got = TR.fasttext_predict_tree([0], np.ones((1, 2)), np.zeros((2, 2)), ["b", "a", "c"], [5, 2, 1], k=3)
-    return spark.createDataFrame([(i, n, round(float(p), 3)) for i, (n, p) in enumerate(got)], "place int, label string, p double")
+    """The three likeliest of eight labels through a code tree, of the mean of each document's known words."""
+    vector = X.literal_map({w: " ".join(map(repr, v)) for w, v in zip(TREE_WORDS, TREE_INPUT)})
+    w = F.filter(F.transform(X.lower_tokens("text"), lambda t: F.try_element_at(vector, t)), lambda v: v.isNotNull())
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(w, lambda v: F.split(v, " ").cast("array<double>")).alias("x")).where("size(x) > 0")
+    mean = F.array(*[F.aggregate("x", F.lit(0.0), lambda a, v, j=j: a + v[j]) / F.size("x") for j in range(4)])
+    d = SW.tree_labels(d.select("doc_id", mean.alias("h")), "h", TREE_LABELS, TREE_COUNTS, np.array(TREE_OUTPUT), 3)
+    d = d.select("doc_id", F.posexplode("labels").alias("place", "x"))
+    return d.select("doc_id", F.col("place").cast("long").alias("place"), F.col("x.label").alias("label"), F.round("x.p", 6).alias("p"))
 
 
 TEMPLATES = {"greet": "Hello {{{1|you}}}<noinclude>doc</noinclude>", "outer": "{{greet|{{{name}}}}}!", "loop": "x{{loop}}"}

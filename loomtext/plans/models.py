@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +11,7 @@ from loomtext.functions import text as X
 from loomtext.operators import lexicon as L
 from loomtext.operators import linear as N
 from loomtext.operators import metrics as M
+from loomtext.operators import subword as SW
 from loomtext.operators import training as R
 from loomtext.operators import trees as T
 from loomtext.plans.catalog import query, table
@@ -134,21 +136,32 @@ def dense_linear_score(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(s, 6).alias("score"), (s > 0).alias("positive"))
 
 
+#: Words and buckets of the language model: rows of its input matrix.
+LANG_WORDS, LANG_BUCKETS = 2000, 1 << 14
+
+
+def language_model(spark, sf_dir):
+    """A subword model learned from even documents: each feature's row is its log share in every language less its mean, the output is the identity.
+
+    A feature is a frequent word, or a bucket of character n-grams of two to four letters.
+    """
+    learn = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 AND lang IS NOT NULL").select("text", "lang")
+    words = [r.w for r in learn.select(F.explode(X.space_tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(LANG_WORDS).collect()]
+    known = {w: i for i, w in enumerate(words)}
+    ids = learn.select("lang", F.explode(R.line_features("text", known, LANG_BUCKETS, 2, 4)).alias("i")).groupBy("lang", "i").agg(F.count("*").alias("n")).toArrow()  # a row a language and feature
+    langs = sorted(set(ids.column("lang").to_pylist()))
+    n = np.ones((len(words) + LANG_BUCKETS, len(langs)))
+    np.add.at(n, (ids.column("i").to_numpy(), [langs.index(y) for y in ids.column("lang").to_pylist()]), ids.column("n").to_numpy())
+    share = np.log(n / n.sum(axis=0))
+    return SW.SubwordModel(known, langs, [1] * len(langs), SW.Dense((share - share.mean(axis=1, keepdims=True)).astype(np.float32)), SW.Dense(np.eye(len(langs), dtype=np.float32) * 50), buckets=LANG_BUCKETS, low=2, high=4)
+
+
 @query()
 def lang_detect(spark, sf_dir):
-    """Language by character trigrams: a naive Bayes of joins, learned from even documents, scored on odd ones."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.transform(F.filter(X.lower_tokens("text"), lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3))).alias("term"))
-    c = d.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("value"))
-    train = c.where("doc_id % 2 = 0").groupBy(F.col("lang").alias("class"), "term").agg(F.sum("value").alias("n"))
-    total = train.groupBy("class").agg(F.sum("n").alias("total"), F.count("*").alias("v"))
-    w = train.join(F.broadcast(total), "class").select("class", "term", (F.ln((F.col("n") + 1) / (F.col("total") + F.col("v"))) - F.ln(1.0 / (F.col("total") + F.col("v")))).alias("w"))
-    # Unseen trigrams cost a class its floor: added per document by its length.
-    floor = total.select("class", F.ln(1.0 / (F.col("total") + F.col("v"))).alias("floor"))
-    test = c.where("doc_id % 2 = 1")
-    size = test.groupBy("doc_id", "lang").agg(F.sum("value").alias("len"))
-    s = N.scores(test.select("doc_id", "term", "value"), w, floor.select("class", F.lit(0.0).alias("b")))
-    s = s.join(size, "doc_id").join(F.broadcast(floor), "class").select("doc_id", "class", (F.col("score") + F.col("len") * F.col("floor")).alias("score"))
-    return N.best(s).join(size, "doc_id").select("doc_id", "lang", "label")
+    """The likeliest language of every whole text by words and subwords; ``seen`` are the documents learned from."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    got = SW.predict_labels(d, language_model(spark, sf_dir)).select("doc_id", "lang", F.get("labels", F.lit(0)).alias("x"))
+    return got.select("doc_id", "lang", (F.col("doc_id") % 2 == 0).alias("seen"), F.col("x.label").alias("label"), F.round("x.p", 6).alias("p"))
 
 
 @query("SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::BIGINT % 10 = 0 THEN 'dev' ELSE 'train' END AS split FROM documents")
