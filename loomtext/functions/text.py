@@ -267,6 +267,12 @@ def match_case(shape, word) -> Column:
     return F.when(caps & (F.length(s) > 1), F.upper(w)).when((F.upper(first) == first) & (F.lower(first) != first), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2147483647))).otherwise(w)
 
 
+def phonemes(words, lexicon: dict[str, str]) -> Column:
+    """Array of sounds of an array of words: as the lexicon says, else letter by letter."""
+    known = literal_map(lexicon)
+    return F.flatten(F.transform(_col(words), lambda w: F.coalesce(F.split(F.try_element_at(known, w), " "), F.split(w, ""))))
+
+
 def vi_sort_key(c) -> Column:
     """Ranks of the letters in the Vietnamese alphabet; null for any other character."""
     return F.transform(F.split(_col(c), ""), lambda x: F.nullif(F.instr(F.lit(T.ALPHABET), x), F.lit(0)) - 1)

@@ -69,3 +69,8 @@ def progress(raw: str) -> list[Column]:
     p = F.from_json(raw, PROGRESS)
     left = F.get(F.filter(p["subtasks"], lambda s: s["status"] == "pending"), F.lit(0))["id"]
     return [p["task"].alias("task"), left.alias("next_pending"), F.forall(p["subtasks"], lambda s: s["status"].isin("completed", "skipped")).alias("complete")]
+
+
+def latest_numbered(names: DataFrame, name: str, *keys: str) -> DataFrame:
+    """(*keys, name): of each key the name with the highest number at its end."""
+    return names.groupBy(*keys).agg(F.max_by(name, F.regexp_extract(name, "([0-9]+)$", 1).cast("decimal(38,0)")).alias(name))

@@ -209,3 +209,15 @@ def tag_problems(senses: DataFrame, tags: DataFrame, least: int) -> DataFrame:
     few = senses.agg(F.count_distinct("word").alias("n")).where(F.col("n") < least)
     none = F.lit(None).cast("string")
     return bad.unionByName(few.select(none.alias("word"), none.alias("tag"), F.lit("words").alias("problem")))
+
+
+def sense_votes(candidates: DataFrame, others: DataFrame) -> DataFrame:
+    """(token, pos, votes, agreed) of candidates (token, pos): the senses of other dictionaries (token, tag) of that token, and whether one is of that class."""
+    s = others.groupBy("token").agg(F.collect_list("tag").alias("tags"))
+    j = candidates.join(s, "token", "left")
+    return j.select("token", "pos", F.coalesce(F.when(F.col("tags").isNotNull(), F.size("tags")), F.lit(0)).alias("votes"), F.coalesce(F.array_contains("tags", F.col("pos")), F.lit(False)).alias("agreed"))
+
+
+def grown(have: DataFrame, verified: DataFrame) -> DataFrame:
+    """``have`` with the verified (token, pos) that it lacks."""
+    return have.unionByName(verified.join(have, ["token", "pos"], "left_anti"))

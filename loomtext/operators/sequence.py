@@ -228,6 +228,22 @@ def merged(tokens: Column, begins, glue: str = " ") -> Column:
     return X.let(tokens, words)
 
 
+def merged_pieces(pieces: Column) -> Column:
+    """Array of (start, word, entity, last) of an array of (start, piece, entity, end): pieces led by ## go on with the word before and move its end."""
+
+    def words(ps: Column) -> Column:
+        opens = F.filter(F.transform(ps, lambda p, i: F.when((i == 0) | ~p["piece"].startswith("##"), i)), lambda i: i.isNotNull())
+
+        def word(i: Column, upto: Column) -> Column:
+            run = F.slice(ps, i + 1, upto - i)
+            text = F.array_join(F.transform(run, lambda p: F.regexp_replace(p["piece"], "^##", "")), "")
+            return F.struct(F.get(ps, i)["start"].alias("start"), text.alias("word"), F.get(ps, i)["entity"].alias("entity"), F.array_max(F.transform(run, lambda p: p["end"])).alias("last"))
+
+        return X.let(opens, lambda at: F.transform(at, lambda i, j: word(i, F.coalesce(F.get(at, j + 1), F.size(ps)))))
+
+    return X.let(pieces, words)
+
+
 def entity_spans(tags: Column) -> Column:
     """Array of (type, first, last) of an array of BIO tags, as of ``entities``."""
     kind = lambda t: F.when(t.rlike("^[BI]-"), F.substring(t, 3, 2147483647)).otherwise("")

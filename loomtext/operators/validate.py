@@ -55,3 +55,8 @@ def bad_rows(blocks: DataFrame, tags: tuple[str, ...] = ("B-W", "I-W")) -> DataF
         .when((F.size("again") != 1) | (F.get("again", F.lit(0))["token"] != F.col("token")), "tokens")
     )
     return rows.withColumn("kind", kind).where("kind IS NOT NULL").select("block", "row_no", "kind")
+
+
+def content_words(tokens: DataFrame, word: str, tag: str, left_out: tuple[str, ...] = ("Np", "CH")) -> DataFrame:
+    """Tokens in small letters, without proper names and marks."""
+    return tokens.where(~F.col(tag).isin(*left_out)).withColumn(word, F.lower(word))

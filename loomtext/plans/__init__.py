@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge", "extras", "details", "records")
+MODULES = ("counts", "filters", "words", "scalars", "sequences", "corpora", "models", "knowledge", "extras", "details", "records", "arcs", "places", "blocks", "shapes")
 
 
 def load_all() -> None:

@@ -93,18 +93,6 @@ def quality_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("n_chars >= 500").select("doc_id", "lang", "n_chars").join(good, "doc_id")
 
 
-@query("SELECT * FROM (VALUES ('s1', 'FACILITIES'), ('s2', 'ROOMS'), ('s3', 'plain')) t(id, aspect)")
-def aspect_labels(spark, sf_dir):
-    d = spark.createDataFrame([("s1", "FACILITIES#QUALITY"), ("s2", "ROOMS#CLEAN#X"), ("s3", "plain")], "id string, label string")
-    return d.select("id", F.split_part("label", F.lit("#"), F.lit(1)).alias("aspect"))
-
-
-@query("SELECT * FROM (VALUES (0, 'nhà'), (2, 'đi')) t(pos, word)")
-def content_words(spark, sf_dir):
-    d = spark.createDataFrame([(0, "nhà", "N"), (1, "Hà Nội", "Np"), (2, "Đi", "V"), (3, ".", "CH")], "pos int, word string, tag string")
-    return d.where(~F.col("tag").isin("Np", "CH")).select("pos", F.lower("word").alias("word"))
-
-
 BLOCKS = [
     (1, "# sent_id = 1\n# text = Tôi đi học\nTôi\tB-W\nđi\tB-W\nhọc\tI-W"),
     (2, "# text = Không có mã\nKhông\tB-W\ncó mã\tB-W"),
@@ -112,22 +100,11 @@ BLOCKS = [
 ]
 
 
-@query("SELECT * FROM (VALUES (2, 'sent_id')) t(block, missing)")
-def validate_headers(spark, sf_dir):
-    return V.missing_headers(spark.createDataFrame(BLOCKS, "block int, body string"))
-
-
-@query("SELECT * FROM (VALUES (2, 1, 'tokens'), (3, 0, 'tag'), (3, 1, 'edge space'), (3, 2, 'columns')) t(block, row_no, kind)")
-def validate_tokens(spark, sf_dir):
-    """Rows with other than two columns, spaces at an edge, an unknown tag, or a token that tokenizes to something else."""
-    return V.bad_rows(spark.createDataFrame(BLOCKS, "block int, body string"))
-
-
-@query("SELECT count(*) AS n FROM (SELECT doc_id FROM documents WHERE text LIKE '%!!%' OR length(text) < 30 ORDER BY doc_id LIMIT 10)")
+@query("SELECT doc_id, CASE WHEN text LIKE '%!!%' THEN 'shout' ELSE 'short' END AS kind FROM documents WHERE text LIKE '%!!%' OR length(text) < 30 ORDER BY doc_id LIMIT 10")
 def error_budget(spark, sf_dir):
-    """At most ten violations are reported."""
-    bad = table(spark, sf_dir, "documents").where("text LIKE '%!!%' OR length(text) < 30").orderBy("doc_id").limit(10)
-    return bad.agg(F.count("*").alias("n"))
+    """The first ten violations, then no more."""
+    bad = table(spark, sf_dir, "documents").where("text LIKE '%!!%' OR length(text) < 30")
+    return bad.select("doc_id", F.when(F.col("text").contains("!!"), "shout").otherwise("short").alias("kind")).orderBy("doc_id").limit(10)
 
 
 @query("SELECT doc_id, length(text) AS n_chars, CASE WHEN trim(text) = '' THEN 0 ELSE len(string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+')) END::BIGINT AS n_words, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines FROM documents")

@@ -106,18 +106,6 @@ def json_args(spark, sf_dir):
     return e.select("event_id", "args", F.get_json_object("args", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT * FROM (VALUES (0, '{}', NULL), (1, '{}', 'not a JSON object'), (2, '{}', 'not a JSON object'), (3, '{\"a\": 1}', NULL)) t(id, args, error)")
-def json_args_edges(spark, sf_dir):
-    d = spark.createDataFrame([(0, ""), (1, "[1]"), (2, "{bad"), (3, '{"a": 1}')], "id int, raw string")
-    return d.select("id", *A.tool_arguments("raw"))
-
-
-@query("SELECT * FROM (VALUES (0, 5, 7, 12), (1, 3, 4, 7), (2, 1, 2, 3), (3, NULL, NULL, NULL)) t(id, input_tokens, output_tokens, total_tokens)")
-def extract_usage(spark, sf_dir):
-    raw = ['{"usage":{"prompt_tokens":5,"completion_tokens":7,"total_tokens":12}}', '{"usage":{"input_tokens":3,"output_tokens":4}}', '{"usageMetadata":{"promptTokenCount":1,"candidatesTokenCount":2,"totalTokenCount":3}}', "{}"]
-    return spark.createDataFrame(list(enumerate(raw)), "id int, raw string").select("id", *A.usage("raw"))
-
-
 @query("SELECT user_id, count(*) AS calls, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS tokens, round(sum(value), 6) AS total FROM events GROUP BY user_id")
 def usage_totals(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -159,13 +147,6 @@ def task_progress(spark, sf_dir):
     return s.agg(F.min(F.when(F.col("status") == "view", F.col("user_id"))).alias("next_pending"), F.bool_and(F.col("status").isin("purchase", "signup")).alias("complete"))
 
 
-@query("SELECT * FROM (VALUES ('session_10')) t(latest)")
-def latest_handoff(spark, sf_dir):
-    """By number, not by name."""
-    d = spark.createDataFrame([("session_9",), ("session_10",), ("session_2",)], "name string")
-    return d.agg(F.max_by("name", F.regexp_extract("name", "([0-9]+)$", 1).cast("int")).alias("latest"))
-
-
 # --- streams: run over what is there, results as of a batch ----------------------------------------------------------------
 
 
@@ -199,8 +180,8 @@ def events_sessions(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def events_dedup(spark, sf_dir):
-    """A stream without repeats, kept for longer than the table's events span."""
-    d = S.distinct_events(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "36500 days")
+    """A stream without repeats; what is older than a week before the newest event is forgotten."""
+    d = S.distinct_events(_stream(spark, sf_dir).select("user_id", "event_type", "ts"), "ts", ["user_id", "event_type"], "7 days")
     return S.run_to_files(d).select("user_id", "event_type")
 
 

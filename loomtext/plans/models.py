@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +12,6 @@ from loomtext.operators import linear as N
 from loomtext.operators import metrics as M
 from loomtext.operators import subword as SW
 from loomtext.operators import training as R
-from loomtext.operators import trees as T
 from loomtext.plans.catalog import query, table
 
 CLS = r"""
@@ -113,12 +111,6 @@ def lr_predict(spark, sf_dir):
     return N.ranked(linear_scores(spark, sf_dir), 10).select("doc_id", "class", F.round("prob", 9).alias("prob"))
 
 
-@query("SELECT sum(w * w) AS l2, sum(abs(w)) AS l1 FROM " + _W)
-def model_norms(spark, sf_dir):
-    w = spark.createDataFrame([(x,) for xs in WEIGHTS.values() for x in xs], "w double")
-    return w.agg(F.sum(F.col("w") * F.col("w")).alias("l2"), F.sum(F.abs("w")).alias("l1"))
-
-
 @query()
 def lr_train(spark, sf_dir):
     """A multinomial regression of the embeddings' labels, with its accuracy on other rows."""
@@ -171,15 +163,6 @@ def hash_split(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, "dev").otherwise("train").alias("split"))
 
 
-@query("SELECT * FROM (VALUES ('', 2166136261), ('hello', 1335831723)) t(s, h)")
-def fasttext_hash(spark, sf_dir):
-    @F.pandas_udf("long")
-    def run(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: R.fasttext_hash(x.encode()))
-
-    return spark.createDataFrame([("",), ("hello",)], "s string").select("s", run("s").alias("h"))
-
-
 HEADS = [(0, [2, 0, 2]), (1, [3, 0, 0, 3]), (2, [2, 1, 0]), (3, [2, 3, 1, 0]), (4, [3, 4, 0, 3]), (5, [1, 0]), (6, [2, -1, 1]), (7, [3, -1, 2])]
 
 
@@ -187,31 +170,9 @@ def heads(spark):
     return spark.createDataFrame(HEADS, "id int, heads array<int>")
 
 
-@query("SELECT * FROM (VALUES (0, ''), (1, ''), (2, '1,2'), (3, '1,2,3'), (4, ''), (5, ''), (6, ''), (7, '')) t(id, ring)")
-def tree_cycles(spark, sf_dir):
-    return heads(spark).select("id", F.array_join(T.in_cycle(F.col("heads")), ",").alias("ring"))
-
-
-@query("SELECT * FROM (VALUES (0, true, true), (1, false, true), (2, false, false), (3, false, false), (4, true, true), (5, false, false), (6, false, false), (7, false, false)) t(id, one_root, multi_root)")
-def is_tree(spark, sf_dir):
-    return heads(spark).select("id", T.is_tree(F.col("heads")).alias("one_root"), T.is_tree(F.col("heads"), multiroot=True).alias("multi_root"))
-
-
-@query("SELECT * FROM (VALUES (0, true), (1, false), (4, false), (6, false), (7, false)) t(id, projective)")
-def is_projective(spark, sf_dir):
-    return heads(spark).where("id IN (0, 1, 4, 6, 7)").select("id", T.is_projective(F.col("heads")).alias("projective"))
-
-
 SCORES = [[0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 9.0, 2.0], [3.0, 8.0, 0.0, 1.0], [2.0, 1.0, 7.0, 0.0]]
 
 
-@query("SELECT * FROM (VALUES ('eisner', '0,2,0,2'), ('mst', '0,2,0,2')) t(kind, heads)")
-def mst_decode(spark, sf_dir):
-    d = spark.createDataFrame([(SCORES,)], "s array<array<double>>")
-    both = [d.select(F.lit(k).alias("kind"), F.array_join(T.decode(F.col("s"), k), ",").alias("heads")) for k in ("eisner", "mst")]
-    return both[0].unionByName(both[1])
-
-
 @query("""
 WITH t AS (SELECT conv_id, turn, greatest(turn - 1, 0) AS head, CASE WHEN turn % 3 = 0 THEN 0 ELSE greatest(turn - 1, 0) END AS gold, role AS rel, CASE WHEN length(text) % 2 = 0 THEN role ELSE 'x' END AS gold_rel FROM conversations),
 p AS (SELECT conv_id, count(*) AS n, sum((head = gold)::INT) AS a, sum((head = gold AND rel = gold_rel)::INT) AS r, bool_and(head = gold) AS ua, bool_and(head = gold AND rel = gold_rel) AS la FROM t GROUP BY conv_id)

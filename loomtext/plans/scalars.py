@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import tables as T
 from loomtext.functions import text as X
-from loomtext.operators import address as A
 from loomtext.operators import lexicon as L
 from loomtext.plans.catalog import query, table
 
@@ -121,20 +120,6 @@ def addresses(spark):
     return spark.createDataFrame(list(enumerate(ADDRESSES)), "id int, address string")
 
 
-@query(f"SELECT id, trim({_EXP}) AS expanded FROM {_ADDR}")
-def expand_abbrev(spark, sf_dir):
-    return addresses(spark).select("id", X.expand_abbreviations("address").alias("expanded"))
-
-
-@query(f"""
-WITH p AS (SELECT id, list_filter(list_transform(string_split(trim({_EXP}), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM {_ADDR}),
-q AS (SELECT id, p, len(p) AS n, coalesce(p[-1], '') AS a, coalesce(p[-2], '') AS b, coalesce(p[-3], '') AS c FROM p),
-r AS (SELECT *, n = 2 AND regexp_matches(b, '^(phường|xã|thị trấn)') AS w FROM q)
-SELECT id, a AS province, CASE WHEN w THEN '' ELSE b END AS district, CASE WHEN w THEN b ELSE c END AS ward, CASE WHEN n >= 4 THEN array_to_string(p[1:n-3], ', ') ELSE '' END AS street FROM r""")
-def address_parse(spark, sf_dir):
-    return A.parse(addresses(spark), "address").drop("address")
-
-
 PROVINCES = [("hanoi", 1, "hanoi", "Thành phố Hà Nội"), ("thanhphohanoi", 2, "hanoi", "Thành phố Hà Nội")]
 UNITS = [
     (1, "hanoi", "quanbadinh", "phuongphucxa", "Hà Nội", "Phường Hồng Hà"),
@@ -147,41 +132,9 @@ UNITS = [
 UNIT_TYPES = "seq int, old_province_key string, old_district_key string, old_ward_key string, new_province string, new_ward string"
 
 
-@query("SELECT * FROM (VALUES (1, 'renamed', false), (2, 'merged', false), (3, 'merged', false), (4, 'divided', true), (5, 'divided', false), (6, 'unchanged', false)) t(seq, mapping_type, is_default)")
-def admin_mapping_build(spark, sf_dir):
-    return A.build_mapping(spark.createDataFrame(UNITS, UNIT_TYPES)).select("seq", "mapping_type", "is_default")
-
-
-@query("SELECT * FROM (VALUES ('renamed', 1), ('merged', 2), ('divided', 2), ('unchanged', 1)) t(mapping_type, n)")
-def admin_mapping_stats(spark, sf_dir):
-    return admin_mapping_build(spark, sf_dir).groupBy("mapping_type").agg(F.count("*").cast("int").alias("n"))
-
-
-@query("""
-SELECT * FROM (VALUES
- (0, 'success', 'renamed', 'Phường Hồng Hà, Thành phố Hà Nội', ''),
- (1, 'success', 'renamed', 'Phường Hồng Hà, Thành phố Hà Nội', ''),
- (2, 'success', 'merged', '12 hàng bài, Phường Hoàn Kiếm, Thành phố Hà Nội', ''),
- (3, 'success', 'unchanged', 'Xã Cũ, Thành phố Hà Nội', ''),
- (4, 'partial', NULL, 'Thành phố Hà Nội', 'Province-only conversion'),
- (5, 'partial', NULL, 'Thành phố Hà Nội', 'Ward not found, province converted'),
- (6, 'not_found', NULL, '', 'Province not found: atlantis'),
- (7, 'partial', NULL, 'Thành phố Hà Nội', 'Ward not found, province converted'),
- (8, 'success', 'divided', 'Phường Một, Thành phố Hà Nội', 'Old ward was split; default new ward selected')) t(id, status, mapping_type, converted, note)""")
-def address_convert(spark, sf_dir):
-    prov = spark.createDataFrame(PROVINCES, "keyword string, seq int, old_province_key string, new_province string")
-    return A.convert(addresses(spark), "address", prov, A.build_mapping(spark.createDataFrame(UNITS, UNIT_TYPES))).drop("address")
-
-
 SOCIAL = ["sp ko đẹp lắm!!!", "xem www.x.vn nhé :) ok.", "KHÔNG tốt chút nào đâu", "hay quá.... tks!!", ""]
 
 
-@query("SELECT * FROM (VALUES (0, 'sản phẩm không NEG_đẹp NEG_lắm!'), (1, 'xem nhé :) tốt'), (2, 'không NEG_tốt NEG_chút nào đâu'), (3, 'hay quá... cảm ơn'), (4, '')) t(id, out)")
-def social_preprocess(spark, sf_dir):
-    d = spark.createDataFrame(list(enumerate(SOCIAL)), "id int, text string")
-    return X.with_social_preprocess(d, "text", "out").select("id", "out")
-
-
 @query(r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, k, w[k] AS x, regexp_replace(w[k], '^[.,!?;:]+|[.,!?;:]+$', '', 'g') IN ('the', 'le', 'der') AS neg FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
@@ -255,21 +208,9 @@ def regex_tokens(spark, sf_dir):
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, pos int, token string, cls string")
 
 
-@query("SELECT * FROM (VALUES (0, 'Viện nghiên cứu', 'fixed_words'), (1, 'chiến lược', 'fixed_words'), (2, 'quốc', 'word'), (3, 'gia', 'word'), (4, '1.500', 'number'), (5, '=>', 'special')) t(pos, token, cls)")
-def fixed_word_tokens(spark, sf_dir):
-    d = spark.createDataFrame([("Viện nghiên cứu chiến lược quốc gia 1.500 =>",)], "text string")
-    return d.select(F.posexplode(X.regex_tokens("text", ("Viện nghiên cứu", "chiến lược"))).alias("pos", "x")).select("pos", "x.token", "x.cls")
-
-
 SYLLABLES = ["anh", "ách", "giếng", "hương", "hoa", "tà", "tả", "tã", "tạ", "quốc", "truyền", "khách", "xyz"]
 
 
-@query("SELECT * FROM (VALUES ('anh', '', '', 'a', 'nh'), ('ách', '', '', 'a', 'ch'), ('giếng', 'gi', '', 'ê', 'ng'), ('hương', 'h', '', 'ươ', 'ng'), ('hoa', 'h', 'o', 'a', ''), ('tà', 't', '', 'a', ''), ('tả', 't', '', 'a', ''), ('tã', 't', '', 'a', ''), ('tạ', 't', '', 'a', ''), ('quốc', 'qu', '', 'ô', 'c'), ('truyền', 'tr', 'u', 'yê', 'n'), ('khách', 'kh', '', 'a', 'ch')) t(s, onset, glide, vowel, coda)")
-def syllable_parts(spark, sf_dir):
-    d = spark.createDataFrame([(s,) for s in SYLLABLES], "s string").withColumn("p", X.syllable_parts("s"))
-    return d.where("p IS NOT NULL").select("s", "p.*")
-
-
 _TONE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(l, '^[{v}]$') THEN '{k}'" for k, v in T.TONES.items()) + " ELSE 'level' END"
 _ALLT = "".join(T.TONES.values())
 
@@ -279,19 +220,6 @@ def tone_analysis(spark, sf_dir):
     return words(spark, sf_dir).select("w", X.without_tone(F.lower("w")).alias("base"), X.tone(F.lower("w")).alias("tone"))
 
 
-@query("SELECT * FROM (VALUES ('anh', 'ʔɛŋ³³'), ('ách', 'ʔɛk⁴⁵'), ('giếng', 'ziəŋ²⁴'), ('hương', 'hɨəŋ³³'), ('hoa', 'hʷa³³'), ('tà', 'ta³²'), ('tả', 'ta³¹²'), ('tã', 'ta³ˀ⁵'), ('tạ', 'ta²¹ˀ'), ('quốc', 'kʷok⁴⁵'), ('truyền', 'tɕʷiən³²'), ('khách', 'xɛk⁴⁵'), ('xyz', '')) t(s, ipa)")
-def syllable_ipa(spark, sf_dir):
-    return spark.createDataFrame([(s,) for s in SYLLABLES], "s string").select("s", X.syllable_ipa("s", eight=True).alias("ipa"))
-
-
-@query("SELECT * FROM (VALUES (0, 'ao'), (1, 'áo'), (2, 'ăn'), (3, 'âm'), (4, 'đi'), (5, 'ếch'), (6, 'y')) t(r, w)")
-def vi_sort(spark, sf_dir):
-    from loomtext.operators.lexicon import dense_ids
-
-    d = spark.createDataFrame([(w,) for w in ("y", "ếch", "đi", "âm", "ăn", "áo", "ao")], "w string").withColumn("k", X.vi_sort_key("w"))
-    return dense_ids(d, ["k", "w"]).select(F.col("rank").cast("int").alias("r"), "w")
-
-
 @query(f"SELECT w, len(list_filter(string_split(w, ' '), lambda p: left(p, 1) <> upper(left(p, 1)) OR left(p, 1) = 'ß')) = 0 AS title FROM {W}")
 def is_title(spark, sf_dir):
     return words(spark, sf_dir).select("w", X.is_title("w").alias("title"))
@@ -309,12 +237,6 @@ def is_punct(spark, sf_dir):
     return s.select("s", X.is_punct("s").alias("punct"))
 
 
-@query("SELECT * FROM (VALUES ('HA', 'hà', 'HÀ'), ('H', 'hà', 'Hà'), ('Ha', 'hà', 'Hà'), ('ha', 'hà', 'hà'), ('1', 'hà', 'hà')) t(shape, word, out)")
-def match_case(spark, sf_dir):
-    d = spark.createDataFrame([(s, "hà") for s in ("HA", "H", "Ha", "ha", "1")], "shape string, word string")
-    return d.select("shape", "word", X.match_case("shape", "word").alias("out"))
-
-
 @query(r"SELECT w, substr(x, k, 3) AS gram FROM (SELECT w, w AS x FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark)), LATERAL (SELECT unnest(range(1, greatest(length(x) - 2, 1) + 1)) AS k)")
 def char_trigrams(spark, sf_dir):
     return words(spark, sf_dir, "benchmark").select("w", F.explode(X.char_ngrams("w", 3)).alias("gram"))

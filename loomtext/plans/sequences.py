@@ -54,18 +54,6 @@ def bio_merge(spark, sf_dir):
     return d.select("doc_id", F.col("word_no").cast("long").alias("word_no"), "word")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'Hà Nội', 'B-LOC', 2), (0, 2, 'là', 'O', 3), (0, 3, 'embedding', 'B-MISC', 6)) t(sent, start, word, entity, last)")
-def wordpiece_merge(spark, sf_dir):
-    """Pieces that start with ## go on with the word before and move its end."""
-    rows = [(0, 0, "Hà Nội", "B-LOC", 2), (0, 2, "là", "O", 3), (0, 3, "em", "B-MISC", 4), (0, 4, "##bed", "B-MISC", 5), (0, 5, "##ding", "I-MISC", 6)]
-    d = spark.createDataFrame(rows, "sent int, start int, piece string, entity string, end int")
-    w = Window.partitionBy("sent").orderBy("start")
-    d = d.withColumn("g", F.sum((~F.col("piece").startswith("##")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = F.array_sort(F.collect_list(F.struct("start", F.regexp_replace("piece", "^##", "").alias("p"))))
-    g = d.groupBy("sent", "g").agg(F.min("start").alias("start"), F.array_join(F.transform(x, lambda v: v["p"]), "").alias("word"), F.min_by("entity", "start").alias("entity"), F.max("end").alias("last"))
-    return g.drop("g")
-
-
 STATE = [("w=a", "B-W", 1.0), ("w=a", "I-W", 0.2), ("w=b", "I-W", 0.7), ("w=c", "B-W", 0.1)]
 TRANS = [("B-W", "I-W", 0.5), ("I-W", "I-W", -0.2), ("B-W", "B-W", -0.3)]
 
@@ -79,19 +67,6 @@ def sequences(spark):
     return spark.createDataFrame([(0, [["w=a"], ["w=b"], ["w=c"]]), (1, [["w=c", "w=zz"], ["w=a"]]), (2, [])], "sent int, feats array<array<string>>")
 
 
-@query("SELECT * FROM (VALUES (0, 'B-W I-W B-W'), (1, 'I-W B-W'), (2, '')) t(sent, tags)")
-def crf_decode(spark, sf_dir):
-    return S.decode(sequences(spark), S.load_chain(*toy(spark))).select("sent", F.array_join("tags", " ").alias("tags"))
-
-
-@query("SELECT * FROM (VALUES (0, 3, 1.0), (1, 2, 1.0)) t(sent, n, total)")
-def crf_marginals(spark, sf_dir):
-    """Each token's marginals add up to 1."""
-    m = S.marginals(sequences(spark).where("size(feats) > 0"), S.load_chain(*toy(spark)))
-    total = F.aggregate("marginals", F.lit(0.0), lambda a, r: a + F.aggregate(r, F.lit(0.0), lambda s, v: s + v))
-    return m.select("sent", F.size("marginals").alias("n"), F.round(total / F.size("marginals"), 9).alias("total"))
-
-
 @query(BIO + """, l AS (SELECT *, lag(tag) OVER (PARTITION BY doc_id ORDER BY pos) AS src FROM g),
 e AS (SELECT doc_id, CASE WHEN tag = 'B-W' THEN 1.0 / length(w) ELSE 0.25 END + CASE WHEN src = 'B-W' AND tag = 'I-W' THEN 0.5 WHEN src = 'I-W' AND tag = 'I-W' THEN -0.2 WHEN src = 'B-W' AND tag = 'B-W' THEN -0.3 ELSE 0 END AS v FROM l WHERE length(w) <= 8)
 SELECT doc_id, round(sum(v), 6) AS score FROM (SELECT doc_id, v FROM e UNION ALL SELECT doc_id, CASE WHEN src = 'B-W' AND tag = 'I-W' THEN 0.5 WHEN src = 'I-W' AND tag = 'I-W' THEN -0.2 WHEN src = 'B-W' AND tag = 'B-W' THEN -0.3 ELSE 0 END FROM l WHERE length(w) > 8) GROUP BY doc_id""")

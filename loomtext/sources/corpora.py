@@ -278,3 +278,11 @@ def parse_session(d: DataFrame, conv: str, body: str) -> DataFrame:
     texts = F.filter(F.split(body, r"(?m)^## (?:system|user|assistant) [0-9]+\n\n", -1), lambda x, i: i > 0)
     x = d.select(conv, F.explode(F.arrays_zip(heads.alias("h"), texts.alias("t"))).alias("x"))
     return x.select(conv, F.regexp_extract("x.h", "([0-9]+)", 1).cast("long").alias("turn"), F.regexp_extract("x.h", "## ([a-z]+)", 1).alias("role"), F.regexp_replace("x.t", "\n\n?$", "").alias("text"))
+
+
+def merge_corrected(made: DataFrame, corrected: DataFrame, key: str, type_: str, kind: str, values: list[str]) -> DataFrame:
+    """Rows of ``made``; where ``corrected`` has the key with the type ``kind``, its type and values instead."""
+    old = corrected.where(F.col(type_) == kind).select(F.col(key).alias("_k"), F.col(type_).alias("_t"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    d = made.join(old, F.col(key) == F.col("_k"), "left")
+    swap = lambda a, b: F.when(F.col("_k").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(b)
+    return d.select(key, swap("_t", type_), *[swap(f"_v_{v}", v) for v in values])
