@@ -5,6 +5,8 @@ A token table has columns (doc_id, word); all statistics come from (doc_id, word
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,19 +24,23 @@ def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
 
 
 def counted(words: Column) -> Column:
-    """Array of (word, tf) of an array of words: sorted, then cut into runs. A document's counts need no shuffle."""
+    """Array of (word, tf) of an array of words, counted in Arrow batches: each distinct word is met once, then whole numbers are counted. A document's counts need no shuffle."""
 
-    def runs(w: Column) -> Column:
-        at = F.filter(F.transform(w, lambda x, i: F.when((i == 0) | (x != F.get(w, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
-        return X.let(at, lambda s: F.transform(s, lambda p, j: F.struct(F.get(w, p).alias("word"), (F.coalesce(F.get(s, j + 1), F.size(w)) - p).cast("long").alias("tf"))))
+    @F.arrow_udf("array<struct<word:string,tf:bigint>>")
+    def run(v: pa.Array) -> pa.Array:
+        flat = v.flatten().dictionary_encode()
+        size, n = max(1, len(flat.dictionary)), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        key, tf = np.unique(np.repeat(np.arange(len(v)), n) * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        ends = np.searchsorted(key, np.arange(len(v) + 1) * size)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat.dictionary.take(pa.array(key % size)), pa.array(tf, pa.int64())], names=["word", "tf"]))
 
-    return X.let(F.sort_array(words), runs)
+    return run.asNondeterministic()(words)
 
 
 def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word") -> DataFrame:
     """(doc_id, *keep, word, tf), a row a document and word; made where the documents are."""
-    d = docs.withColumn("_words", words)
-    return d.select("doc_id", *keep, F.explode(counted(F.col("_words"))).alias("_x")).select("doc_id", *keep, F.col("_x.word").alias(name), F.col("_x.tf").alias("tf"))
+    d = docs.select("doc_id", *keep, counted(words).alias("_counts"))
+    return d.select("doc_id", *keep, F.explode("_counts").alias("_x")).select("doc_id", *keep, F.col("_x.word").alias(name), F.col("_x.tf").alias("tf"))
 
 
 def frequencies(t: DataFrame) -> DataFrame:

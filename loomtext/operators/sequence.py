@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +58,28 @@ def array_features(rows: DataFrame, templates: list[str], columns: list[str], wo
         "istitle": lambda v: F.when(X.is_title(v), "True").otherwise("False"),
         "is_in_dict": lambda v: F.when(F.lower(v).isin(*words), "True").otherwise("False"),
     }
+    parsed = [TEMPLATE.fullmatch(t) for t in templates]
+    span = lambda m: range(int(m["a"]), int(m["b"] or m["a"]) + 1)
+    near = sorted({(int(m["col"] or 0), k) for m in parsed for k in span(m)} | {(0, 0)})
+    name = lambda c, k: f"_{c}_{k + 1000}"
 
-    def one(t: str, i: Column) -> Column:
-        m = TEMPLATE.fullmatch(t)
-        a, b, col = int(m["a"]), int(m["b"] or m["a"]), columns[int(m["col"] or 0)]
-        v = F.array_join(F.slice(col, i + a + 1, F.lit(b - a + 1)), " ") if b > a else F.get(col, i + a)
-        return F.concat(F.lit(t + "="), F.when(i + a < 0, "BOS").when(i + b >= F.size(col), "EOS").otherwise(fns[m["fn"]](v)))
+    def shifted(c: int, k: int) -> Column:
+        """The column's values ``k`` places on, side by side with the tokens."""
+        col, n = F.col(columns[c]), F.size(columns[c])
+        return F.slice(col, k + 1, n) if k >= 0 else F.concat(F.array_repeat(F.lit(None).cast("string"), -k), F.slice(col, F.lit(1), F.greatest(n + k, F.lit(0))))
 
-    made = F.transform(columns[0], lambda _, i: F.struct(*[one(t, i).alias(f"f{k}") for k, t in enumerate(templates)]))
+    # Values stand side by side before tokens become rows, so that templates are plain expressions on a row.
     rest = [c for c in rows.columns if c not in columns]
-    return rows.select(*rest, F.posexplode(made).alias("pos", "_f")).select(*rest, F.col("pos").cast("long").alias("pos"), "_f.*")
+    d = rows.where(F.size(columns[0]) > 0).select(*rest, F.size(columns[0]).alias("_n"), *[shifted(c, k).alias(name(c, k)) for c, k in near])
+    d = d.select(*rest, "_n", F.posexplode(F.arrays_zip(*[name(c, k) for c, k in near])).alias("pos", "_x")).where(F.col("pos") < F.col("_n"))
 
+    def one(t: str, m: re.Match) -> Column:
+        at = [F.col("_x")[name(int(m["col"] or 0), k)] for k in span(m)]
+        v = F.concat_ws(" ", *at) if len(at) > 1 else at[0]
+        edge = F.when(F.col("pos") + span(m)[0] < 0, "BOS").when(F.col("pos") + span(m)[-1] >= F.col("_n"), "EOS")
+        return F.concat(F.lit(t + "="), edge.otherwise(fns[m["fn"]](v)) if span(m) != range(0, 1) else fns[m["fn"]](v))
 
-# --- linear-chain models: (attr, label, w) and (src, dst, w) tables -----------------------------------------------------
+    return d.select(*rest, F.col("pos").cast("long").alias("pos"), *[one(t, m).alias(f"f{k}") for k, (t, m) in enumerate(zip(templates, parsed))])
 
 
 class Chain:
@@ -273,41 +284,94 @@ def entities(tokens: DataFrame, sent: list[str], order: str, tag: str) -> DataFr
 # --- marks restored ----------------------------------------------------------------------------------------------------
 
 
+class Counts:
+    """Counts by 64-bit hashes, as two sorted arrays: twelve to sixteen bytes an entry, and no key is held."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.n = hashes[order], n[order]
+
+    def get(self, h: int) -> int:
+        k = int(np.searchsorted(self.hashes, np.uint64(h)))
+        return int(self.n[k]) if k < len(self.hashes) and int(self.hashes[k]) == h else 0
+
+
 class Restorer:
-    """Restores marks with a bigram model of syllables and a unigram fallback."""
+    """Restores marks with a bigram model of syllables and a unigram fallback.
+
+    ``uni`` and ``bi`` map the hash of a word, and of a pair, to its count; ``variants`` a bare word to its spellings in order, where there are other
+    spellings than itself.
+    """
 
     WEIGHT = 0.8
     WORD, NUMBER = re.compile("[a-zA-ZÀ-ɏḀ-ỿ]+"), re.compile("[0-9]+(?:[.,:][0-9]+)*")
     EDGE = "\"'“”‘’.,!?;:()[]{}…-"
     CUT = re.compile(r"(\s+|[,;!?…]+)")
+    SEED = 42
 
-    def __init__(self, uni: dict[str, int], bi: dict[tuple[str, str], int]):
-        self.uni, self.bi, self.total, self.size = uni, bi, sum(uni.values()), len(uni) or 1
+    def __init__(self, uni: Counts, bi: Counts, variants: dict[str, list[str]], total: int, size: int):
+        self.uni, self.bi, self.variants, self.total, self.size = uni, bi, variants, total, size or 1
         self.plain = str.maketrans(*X._tone_pairs())
-        self.variants: dict[str, list[str]] = {}
+
+    @classmethod
+    def of(cls, uni: dict[str, int], bi: dict[tuple[str, str], int]) -> Restorer:
+        """A small model from dictionaries."""
+        digest = lambda w, seed=cls.SEED: xxhash.xxh64_intdigest(w, seed=seed)
+        counts = lambda d: Counts(np.array(list(d), np.uint64), np.array(list(d.values()), np.int64))
+        variants: dict[str, list[str]] = {}
+        plain = str.maketrans(*X._tone_pairs())
         for w in sorted(uni):
-            self.variants.setdefault(w.translate(self.plain), []).append(w)
+            variants.setdefault(w.translate(plain), []).append(w)
+        return cls(counts({digest(w): n for w, n in uni.items()}), counts({digest(b, digest(a)): n for (a, b), n in bi.items()}), variants, sum(uni.values()), len(uni))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("options", "step", "first")}
+
+    @cached_property
+    def options(self):
+        @lru_cache(1 << 16)
+        def of(low: str) -> tuple[str, ...]:
+            return (low,) if low != low.translate(self.plain) else tuple(self.variants.get(low, (low,)))
 
-    def options(self, token: str) -> list[str]:
-        low = token.lower()
-        return [low] if low != low.translate(self.plain) else self.variants.get(low, [low])
+        return of
 
-    def p(self, w: str) -> float:
-        return (self.uni.get(w, 0) + 1) / (self.total + self.size)
+    @cached_property
+    def step(self):
+        word = lru_cache(1 << 16)(lambda w: (h := xxhash.xxh64_intdigest(w, seed=self.SEED), self.uni.get(h)))
 
-    def step(self, a: str, b: str) -> float:
-        n = self.bi.get((a, b), 0)
-        return float(np.log(self.WEIGHT * (n / self.uni[a] if n else 0.0) + (1 - self.WEIGHT) * self.p(b)))
+        @lru_cache(1 << 18)
+        def of(a: str, b: str) -> float:
+            h, n = word(a)
+            both = self.bi.get(xxhash.xxh64_intdigest(b, seed=h))
+            return float(np.log(self.WEIGHT * (both / n if both and n else 0.0) + (1 - self.WEIGHT) * (word(b)[1] + 1) / (self.total + self.size)))
 
-    def best(self, layers: list[list[str]]) -> list[str]:
-        """The likeliest chain; at a tie the predecessor that sorts last, at the end the candidate that sorts first."""
-        table = [{c: (float(np.log(self.p(c))), "") for c in layers[0]}]
+        return of
+
+    @cached_property
+    def first(self):
+        return lru_cache(1 << 16)(lambda w: float(np.log((self.uni.get(xxhash.xxh64_intdigest(w, seed=self.SEED)) + 1) / (self.total + self.size))))
+
+    def best(self, layers: list[tuple[str, ...]]) -> list[str]:
+        """The likeliest chain; at a tie the predecessor that sorts last, at the end the candidate that sorts first.
+
+        Where a word and the one before have one spelling each there is nothing to weigh, and scores begin anew.
+        """
+        scores = {c: self.first(c) if len(layers[0]) > 1 else 0.0 for c in layers[0]}
+        back: list[dict[str, str]] = [{}]
         for layer in layers[1:]:
-            table.append({c: max((s + self.step(a, c), a) for a, (s, _) in table[-1].items()) for c in layer})
-        at = max(table[-1], key=lambda c: table[-1][c][0])
+            if len(layer) == 1 and len(scores) == 1:
+                back.append({layer[0]: next(iter(scores))})
+                scores = {layer[0]: 0.0}
+                continue
+            made, new = {}, {}
+            for c in layer:
+                new[c], made[c] = max((s + self.step(a, c), a) for a, s in scores.items())
+            back.append(made)
+            scores = new
+        at = max(scores, key=scores.__getitem__)
         out = [at]
-        for t in reversed(table[1:]):
-            at = t[at][1]
+        for t in reversed(back[1:]):
+            at = t[at]
             out.append(at)
         return out[::-1]
 
@@ -334,25 +398,38 @@ class Restorer:
             return text
         parts = self.CUT.split(text)
         for run in self.chains(parts):
-            for (k, left, core, right, number), w in zip(run, self.best([["<num>"] if n else self.options(c) for _, _, c, _, n in run])):
+            for (k, left, core, right, number), w in zip(run, self.best([("<num>",) if n else self.options(c.lower()) for _, _, c, _, n in run])):
                 if not number and w != core.lower():
                     shaped = w.upper() if core.isupper() and len(core) > 1 else w[:1].upper() + w[1:] if core[:1].isupper() else w
                     parts[k] = left + shaped + right
         return "".join(parts)
 
 
+#: Words and pairs that a restorer may hold: some 500 MB a worker.
+MOST_COUNTS = 30_000_000
+
+
 def restorer(uni: DataFrame, bi: DataFrame) -> Restorer:
-    """The pruned model is a dictionary of the language: it is read to the driver and shared."""
-    return Restorer({r.w: r.n for r in uni.collect()}, {(r.w1, r.w2): r.n for r in bi.collect()})
+    """From counts (w, n) and (w1, w2, n), pruned before: they come to the driver as hashes and counts, up to MOST_COUNTS of them, and only
+    words with other spellings as text. ValueError for more."""
+    plain = X.remove_tone("w")
+    u = uni.select("w", F.col("n").cast("long").alias("n"), F.xxhash64("w").alias("h"), plain.alias("plain"))
+    size = uni.count()
+    if size + bi.count() > MOST_COUNTS:
+        raise ValueError(f"prune the counts: more than {MOST_COUNTS} words and pairs")
+    hashed = lambda d: (lambda t: Counts(t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy()))(d.toArrow())
+    pairs = bi.select(F.xxhash64("w1", "w2").alias("h"), F.col("n").cast("long").alias("n"))
+    other = u.groupBy("plain").agg(F.array_sort(F.collect_list("w")).alias("ws")).where((F.size("ws") > 1) | (F.get("ws", F.lit(0)) != F.col("plain")))
+    variants = {r.plain: r.ws for r in other.toLocalIterator()}
+    counts = hashed(u.select("h", "n"))
+    return Restorer(counts, hashed(pairs), variants, int(counts.n.sum()), size)
 
 
 def restore_marks(df: DataFrame, model: Restorer, text: str, out: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("string")
-    def run(v):
-        import pandas as pd
+    shared = df.sparkSession.sparkContext.broadcast(model)  # MOST_COUNTS at most
 
-        return pd.Series([shared.value.restore(x) for x in v], dtype=object)
+    @F.arrow_udf("string")
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([shared.value.restore(x) for x in v.to_pylist()], pa.string())
 
-    return df.withColumn(out, run(F.col(text)))
+    return df.withColumn(out, run.asNondeterministic()(F.col(text)))

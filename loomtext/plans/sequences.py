@@ -229,11 +229,11 @@ def classification_report(spark, sf_dir):
 
 @query()
 def restore_diacritics(spark, sf_dir):
-    """Marks restored on stripped text, with counts of the French documents."""
-    fr = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", "text")
-    model = S.restorer(*L.lm_counts(fr))
-    d = fr.select("doc_id", "text", X.remove_tone("text").alias("bare"))
-    return S.restore_marks(d, model, "bare", "restored").select("doc_id", "restored")
+    """Marks restored on all stripped texts, with counts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    uni, bi = L.lm_counts(docs)
+    model = S.restorer(uni, written(bi))
+    return S.restore_marks(docs.select("doc_id", X.remove_tone("text").alias("bare")), model, "bare", "restored").select("doc_id", "restored")
 
 
 @query(rf"""

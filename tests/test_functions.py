@@ -88,11 +88,40 @@ def test_chain_decoding_beats_all_labellings():
 
 
 def test_restorer():
-    r = Restorer({"hoa": 1, "hòa": 9, "bình": 8, "binh": 1, "<num>": 3}, {("hòa", "bình"): 8})
+    r = Restorer.of({"hoa": 1, "hòa": 9, "bình": 8, "binh": 1, "<num>": 3}, {("hòa", "bình"): 8})
     assert r.restore("Hoa BINH, 30 hoà http://x.y") == "Hòa BÌNH, 30 hoà http://x.y"
     assert r.restore("") == "" and r.restore(None) is None
 
 
+def test_restorer_against_dictionaries(spark):
+    """A model read from tables restores as one that looks words and pairs up in dictionaries and weighs every chain."""
+    import math
+    import random
+    from itertools import product
+
+    from loomtext.functions import text as X
+    from loomtext.operators import sequence as S
+
+    rng = random.Random(3)
+    words = ["a", "à", "á", "la", "là", "lá", "du", "dû", "ou", "où", "x", "y"]
+    uni = {w: rng.randint(1, 40) for w in words}
+    bi = {(a, b): rng.randint(1, min(uni[a], 9)) for a in words for b in words if rng.random() < 0.4}
+    model = S.restorer(spark.createDataFrame(list(uni.items()), "w string, n int"), spark.createDataFrame([(a, b, n) for (a, b), n in bi.items()], "w1 string, w2 string, n int"))
+    plain = str.maketrans(*X._tone_pairs())
+    variants = {}
+    for w in sorted(uni):
+        variants.setdefault(w.translate(plain), []).append(w)
+    total, size = sum(uni.values()), len(uni)
+    p = lambda w: (uni.get(w, 0) + 1) / (total + size)
+    step = lambda a, b: math.log(0.8 * (bi[a, b] / uni[a] if (a, b) in bi else 0) + 0.2 * p(b))
+    texts = [" ".join(rng.choice(["a", "la", "du", "ou", "x", "q", "là"]) for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    got = {r.t: r.o for r in S.restore_marks(spark.createDataFrame([(t,) for t in texts], "t string"), model, "t", "o").collect()}
+    score = lambda c: math.log(p(c[0])) + sum(step(a, b) for a, b in zip(c, c[1:]))
+    for t in texts:
+        every = product(*[[w] if w != w.translate(plain) else variants.get(w, [w]) for w in t.split()])
+        assert abs(score(got[t].split()) - max(map(score, every))) < 1e-9
+
+
 def test_trees_against_all():
     from itertools import product
 
@@ -185,12 +214,12 @@ def test_likelihood_training_meets_the_gradient(spark):
     from loomtext.operators import crf
 
     rng = np.random.default_rng(0)
-    feats, gold = [np.array([0]), np.array([1, 2]), np.array([0, 2])], np.array([0, 1, 1])
+    ids, counts, gold = np.array([0, 1, 2, 0, 2]), np.array([1, 2, 2]), np.array([0, 1, 1])
     w = rng.standard_normal(3 * 2 + 4)
 
     def f(x):
         gs, gt = np.zeros((3, 2)), np.zeros((2, 2))
-        v = crf.sentence_gradient(feats, gold, x[:6].reshape(3, 2), x[6:].reshape(2, 2), gs, gt)
+        v = crf.gradient(ids, counts, np.array([3]), gold, x[:6].reshape(3, 2), x[6:].reshape(2, 2), gs, gt)
         return v, np.concatenate([gs.ravel(), gt.ravel()])
 
     g = f(w)[1]
