@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,23 +24,41 @@ def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.explode(X.lower_tokens(text)).alias("word"))
 
 
-def counted(words: Column) -> Column:
-    """Array of (word, tf) of an array of words, counted in Arrow batches: each distinct word is met once, then whole numbers are counted. A document's counts need no shuffle."""
+def counted(words: Column, low: int = 1, high: int = 1) -> Column:
+    """Array of (word, tf) of an array of words, or of its runs of ``low`` to ``high`` words joined by blanks. A document's counts need no shuffle.
+
+    Counted in Arrow batches by whole numbers: each distinct word is met once as text, a run only where it is new to the batch.
+    """
 
     @F.arrow_udf("array<struct<word:string,tf:bigint>>")
     def run(v: pa.Array) -> pa.Array:
         flat = v.flatten().dictionary_encode()
-        size, n = max(1, len(flat.dictionary)), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        key, tf = np.unique(np.repeat(np.arange(len(v)), n) * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        ends = np.searchsorted(key, np.arange(len(v) + 1) * size)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([flat.dictionary.take(pa.array(key % size)), pa.array(tf, pa.int64())], names=["word", "tf"]))
-
+        n = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(v)), n)
+        word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code, names, made = word, flat.dictionary, []
+        for k in range(1, high + 1):
+            if k > 1:
+                inside = row[:-1] == row[1:]
+                pair, row = (word[:-1] * len(flat.dictionary) + word[1:])[inside], row[1:][inside]
+                seen, code = np.unique(pair, return_inverse=True)
+                names = pc.binary_join_element_wise(names.take(pa.array(seen // len(flat.dictionary))), flat.dictionary.take(pa.array(seen % len(flat.dictionary))), " ")
+            if k >= low:
+                key, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
+                made.append((key // max(1, len(names)), names.take(pa.array(key % max(1, len(names)))), tf))
+        rows = np.concatenate([r for r, _, _ in made])
+        order = np.argsort(rows, kind="stable")
+        both = pa.StructArray.from_arrays([pa.concat_arrays([w for _, w, _ in made]).take(pa.array(order)), pa.array(np.concatenate([t for _, _, t in made])[order], pa.int64())], names=["word", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(len(v) + 1)), pa.int32()), both)
+
+    if not 1 <= low <= high <= 2:
+        raise ValueError("runs of one or two words")
     return run.asNondeterministic()(words)
 
 
-def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word") -> DataFrame:
-    """(doc_id, *keep, word, tf), a row a document and word; made where the documents are."""
-    d = docs.select("doc_id", *keep, counted(words).alias("_counts"))
+def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word", low: int = 1, high: int = 1) -> DataFrame:
+    """(doc_id, *keep, word, tf), a row a document and word (or run of ``low`` to ``high`` words); made where the documents are."""
+    d = docs.select("doc_id", *keep, counted(words, low, high).alias("_counts"))
     return d.select("doc_id", *keep, F.explode("_counts").alias("_x")).select("doc_id", *keep, F.col("_x.word").alias(name), F.col("_x.tf").alias("tf"))
 
 

@@ -70,7 +70,7 @@ def array_features(rows: DataFrame, templates: list[str], columns: list[str], wo
 
     # Values stand side by side before tokens become rows, so that templates are plain expressions on a row.
     rest = [c for c in rows.columns if c not in columns]
-    d = rows.where(F.size(columns[0]) > 0).select(*rest, F.size(columns[0]).alias("_n"), *[shifted(c, k).alias(name(c, k)) for c, k in near])
+    d = rows.select(*rest, F.size(columns[0]).alias("_n"), *[shifted(c, k).alias(name(c, k)) for c, k in near])
     d = d.select(*rest, "_n", F.posexplode(F.arrays_zip(*[name(c, k) for c, k in near])).alias("pos", "_x")).where(F.col("pos") < F.col("_n"))
 
     def one(t: str, m: re.Match) -> Column:

@@ -155,7 +155,7 @@ v AS (SELECT term, df, cf, ln(((SELECT n FROM n) + 1.0) / (df + 1)) + 1 AS idf,
 def grams(spark, sf_dir):
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
     d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    return L.document_counts(d, X.word_ngrams(F.col("w"), 1, 2), name="term")
+    return L.document_counts(d, F.col("w"), name="term", high=2)
 
 
 def tfidf_vocab_table(spark, sf_dir):
