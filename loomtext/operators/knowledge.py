@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.operators.lexicon import sums_before
+
 # --- fixed values: what becomes what, in order (pattern, replacement) ---------------------------------------------------
 
 HTML_RULES = [
@@ -115,3 +117,36 @@ def post_fields(url: str) -> list[Column]:
     """Account, number and file name of a post's address; nulls if it is none."""
     part = lambda k: F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]+/([^/?#]+)/status/([^/?#]+)", k), F.lit(""))
     return [part(1).alias("account"), part(2).alias("post_id"), F.concat(part(1), F.lit("-"), part(2), F.lit(".md")).alias("file_name")]
+
+
+# --- what comes in and goes out ---------------------------------------------------------------------------------------------
+
+#: name = stem, a number that was added, ending.
+_NAME = r"^(.*?)(?:-([0-9]{1,9}))?(\.[^./]*)?$"
+
+
+def ingested(taken: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """``new`` with ``name`` made free: no row takes the name of another, nor one of ``taken`` (name).
+
+    A name that nobody has stays, for the first row in ``order`` (unique) that wants it; others get the next free number of their stem. Rows
+    of one stem are numbered in ranges, however many there are.
+    """
+    part = lambda k: F.regexp_extract("name", _NAME, k)
+    family, wish = F.struct(part(1).alias("stem"), part(3).alias("end")), F.coalesce(part(2).try_cast("long"), F.lit(0))
+    key = lambda d: d.withColumn("_stem", F.concat_ws("\0", family["stem"], family["end"])).withColumn("_wish", wish)
+    old = key(taken.select("name").distinct())
+    d = sums_before(key(new), "name", [order], F.lit(1), "_same").join(old.select("name", F.lit(True).alias("_has")), "name", "left")
+    d = d.withColumn("_free", F.col("_has").isNull() & (F.col("_same") == 0))
+    top = old.select("_stem", "_wish").unionByName(d.where("_free").select("_stem", "_wish")).groupBy(F.col("_stem").alias("_s")).agg(F.max("_wish").alias("_top"))
+    d = sums_before(d, "_stem", [order], F.when(~F.col("_free"), 1).otherwise(0), "_moved").join(top, F.col("_stem") == F.col("_s"), "left")
+    number = (F.coalesce("_top", F.lit(0)) + F.col("_moved") + 1).cast("string")
+    name = F.when(F.col("_free"), F.col("name")).otherwise(F.concat(part(1), F.lit("-"), number, part(3)))
+    return d.withColumn("name", name).select(*new.columns)
+
+
+def deletions(tree: DataFrame, asked: DataFrame, protected: str = "raw/") -> DataFrame:
+    """(path, status) of paths to be deleted: ``protected`` for what lies in that branch (also by way of dots), ``missing`` for what ``tree`` lacks, else ``deleted``."""
+    plain = F.regexp_replace(F.regexp_replace("path", r"^(?:\./|/)+", ""), r"/(?:\./)+", "/")
+    d = asked.withColumn("_p", plain).join(tree.select(F.col("path").alias("_p"), F.lit(True).alias("_there")).distinct(), "_p", "left")
+    guarded = F.col("_p").startswith(protected) | F.col("_p").contains("..") | (F.col("_p") == protected.rstrip("/"))
+    return d.select("path", F.when(guarded, "protected").when(F.col("_there").isNull(), "missing").otherwise("deleted").alias("status"))

@@ -12,6 +12,8 @@ from loomtext.operators import linear as N
 from loomtext.operators import metrics as M
 from loomtext.operators import subword as SW
 from loomtext.operators import training as R
+from loomtext.operators.classifier import Settings, TextClassifier
+from loomtext.operators.written import new_folder
 from loomtext.plans.catalog import query, table
 
 CLS = r"""
@@ -62,8 +64,11 @@ def predicted(spark, sf_dir, label="lang"):
 
 @query()
 def classify(spark, sf_dir):
-    """Language by a trained one-against-rest classifier, scored on held-out documents."""
-    p, docs = predicted(spark, sf_dir)
+    """Language by a trained one-against-rest classifier, saved and read again with its vocabulary, scored on held-out documents."""
+    d = table(spark, sf_dir, "documents")
+    docs, path = d.select("doc_id", F.col("lang").alias("label")), new_folder(spark)
+    TextClassifier.fit(d.select("doc_id", "text"), docs.where("doc_id % 4 = 0"), Settings(most=1000)).save(path)
+    p = TextClassifier.load(spark, path).predict(d.select("doc_id", "text"))
     held = p.join(docs, "doc_id", "inner").where("doc_id % 4 <> 0")
     return M.classification_report(held.withColumnRenamed("label", "pred").toDF(*["doc_id", "pred", "margin", "confidence", "gold"]), "gold", "pred")
 

@@ -13,6 +13,7 @@ from loomtext.operators import training as R
 from loomtext.operators import wikitemplates as WT
 from loomtext.operators import wikitext as W
 from loomtext.plans.catalog import query, table
+from loomtext.sources import corpora as C
 
 WORDS = r"(SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM documents)"
 
@@ -182,3 +183,39 @@ def latest_handoff(spark, sf_dir):
     """By number, not by name."""
     d = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("session_"), F.col("event_id").cast("string")).alias("name"))
     return A.latest_numbered(d, "name", "user_id").withColumnRenamed("name", "latest")
+
+
+# --- files ----------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT DISTINCT 'p' || page_id % 20 AS stem FROM pages WHERE page_id % 3 = 0),
+n AS (SELECT page_id, 'p' || page_id % 30 AS stem, row_number() OVER (PARTITION BY page_id % 30 ORDER BY page_id) AS r FROM pages WHERE page_id % 3 <> 0)
+SELECT page_id, CASE WHEN e.stem IS NULL AND r = 1 THEN n.stem || '.md' ELSE n.stem || '-' || (r - (e.stem IS NULL)::INT) || '.md' END AS name FROM n LEFT JOIN e USING (stem)""")
+def kb_ingest(spark, sf_dir):
+    """Two thirds of the pages come into a folder that has the others, under names of which many are taken."""
+    p = table(spark, sf_dir, "pages")
+    name = lambda k: F.concat(F.lit("p"), (F.col("page_id") % k).cast("string"), F.lit(".md")).alias("name")
+    return K.ingested(p.where("page_id % 3 = 0").select(name(20)), p.where("page_id % 3 <> 0").select("page_id", name(30)), "page_id")
+
+
+@query("""
+WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'raw/' WHEN 1 THEN './raw/' ELSE 'wiki/' END || page_id || '.md' AS path FROM pages)
+SELECT path, CASE WHEN page_id % 4 < 2 THEN 'protected' WHEN page_id % 4 = 2 THEN 'deleted' ELSE 'missing' END AS status FROM a""")
+def kb_delete(spark, sf_dir):
+    """Files of the protected branch stay, files that aren't there are named."""
+    p = table(spark, sf_dir, "pages")
+    file = F.concat(F.col("page_id").cast("string"), F.lit(".md"))
+    tree = p.select(F.concat(F.when(F.col("page_id") % 4 < 2, "raw/").otherwise("wiki/"), file).alias("path")).where(F.col("page_id") % 4 < 3)
+    asked = p.select(F.concat(F.when(F.col("page_id") % 4 == 0, "raw/").when(F.col("page_id") % 4 == 1, "./raw/").otherwise("wiki/"), file).alias("path"))
+    return K.deletions(tree, asked)
+
+
+@query("""
+WITH s AS (SELECT doc_id, octet_length(encode(text)) AS n, octet_length(encode(text)) > 10000 AS big FROM documents),
+b AS (SELECT doc_id, n, big, coalesce(sum(CASE WHEN big THEN 0 ELSE n END) OVER w, 0) AS small, coalesce(sum(big::INT) OVER w, 0) AS bigs FROM s WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, n, dense_rank() OVER (ORDER BY bigs, big, CASE WHEN big THEN 0 ELSE small // 10000 END) - 1 AS file FROM b""")
+def article_files(spark, sf_dir):
+    """Documents in files of 20,000 bytes at the most."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+    return C.file_numbers(d, "doc_id", F.col("n"), 20_000)

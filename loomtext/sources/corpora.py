@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtext.operators.lexicon import dense_ids, sums_before
 from loomtext.operators.trees import is_projective
 
 # --- files --------------------------------------------------------------------------------------------------------------
@@ -69,11 +70,38 @@ def missing_paths(sample: DataFrame, current: DataFrame) -> DataFrame:
     return sample.join(current, "path", "left_anti").select("path").orderBy("path")
 
 
-def write_articles(pages: DataFrame, path: str, most: int = 10_000, compression: str = "none") -> None:
-    """<doc> blocks of (id, title, url, text), at most ``most`` articles a file."""
+def article_blocks(pages: DataFrame) -> DataFrame:
+    """(id, value): a <doc> block of each (id, title, url, text)."""
     head = F.format_string('<doc id="%s" url="%s" title="%s">\n', F.col("id").cast("string"), F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")))
-    block = F.concat(head, F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n</doc>\n"))
-    pages.select(block.alias("value")).write.option("maxRecordsPerFile", most).option("compression", compression).text(path)
+    return pages.select("id", F.concat(head, F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")), F.lit("\n</doc>\n")).alias("value"))
+
+
+def write_articles(pages: DataFrame, path: str, most: int = 10_000, compression: str = "none") -> None:
+    """<doc> blocks, at most ``most`` articles a file."""
+    article_blocks(pages).select("value").write.option("maxRecordsPerFile", most).option("compression", compression).text(path)
+
+
+def file_numbers(rows: DataFrame, order: str, size: Column, most: int) -> DataFrame:
+    """Add ``file`` from 0, rising with ``order`` (unique): rows of one file have ``most`` bytes together at the most.
+
+    Rows over half of ``most`` have files of their own (over ``most`` too: a row isn't cut). The others are cut where the bytes before them pass a
+    multiple of half of ``most``; so a file starts within one half and ends within the next. Sums run in ranges: no task sees all rows.
+    """
+    half = most // 2
+    d = rows.withColumn("_all", F.lit(0)).withColumn("_size", size.cast("long")).withColumn("_big", (F.col("_size") > half).cast("int"))
+    d = sums_before(d, "_all", [order], F.when(F.col("_big") == 0, F.col("_size")).otherwise(0), "_small")
+    d = sums_before(d, "_all", [order], F.col("_big"), "_bigs")
+    d = d.withColumn("_cell", F.when(F.col("_big") == 1, F.lit(0).cast("long")).otherwise(F.floor(F.col("_small") / max(1, half))))
+    files = dense_ids(d.select("_bigs", "_big", "_cell").distinct(), ["_bigs", "_big", "_cell"]).withColumnRenamed("rank", "file")
+    return d.join(files, ["_bigs", "_big", "_cell"]).drop("_all", "_size", "_big", "_small", "_bigs", "_cell")
+
+
+def write_articles_by_bytes(pages: DataFrame, path: str, most: int = 1 << 20, compression: str = "none") -> None:
+    """<doc> blocks in the order of ids, in folders file=0, file=1, ... of one file each with ``most`` bytes at the most (but for longer blocks)."""
+    d = file_numbers(article_blocks(pages), "id", F.octet_length("value"), most)
+    # Each block ends its own line; the writer ends it again.
+    d = d.select("file", "id", F.regexp_replace("value", "\n$", "").alias("value"))
+    d.repartition("file").sortWithinPartitions("file", "id").drop("id").write.partitionBy("file").option("compression", compression).text(path)
 
 
 def read_traces(spark: SparkSession, path: str, most: int = 50) -> DataFrame:

@@ -129,3 +129,55 @@ def test_streams_go_on_and_drop_late_rows(spark, tmp_path):
     assert sorted(r.k for r in out.collect()) == ["a", "b", "d"]
     empty = S.stream_of(spark, f"{root}/in", spark.read.parquet(f"{root}/in").schema, file_name="none.parquet")
     assert S.run_to_files(empty.groupBy("k").count(), "complete").columns == ["k", "count"]
+
+
+def test_articles_by_bytes(spark, tmp_path):
+    """No file above the bound but those of one longer block; all blocks, in order."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomtext.sources import corpora as C
+
+    rng = random.Random(1)
+    rows = [(i, "t" * rng.randint(0, 9), None, "é" * rng.choice([0, 3, 40, 200, 900])) for i in range(300)]
+    d = spark.createDataFrame(rows, "id long, title string, url string, text string").repartition(5)
+    C.write_articles_by_bytes(d, str(tmp_path / "out"), 1500)
+    want = [r.value for r in C.article_blocks(d).orderBy("id").collect()]
+    folders = sorted((tmp_path / "out").glob("file=*"), key=lambda p: int(p.name[5:]))
+    assert [int(p.name[5:]) for p in folders] == list(range(len(folders))) and 20 < len(folders) < 300
+    texts = []
+    for p in folders:
+        files = list(p.glob("part-*"))
+        assert len(files) == 1
+        texts.append(files[0].read_text())
+        assert len(texts[-1].encode()) <= 1500 or texts[-1].count("<doc ") == 1
+    assert "".join(texts) == "".join(want)
+    assert C.file_numbers(d.where("false"), "id", F.lit(1), 10).count() == 0
+
+
+def test_two_ingests_of_one_folder(spark):
+    """Nothing is lost and no name is given twice, also for names that end in numbers."""
+    from loomtext.operators import knowledge as K
+
+    names = ["a.md", "a.md", "a-1.md", "a-1.md", "b", "b", "c-7.txt", "c.txt", "c.txt", "d.e.md", "-3", "a-1"]
+    new = spark.createDataFrame([(i, n, f"text {i}") for i, n in enumerate(names)], "i int, name string, text string").repartition(3)
+    first = K.ingested(new.select("name").where("false"), new, "i").collect()
+    assert len({r.name for r in first}) == len(first) == len(names) and {r.text for r in first} == {f"text {i}" for i in range(len(names))}
+    assert [r.name for r in sorted(first)][:1] == ["a.md"]
+    second = K.ingested(spark.createDataFrame([(r.name,) for r in first], "name string"), new, "i").collect()
+    assert len({r.name for r in first} | {r.name for r in second}) == 2 * len(names)
+
+
+def test_classifier_round_trip(spark, tmp_path):
+    from loomtext.operators.classifier import Settings, TextClassifier
+
+    docs = spark.createDataFrame([(i, f"{'good fine' if i % 2 else 'bad poor'} w{i % 5} common") for i in range(40)] + [(99, None), (100, "")], "doc_id long, text string")
+    labels = docs.where("doc_id < 30").selectExpr("doc_id", "IF(doc_id % 2 = 1, 'pos', 'neg') AS label")
+    m = TextClassifier.fit(docs, labels, Settings(lower=True, most=50))
+    m.save(str(tmp_path / "m"))
+    got = TextClassifier.load(spark, str(tmp_path / "m"))
+    assert got.settings == m.settings
+    a, b = ({r.doc_id: (r.label, r.margin) for r in x.predict(docs).collect()} for x in (m, got))
+    assert a.keys() == b.keys() == set(range(40)) and all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-12 for i in a)
+    assert all(y == ("pos" if i % 2 else "neg") for i, (y, _) in a.items())
