@@ -29,17 +29,19 @@ NEGATIONS = ("không", "chẳng", "chả", "chưa", "đừng", "ko", "hok", "hem
 
 # --- fixed values: stop words -----------------------------------------------------------------------------------------
 
-STOPWORDS = (
-    "có của trong các được đến và nhiều này một chỉ đó sẽ số để đã ở những vào qua đi không là ra mà khi rằng từ năm rất hay"
-    " tại sau bị đều vẫn lần như đồng mình còn xảy đợt theo hiện"
-).split() + ["tuy nhiên", "10", "gì", "tới", "lại", "về", "2"]
+STOPWORDS = [
+    "có", "của", "trong", "các", "được", "đến", "và", "nhiều", "này", "một", "chỉ", "đó", "sẽ", "số", "để", "đã", "ở", "những", "vào", "qua", "đi",
+    "không", "là", "ra", "mà", "khi", "rằng", "từ", "năm", "rất", "hay", "tại", "sau", "bị", "đều", "vẫn", "lần", "như", "đồng", "mình", "còn", "xảy",
+    "đợt", "theo", "hiện", "tuy nhiên", "10", "gì", "tới", "lại", "về", "2",
+]
 
 # --- fixed values: abbreviations that end no sentence (any list can be given instead) ---------------------------------
 
-ABBREVIATIONS = (
-    "g.m.t e.g dr vs 000 mr mrs prof inc tp ts ths th k.l a.w.a.k.e t a.i </i g.w ass u.n.c.l.e t.e.s.t d.c ve… f.t b.b z.e"
-    " s.g m.p g.u.y l.c g.i j.f r.r v.i m.h a.s bs c.k aug t.d.q b… ph j.k e.l o.t s.a"
-).split()
+ABBREVIATIONS = [
+    "g.m.t", "e.g", "dr", "vs", "000", "mr", "mrs", "prof", "inc", "tp", "ts", "ths", "th", "k.l", "a.w.a.k.e", "t", "a.i", "</i", "g.w", "ass",
+    "u.n.c.l.e", "t.e.s.t", "d.c", "ve…", "f.t", "b.b", "z.e", "s.g", "m.p", "g.u.y", "l.c", "g.i", "j.f", "r.r", "v.i", "m.h", "a.s", "bs", "c.k",
+    "aug", "t.d.q", "b…", "ph", "j.k", "e.l", "o.t", "s.a",
+]
 
 # --- fixed values: address abbreviations and ward prefixes -------------------------------------------------------------
 

@@ -12,6 +12,7 @@ from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import toolschema as TS
 from loomtext.operators import training as TR
+from loomtext.operators.written import new_folder
 from loomtext.plans.catalog import query, table
 from loomtext.sources import corpora as C
 
@@ -56,12 +57,23 @@ def stacked_splits(spark, sf_dir):
 
 
 @query("""
-SELECT p_name AS name, p_type AS type, p_brand AS license, p_size AS year, p_partkey::VARCHAR AS directory FROM part WHERE p_brand IS DISTINCT FROM 'Brand#13'""")
+SELECT p_name AS name, p_type AS type, p_brand AS license, p_size AS year, p_partkey::VARCHAR AS directory, row_number() OVER (ORDER BY p_size DESC, p_type DESC, p_name DESC, p_partkey::VARCHAR DESC) - 1 AS place
+FROM part WHERE p_brand IS DISTINCT FROM 'Brand#13'""")
 def open_catalogue(spark, sf_dir):
-    """Parts as a catalogue in which one brand is closed."""
+    """Parts as a catalogue in which one brand is closed, with their places in its order."""
     p = table(spark, sf_dir, "part")
     shown = F.when(F.col("p_brand") == "Brand#13", "Close").otherwise(F.col("p_brand"))
-    return C.catalogue(p.select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), shown.alias("license"), F.col("p_size").alias("year"), F.col("p_partkey").cast("string").alias("directory")))
+    d = C.catalogue(p.select(F.col("p_name").alias("name"), F.col("p_type").alias("type"), shown.alias("license"), F.col("p_size").alias("year"), F.col("p_partkey").cast("string").alias("directory")))
+    return L.dense_ids(d.withColumn("at", F.monotonically_increasing_id()), ["at"]).withColumnRenamed("rank", "place").drop("at")
+
+
+@query("SELECT source, count(*) AS n, sum(length(b))::BIGINT AS chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS b FROM documents) WHERE length(b) > 10 AND trim(b) <> '' GROUP BY source")
+def joined_blocks(spark, sf_dir):
+    """A folder of blocks a source, here the documents' lines, put together but for blocks of ten characters or fewer."""
+    folder = new_folder(spark)
+    docs(spark, sf_dir).select("source", F.concat(F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n")).alias("value")).write.partitionBy("source").text(folder)
+    b = C.read_blocks(spark, f"{folder}/*", over=10)
+    return b.groupBy(F.regexp_extract("path", "source=([^/]+)", 1).alias("source")).agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
 @query("SELECT source AS value, max(lang) AS lang FROM documents WHERE source IS NOT NULL GROUP BY source")

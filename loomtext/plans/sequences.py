@@ -270,7 +270,11 @@ def diacritic_chains(spark, sf_dir):
     return d.groupBy("item_id", "chain").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE x AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS w FROM benchmark), t AS (SELECT item_id, k, length(w[k]) AS n FROM x, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
+r AS (SELECT item_id, k, n, n AS s, (n > 40)::INT AS piece FROM t WHERE k = 1
+  UNION ALL SELECT t.item_id, t.k, t.n, CASE WHEN r.s + t.n > 40 THEN t.n ELSE r.s + t.n END, r.piece + (r.s + t.n > 40)::INT FROM r JOIN t ON t.item_id = r.item_id AND t.k = r.k + 1)
+SELECT item_id, piece, sum(n)::BIGINT AS chars, count(*) AS n FROM r GROUP BY item_id, piece""")
 def length_budget_split(spark, sf_dir):
     """Tokens cut into pieces of at most 40 characters: a sum that starts again at each cut, folded over the array."""
     d = table(spark, sf_dir, "benchmark").select("item_id", X.simple_tokens("text").alias("w"))

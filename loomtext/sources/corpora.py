@@ -24,10 +24,10 @@ def write_text_folder(df: DataFrame, path: str, id_col: str = "doc_id", lines: s
     df.select(id_col, F.concat_ws("\n", lines).alias("value")).write.partitionBy(id_col).mode("overwrite").text(path)
 
 
-def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, body): blank-line separated blocks; a file is split by Spark at block ends, not read whole."""
+def read_blocks(spark: SparkSession, path: str, over: int = 0) -> DataFrame:
+    """(path, body): blank-line separated blocks of more than ``over`` characters, of one file or many; a file is split by Spark at block ends, not read whole."""
     d = spark.read.option("lineSep", "\n\n").text(path)
-    return d.where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\n+|\n+$", "").alias("body"))
+    return d.where(F.trim("value") != "").select(F.input_file_name().alias("path"), F.regexp_replace("value", "^\n+|\n+$", "").alias("body")).where(F.length("body") > over)
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -241,10 +241,10 @@ def stacked(*parts: DataFrame) -> DataFrame:
 
 
 def catalogue(entries: DataFrame, everything: bool = False) -> DataFrame:
-    """(name, type, license, year, directory), newest first, then by type and name downwards; closed ones are starred, or left out."""
+    """(name, type, license, year, directory), newest first, then by type, name and directory downwards; closed ones are starred, or left out."""
     d = entries if everything else entries.where("NOT license <=> 'Close'")
     d = d.select("name", "type", F.when(F.col("license") == "Close", "Close*").otherwise(F.col("license")).alias("license"), "year", "directory")
-    return d.orderBy(F.desc("year"), F.desc("type"), F.desc("name"))
+    return d.orderBy(F.desc("year"), F.desc("type"), F.desc("name"), F.desc("directory"))
 
 
 def read_catalogue(spark: SparkSession, path: str, everything: bool = True) -> DataFrame:
