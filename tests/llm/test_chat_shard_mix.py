@@ -88,6 +88,26 @@ def test_shards_are_even_runs(spark, n, shards):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == want
 
 
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_shards_against_one_sorted_list(spark, shards):
+    """Rows in one list, by cell of the curve and then by hash, cut where the middle of a row's bytes lies."""
+    rows, df = docs(spark, 300)
+    got = sharding.shard(df.repartition(5), shards).collect()
+    text = F.coalesce("text", F.lit(""))
+    key = (F.col("doc_id"), F.crc32(F.encode(text, "utf-8")), F.octet_length(text).cast("long") + 1)
+    h = {tuple(r)[:3]: r.h for r in df.select(*[c.alias(n) for c, n in zip(key, "abc")], F.xxhash64(*key).alias("h")).collect()}
+    of = lambda r: (r.doc_id, r.text_crc32, r.size)
+    order = sorted(got, key=lambda r: (r.curve, h[of(r)] % 1024, h[of(r)], of(r)[0] is None, of(r)))
+    total, at, n = sum(r.size for r in got), 0, defaultdict(int)
+    want = []
+    for r in order:
+        s = min(int((at + r.size / 2) * shards / total), shards - 1)
+        want.append((*of(r), s, n[s]))
+        n[s] += 1
+        at += r.size
+    assert sorted(((*of(r), r.shard, r.slot) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_files_are_skipped_by_each_dimension(spark):
     """Sources that begin alike, and languages and sizes: each value lies in few of the shards, by rows as dealt at random in all."""
     rng = random.Random(2)
