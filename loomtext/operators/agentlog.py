@@ -74,3 +74,24 @@ def progress(raw: str) -> list[Column]:
 def latest_numbered(names: DataFrame, name: str, *keys: str) -> DataFrame:
     """(*keys, name): of each key the name with the highest number at its end."""
     return names.groupBy(*keys).agg(F.max_by(name, F.regexp_extract(name, "([0-9]+)$", 1).cast("decimal(38,0)")).alias(name))
+
+
+def to_messages(turns: DataFrame, conv: str, turn: str, role: str, text: str, shape: str) -> DataFrame:
+    """(conv, body): a conversation as the JSON that a provider takes.
+
+    ``roles``: all messages as {role, content}. ``parts``: messages as {role, parts: [{text}]} under contents, the assistant as model, and system texts, joined by
+    line ends, apart (left out where there are none). Null texts are empty.
+    """
+    said = F.coalesce(text, F.lit(""))
+    system = F.col(role) == "system"
+    if shape == "roles":
+        one = F.struct(F.col(turn).alias("t"), F.struct(F.col(role).alias("role"), said.alias("content")).alias("m"))
+        g = turns.groupBy(conv).agg(F.array_sort(F.collect_list(one)).alias("x"))
+        return g.select(conv, F.to_json(F.transform("x", lambda v: v["m"])).alias("body"))
+    if shape != "parts":
+        raise ValueError(f"unknown shape: {shape}")
+    part = F.array(F.struct(said.alias("text")))
+    one = F.struct(F.col(turn).alias("t"), F.struct(F.when(F.col(role) == "assistant", "model").otherwise("user").alias("role"), part.alias("parts")).alias("m"))
+    g = turns.groupBy(conv).agg(F.array_sort(F.collect_list(F.when(~system, one))).alias("x"), F.array_sort(F.collect_list(F.when(system, F.struct(F.col(turn).alias("t"), said.alias("s"))))).alias("s"))
+    apart = F.when(F.size("s") > 0, F.struct(F.array(F.struct(F.array_join(F.transform("s", lambda v: v["s"]), "\n").alias("text"))).alias("parts")))
+    return g.select(conv, F.to_json(F.struct(F.transform("x", lambda v: v["m"]).alias("contents"), apart.alias("systemInstruction"))).alias("body"))

@@ -185,6 +185,21 @@ def latest_handoff(spark, sf_dir):
     return A.latest_numbered(d, "name", "user_id").withColumnRenamed("name", "latest")
 
 
+@query("SELECT conv_id, to_json(list(struct_pack(role := role, content := coalesce(text, '')) ORDER BY turn))::VARCHAR AS body FROM conversations GROUP BY conv_id")
+def message_roles(spark, sf_dir):
+    return A.to_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", "roles")
+
+
+@query("""
+SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') > 0
+   THEN to_json(struct_pack(contents := coalesce(list(struct_pack(role := CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END, parts := [struct_pack(text := text)]) ORDER BY turn) FILTER (role <> 'system'), []),
+     systemInstruction := struct_pack(parts := [struct_pack(text := string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'system'))])))::VARCHAR
+   ELSE to_json(struct_pack(contents := list(struct_pack(role := CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END, parts := [struct_pack(text := text)]) ORDER BY turn)))::VARCHAR END AS body
+FROM conversations GROUP BY conv_id""")
+def message_parts(spark, sf_dir):
+    return A.to_messages(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", "parts")
+
+
 # --- files ----------------------------------------------------------------------------------------------------------------------
 
 
