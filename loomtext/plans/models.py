@@ -145,10 +145,10 @@ def language_model(spark, sf_dir):
     learn = table(spark, sf_dir, "documents").where("doc_id % 2 = 0 AND lang IS NOT NULL").select("text", "lang")
     words = [r.w for r in learn.select(F.explode(X.space_tokens("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(LANG_WORDS).collect()]
     known = {w: i for i, w in enumerate(words)}
-    ids = learn.select("lang", F.explode(R.line_features("text", known, LANG_BUCKETS, 2, 4)).alias("i")).groupBy("lang", "i").agg(F.count("*").alias("n")).toArrow()  # a row a language and feature
-    langs = sorted(set(ids.column("lang").to_pylist()))
+    ids = SW.feature_counts(learn, "text", "lang", known, LANG_BUCKETS, 2, 4).toArrow()  # a row a language and feature
+    langs = sorted(set(ids.column("label").to_pylist()))
     n = np.ones((len(words) + LANG_BUCKETS, len(langs)))
-    np.add.at(n, (ids.column("i").to_numpy(), [langs.index(y) for y in ids.column("lang").to_pylist()]), ids.column("n").to_numpy())
+    np.add.at(n, (ids.column("i").to_numpy(), [langs.index(y) for y in ids.column("label").to_pylist()]), ids.column("n").to_numpy())
     share = np.log(n / n.sum(axis=0))
     return SW.SubwordModel(known, langs, [1] * len(langs), SW.Dense((share - share.mean(axis=1, keepdims=True)).astype(np.float32)), SW.Dense(np.eye(len(langs), dtype=np.float32) * 50), buckets=LANG_BUCKETS, low=2, high=4)
 

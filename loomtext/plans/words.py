@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.functions.tables import STOPWORDS
 from loomtext.operators import lexicon as L
-from loomtext.operators.written import written
 from loomtext.plans.catalog import query, table
 
 TOK = r"SELECT doc_id, lang, lower(unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+'))) AS word FROM documents"
@@ -189,13 +188,13 @@ TFV = NG + """, x AS (SELECT doc_id, feature_id, tf * idf AS raw, term FROM d JO
 
 @query(TFV + "SELECT doc_id, feature_id, round(raw / norm, 6) AS value FROM x JOIN m USING (doc_id)")
 def tfidf_vectors(spark, sf_dir):
-    g = written(grams(spark, sf_dir))
+    g = grams(spark, sf_dir)
     return L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000)).withColumn("value", F.round("value", 6))
 
 
 @query(TFV + "SELECT doc_id, format('tfidf_{}={:.6f}', feature_id, raw / norm) AS feature FROM x JOIN m USING (doc_id)")
 def tfidf_features(spark, sf_dir):
-    g = written(grams(spark, sf_dir))
+    g = grams(spark, sf_dir)
     v = L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000))
     return v.select("doc_id", F.format_string("tfidf_%d=%.6f", "feature_id", "value").alias("feature"))
 
