@@ -151,8 +151,9 @@ def task_progress(spark, sf_dir):
 
 
 def _stream(spark, sf_dir):
-    """The events as a stream of one file; watermarks want instants."""
-    s = S.stream_of(spark, sf_dir, table(spark, sf_dir, "events").schema, file_name="events.parquet")
+    """The events as a stream, whether the table is a file or a folder of files: a stream's path must be a folder or a pattern. All files
+    are one batch, so that none is late. Watermarks want instants."""
+    s = S.stream_of(spark, f"{sf_dir}/[e]vents.parquet", table(spark, sf_dir, "events").schema, 2**31 - 1)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

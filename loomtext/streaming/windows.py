@@ -14,6 +14,7 @@ LATE = "10 minutes"
 
 
 def stream_of(spark: SparkSession, path: str, schema, per_trigger: int = 1000, file_name: str = "*.parquet") -> DataFrame:
+    """The files under ``path``, a folder or a pattern; a pattern may also match a file itself."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", file_name).parquet(path)
 
 

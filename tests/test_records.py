@@ -3,6 +3,8 @@
 import json
 from typing import Literal
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import agentlog as A
@@ -10,8 +12,13 @@ from loomtext.operators import lexicon as L
 from loomtext.operators import metrics as M
 from loomtext.operators import toolschema as TS
 from loomtext.operators import training as TR
+from loomtext.plans import load_all
+from loomtext.plans.catalog import ORACLES, QUERIES
 from loomtext.sources import corpora as C
 from loomtext.streaming import windows as S
+from tests.compare import duck_rows, spark_rows
+
+load_all()
 
 
 def brute_hash(data):
@@ -181,3 +188,21 @@ def test_classifier_round_trip(spark, tmp_path):
     a, b = ({r.doc_id: (r.label, r.margin) for r in x.predict(docs).collect()} for x in (m, got))
     assert a.keys() == b.keys() == set(range(40)) and all(a[i][0] == b[i][0] and abs(a[i][1] - b[i][1]) < 1e-12 for i in a)
     assert all(y == ("pos" if i % 2 else "neg") for i, (y, _) in a.items())
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("name", ["stream_pairs", "stream_vocabulary"])
+def test_streams_of_a_file_and_of_a_folder_of_files(spark, sf, tmp_path, name, files):
+    """A table is one file or a folder of files, which are read as one batch."""
+    made, folder = tmp_path / "made", tmp_path / "events.parquet"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(files).write.parquet(str(made))
+    parts = sorted(made.glob("part-*"))
+    assert len(parts) == files
+    if files == 1:
+        parts[0].rename(folder)
+    else:
+        made.rename(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}{'/*.parquet' if files > 1 else ''}')")
+    got, want = spark_rows(QUERIES[name](spark, str(tmp_path))), duck_rows(con, ORACLES[name])
+    assert got == want and len(got[1]) > 3
