@@ -5,6 +5,8 @@ A token table has columns (doc_id, word); all statistics come from (doc_id, word
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,42 +26,62 @@ def tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return docs.select("doc_id", *keep, F.explode(X.lower_tokens(text)).alias("word"))
 
 
-def counted(words: Column, low: int = 1, high: int = 1) -> Column:
-    """Array of (word, tf) of an array of words, or of its runs of ``low`` to ``high`` words joined by blanks. A document's counts need no shuffle.
+#: Words that are counted at once, but for a single longer text: bounds the memory of a task.
+COUNTED = 1 << 18
 
-    Counted in Arrow batches by whole numbers: each distinct word is met once as text, a run only where it is new to the batch.
-    """
 
-    @F.arrow_udf("array<struct<word:string,tf:bigint>>")
-    def run(v: pa.Array) -> pa.Array:
-        flat = v.flatten().dictionary_encode()
-        n = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        row = np.repeat(np.arange(len(v)), n)
-        word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        code, names, made = word, flat.dictionary, []
-        for k in range(1, high + 1):
-            if k > 1:
-                inside = row[:-1] == row[1:]
-                pair, row = (word[:-1] * len(flat.dictionary) + word[1:])[inside], row[1:][inside]
-                seen, code = np.unique(pair, return_inverse=True)
-                names = pc.binary_join_element_wise(names.take(pa.array(seen // len(flat.dictionary))), flat.dictionary.take(pa.array(seen % len(flat.dictionary))), " ")
-            if k >= low:
-                key, tf = np.unique(row * max(1, len(names)) + code, return_counts=True)
-                made.append((key // max(1, len(names)), names.take(pa.array(key % max(1, len(names)))), tf))
-        rows = np.concatenate([r for r, _, _ in made])
-        order = np.argsort(rows, kind="stable")
-        both = pa.StructArray.from_arrays([pa.concat_arrays([w for _, w, _ in made]).take(pa.array(order)), pa.array(np.concatenate([t for _, _, t in made])[order], pa.int64())], names=["word", "tf"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[order], np.arange(len(v) + 1)), pa.int32()), both)
+def _counts(v: pa.Array, low: int, high: int, only: pa.Array | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, word, tf) of lists of words, or of their runs of ``low`` to ``high`` words joined by blanks, by row.
 
+    Counted by whole numbers: each distinct word is met once as text, a run only where it is new to the lists.
+    """
+    flat = v.flatten().dictionary_encode()
+    n = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(v)), n)
+    word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    code, names, made = word, flat.dictionary, []
+    for k in range(1, high + 1):
+        if k > 1:
+            inside = row[:-1] == row[1:]
+            pair, row = (word[:-1] * len(flat.dictionary) + word[1:])[inside], row[1:][inside]
+            seen, code = np.unique(pair, return_inverse=True)
+            names = pc.binary_join_element_wise(names.take(pa.array(seen // len(flat.dictionary))), flat.dictionary.take(pa.array(seen % len(flat.dictionary))), " ")
+        if k >= low:
+            keep = slice(None) if only is None else pc.is_in(names, value_set=only).to_numpy(zero_copy_only=False)[code]
+            key, tf = np.unique((row * max(1, len(names)) + code)[keep], return_counts=True)
+            made.append((key // max(1, len(names)), names.take(pa.array(key % max(1, len(names)))), tf))
+    rows = np.concatenate([r for r, _, _ in made])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], pa.concat_arrays([w for _, w, _ in made]).take(pa.array(order)), np.concatenate([t for _, _, t in made])[order]
+
+
+def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word", low: int = 1, high: int = 1, only: list[str] | None = None) -> DataFrame:
+    """(doc_id, *keep, word, tf), a row a document and word (or run of ``low`` to ``high`` words); made where the documents are.
+
+    Counts leave in batches of about COUNTED words, however many documents Spark hands over at once. ``only``: a vocabulary
+    outside of which nothing is wanted.
+    """
     if not 1 <= low <= high <= 2:
         raise ValueError("runs of one or two words")
-    return run.asNondeterministic()(words)
-
-
-def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word", low: int = 1, high: int = 1) -> DataFrame:
-    """(doc_id, *keep, word, tf), a row a document and word (or run of ``low`` to ``high`` words); made where the documents are."""
-    d = docs.select("doc_id", *keep, counted(words, low, high).alias("_counts"))
-    return d.select("doc_id", *keep, F.explode("_counts").alias("_x")).select("doc_id", *keep, F.col("_x.word").alias(name), F.col("_x.tf").alias("tf"))
+    d = docs.select("doc_id", *keep, words.alias("_words"))
+    names = ["doc_id", *keep, name, "tf"]
+    wanted = None if only is None else docs.sparkSession.sparkContext.broadcast(only)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted and pa.array(wanted.value, pa.string())
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, side="right")))
+                row, word, tf = _counts(lists.slice(at, to - at), low, high, known)
+                row = pa.array(row + at)
+                yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(b.num_columns - 1)], word, pa.array(tf, pa.int64())], names=names)
+                at = to
+
+    kept = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return d.mapInArrow(run, ", ".join([*kept, f"`{name}` string", "tf bigint"]))
 
 
 def frequencies(t: DataFrame) -> DataFrame:
@@ -205,7 +227,8 @@ def tfidf_vocabulary(doc_terms: DataFrame, n_docs: int, min_df: int = 1, max_df:
 def tfidf_vectors(doc_terms: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
     """(doc_id, feature_id, value), each document of length 1; unknown terms are left out."""
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")
-    x = doc_terms.join(vocab.select("term", "feature_id", "idf"), "term").withColumn("raw", tf * F.col("idf"))
+    v = vocab.select("term", "feature_id", "idf")
+    x = doc_terms.join(F.broadcast(v) if v.count() <= BROADCAST_WORDS else v, "term").withColumn("raw", tf * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
     return x.select("doc_id", "feature_id", (F.col("raw") / norm).alias("value"))
 

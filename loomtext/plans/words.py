@@ -151,10 +151,10 @@ v AS (SELECT term, df, cf, ln(((SELECT n FROM n) + 1.0) / (df + 1)) + 1 AS idf,
 """
 
 
-def grams(spark, sf_dir):
+def grams(spark, sf_dir, only=None):
     w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
     d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    return L.document_counts(d, F.col("w"), name="term", high=2)
+    return L.document_counts(d, F.col("w"), name="term", high=2, only=only)
 
 
 def tfidf_vocab_table(spark, sf_dir):
@@ -186,17 +186,20 @@ TFV = NG + """, x AS (SELECT doc_id, feature_id, tf * idf AS raw, term FROM d JO
 """
 
 
+def tfidf_rows(spark, sf_dir):
+    """Documents' vectors; of all words and pairs only those of the vocabulary, 5,000 at most, leave the tasks."""
+    v = tfidf_vocab_table(spark, sf_dir)
+    return L.tfidf_vectors(grams(spark, sf_dir, [r.term for r in v.select("term").collect()]), v)
+
+
 @query(TFV + "SELECT doc_id, feature_id, round(raw / norm, 6) AS value FROM x JOIN m USING (doc_id)")
 def tfidf_vectors(spark, sf_dir):
-    g = grams(spark, sf_dir)
-    return L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000)).withColumn("value", F.round("value", 6))
+    return tfidf_rows(spark, sf_dir).withColumn("value", F.round("value", 6))
 
 
 @query(TFV + "SELECT doc_id, format('tfidf_{}={:.6f}', feature_id, raw / norm) AS feature FROM x JOIN m USING (doc_id)")
 def tfidf_features(spark, sf_dir):
-    g = grams(spark, sf_dir)
-    v = L.tfidf_vectors(g, L.tfidf_vocabulary(g, table(spark, sf_dir, "documents").count(), 2, 0.9, 5000))
-    return v.select("doc_id", F.format_string("tfidf_%d=%.6f", "feature_id", "value").alias("feature"))
+    return tfidf_rows(spark, sf_dir).select("doc_id", F.format_string("tfidf_%d=%.6f", "feature_id", "value").alias("feature"))
 
 
 @query(rf"""

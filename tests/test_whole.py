@@ -225,6 +225,31 @@ def test_counts_in_a_row(spark):
     assert got == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (4, "x", 1)]
 
 
+def test_counts_are_made_of_bounded_batches(spark, monkeypatch, tmp_path):
+    """Many texts come in one batch of Spark's; each part of it holds COUNTED words at most, but for a longer text."""
+    made = str(tmp_path)
+    one, most = L._counts, 50
+
+    def seen(v, *rest):
+        open(f"{made}/{len(v.flatten())}-{len(v)}", "w").close()
+        return one(v, *rest)
+
+    monkeypatch.setattr(L, "COUNTED", most)
+    monkeypatch.setattr(L, "_counts", seen)
+    rng = random.Random(5)
+    texts = [None if i == 7 else " ".join(rng.choice("abcdef") for _ in range(120 if i == 30 else rng.randint(0, 20))) for i in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for only in (None, ["b", "a c"]):
+        want = []
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            runs = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+            want += [(i, r, runs.count(r)) for r in set(runs) if only is None or r in only]
+        assert sorted(tuple(r) for r in L.document_counts(d, L.X.lower_tokens("text"), high=2, only=only).collect()) == sorted(want)
+    sizes = [tuple(map(int, f.name.split("-"))) for f in tmp_path.iterdir()]
+    assert len(sizes) > 10 and all(n <= most or texts_in == 1 for n, texts_in in sizes)
+
+
 def test_tags_against_all_labellings():
     """The best labelling by trying every one, with the trained weights."""
     t = T.default_pipeline().words
