@@ -105,8 +105,7 @@ def social_preprocess(spark, sf_dir):
 @query()
 def fixed_word_tokens(spark, sf_dir):
     """Tokens of all texts, two of whose word pairs are kept together."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.regex_tokens("text", ("of the", "de la"))).alias("pos", "x"))
-    return d.select("doc_id", "pos", "x.token", "x.cls")
+    return X.regex_token_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ("of the", "de la"))
 
 
 # --- markup -------------------------------------------------------------------------------------------------------------------

@@ -258,3 +258,13 @@ def test_folder_tree_and_articles(spark, tmp_path):
     C.write_articles(pages, str(tmp_path / "out"), most=1)
     parts = sorted(p.read_text() for p in (tmp_path / "out").glob("part-*"))
     assert len(parts) == 2 and parts[0].startswith('<doc id="1" url="" title="T">\nT\n\nt1\n</doc>')
+
+
+def test_token_rows_leave_in_bounded_batches(spark, monkeypatch):
+    """The tokens of ``tokenize``, in order, of whatever batches; a single longer text is whole."""
+    monkeypatch.setattr(X, "TOKENIZED", 60)
+    texts = [None, "", "of the end, de la 1.500", "word " * 50, *["a b, c."] * 30]
+    d = spark.createDataFrame([(i, "k", t) for i, t in enumerate(texts)], "id int, kept string, t string").coalesce(1)
+    got = sorted(tuple(r) for r in X.regex_token_rows(d, "t", ("of the", "de la")).collect())
+    assert got == [(i, "k", k, t, c) for i, x in enumerate(texts) for k, (t, c) in enumerate(X.tokenize(x, ("of the", "de la")))]
+    assert [r[3:] for r in got if r[0] == 2][:2] == [("of the", "fixed_words"), ("end", "word")]
