@@ -175,7 +175,7 @@ def frequent_words(spark, sf_dir, share: int = 100_000) -> dict[str, int]:
 @query()
 def line_feature_ids(spark, sf_dir):
     """Row ids of a text's words, subwords, pairs and end: how many, and a hash of them in order."""
-    d = docs(spark, sf_dir).select("doc_id", TR.line_features("text", frequent_words(spark, sf_dir), 2_000_000, 3, 6, 2).alias("ids"))
+    d = TR.line_feature_rows(docs(spark, sf_dir).select("doc_id", "text"), "text", "ids", frequent_words(spark, sf_dir), 2_000_000, 3, 6, 2)
     return d.select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("hash"))
 
 

@@ -58,6 +58,17 @@ def test_line_features(spark):
     assert set(TR.fasttext_features(["tôi", "chợ"], known, 11, 2, 3, 1, kept)) <= {0, 2, 4, 5}
 
 
+def test_line_features_leave_in_bounded_batches(spark, monkeypatch, tmp_path):
+    """The same ids as of the column operator; a batch of Spark's is cut by ids, and pairs wrap around 64 bits with their sign."""
+    monkeypatch.setattr(TR, "LINE_IDS", 300)
+    known = {"</s>": 0, "đi": 2**40 + 7, "tôi": 2, "a": 3}
+    texts = ["tôi đi  chợ", "", None, "a a </s> tôi\nđi", "x" * 5000, *["đi tôi đi a chợ"] * 40]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    for low, high, ngrams in ((2, 4, 2), (3, 6, 1), (1, 3, 4)):
+        rows = TR.line_feature_rows(d, "t", "x", known, 97, low, high, ngrams)
+        assert {r.id: r.x for r in rows.collect()} == {i: None if t is None else TR.fasttext_features(t.split(), known, 97, low, high, ngrams) for i, t in enumerate(texts)}
+
+
 def test_tool_schema_and_calls():
     def f(a: int, b: list[str], c: Literal["x", 1] = "x", d: int | str | None = None, e: dict[str, float] | None = None, g=object):
         """
