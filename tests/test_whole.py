@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from itertools import product
 
 import pytest
@@ -205,6 +206,27 @@ def test_gradients_against_all_labellings():
     assert np.abs(np.concatenate([gs.ravel(), gt.ravel()]) - slope).max() < 1e-6
 
 
+def test_trained_weights_are_not_copied():
+    """A chain made of a weight vector is the one made of its single weights, and takes little memory besides."""
+    import numpy as np
+
+    from loomtext.operators import crf
+
+    attrs, labels = [f"a{i}" for i in range(20_000)], [f"Y{k:02}" for k in range(15)]
+    x = np.random.default_rng(1).normal(size=len(attrs) * 15 + 225)
+    x[15:30] = 0
+    tracemalloc.start()
+    got = crf._chain(x, attrs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * x.nbytes
+    few = crf._chain(np.concatenate([x[:60], x[-225:]]), attrs[:4], labels)
+    state = [(a, y, x[i * 15 + k]) for i, a in enumerate(attrs[:4]) for k, y in enumerate(labels) if i != 1]
+    want = S.Chain([*state, *[("", y, 0.0) for y in labels]], [(a, b, x[-225 + 15 * i + j]) for i, a in enumerate(labels) for j, b in enumerate(labels)])
+    assert list(few.state) == list(want.state) and few.labels == want.labels and (few.trans == want.trans).all()
+    assert all((few.state[a] == want.state[a]).all() for a in want.state) and len(got.state) == len(attrs)
+
+
 def test_sums_before_and_first_shares(spark, monkeypatch):
     """Prefix sums of groups, one of them most of the table, cut into ranges."""
     monkeypatch.setattr(L, "RANGE_SAMPLE", 40)
