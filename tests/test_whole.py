@@ -206,6 +206,30 @@ def test_gradients_against_all_labellings():
     assert np.abs(np.concatenate([gs.ravel(), gt.ravel()]) - slope).max() < 1e-6
 
 
+def test_gradient_by_products_is_the_one_by_logarithms(monkeypatch):
+    """On sentences of many lengths and far scores; products are taken only where they can't underflow."""
+    import numpy as np
+
+    from loomtext.operators import crf
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 0, 1, 300, 2, 7])
+    counts = rng.integers(0, 5, sizes.sum())
+    ids, gold = rng.integers(0, 40, counts.sum()), rng.integers(0, 4, len(counts))
+    for far in (1.0, 25.0, 1000.0):
+        state, trans = rng.uniform(-far, far, (40, 4)), rng.uniform(-far, far, (4, 4))
+        made, used, one = [], [], crf._scaled
+        monkeypatch.setattr(crf, "_scaled", lambda *a, one=one, used=used: (used.append(1), one(*a))[1])
+        for near in (200.0, 0.0):
+            monkeypatch.setattr(crf, "NEAR", near)
+            gs, gt = np.zeros((40, 4)), np.zeros((4, 4))
+            made.append((crf.gradient(ids, counts, sizes, gold, state, trans, gs, gt), gs, gt))
+        monkeypatch.setattr(crf, "_scaled", one)
+        assert len(used) == (far < 100)
+        for x, y in zip(*made):
+            assert np.allclose(x, y, rtol=1e-9, atol=1e-8)
+
+
 def test_trained_weights_are_not_copied():
     """A chain made of a weight vector is the one made of its single weights, and takes little memory besides."""
     import numpy as np
