@@ -251,6 +251,60 @@ def test_trained_weights_are_not_copied():
     assert all((few.state[a] == want.state[a]).all() for a in want.state) and len(got.state) == len(attrs)
 
 
+def one_pass(m, rows):
+    """A structured perceptron on one sentence after the other: what its weights are in the end."""
+    at, k = {y: i for i, y in enumerate(m.labels)}, len(m.labels)
+    for x, y in rows:
+        got = m.decode(x)[0]
+        for fs, g, p in zip(x, y, got):
+            for f in fs if g != p else ():
+                v = m.state.setdefault(f, [0.0] * k)
+                m.state[f] = [w + (i == at[g]) - (i == at[p]) for i, w in enumerate(v)]
+        if got != y:
+            for path, sign in ((y, 1), (got, -1)):
+                for a, b in zip(path, path[1:]):
+                    m.trans[at[a], at[b]] += sign
+
+
+@pytest.mark.parametrize("part", [17, 3])
+def test_perceptron_weights_are_a_table(spark, monkeypatch, part):
+    """As parts' passes over single sentences, mixed in memory; the weights of all attributes never come to the driver."""
+    import numpy as np
+    from loomtext.operators import perceptron as P
+
+    monkeypatch.setattr(P, "PART", part)
+    monkeypatch.setattr(P, "AHEAD", (2, 4))
+    monkeypatch.setattr(P, "HELD", 5)
+    monkeypatch.setattr(P, "ROWS", 2)
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]
+        rows.append((i, [[f"w={x}", f"p={y}", *(["v"] if x in "ae" else [])] for x, y in zip(w, ["", *w])], ["V" if x in "ae" else "N" if y in "bcd" else "O" for x, y in zip(w, ["", *w])]))
+    d = P.in_parts(spark.createDataFrame(rows, "id long, feats array<array<string>>, tags array<string>").coalesce(1))
+    got = P.train_perceptron(d, P.F.col("feats"), "tags", 2)
+    size = 1 << part
+    parts = [[(x, y) for _, x, y in rows[lo : lo + size]] for lo in range(0, len(rows), size)]
+    state, trans, labels = {}, np.zeros((3, 3)), ["N", "O", "V"]
+    for _ in range(2):
+        made = []
+        for p in parts:
+            m = S.Chain([*[(a, y, w) for a, v in state.items() for y, w in zip(labels, v)], *[("", y, 0.0) for y in labels]], [(a, b, trans[i, j]) for i, a in enumerate(labels) for j, b in enumerate(labels)])
+            one_pass(m, p)
+            made.append(m)
+        names = {a for m in made for a in m.state if a}
+        state = {a: np.mean([m.state.get(a, np.zeros(3)) for m in made], axis=0) for a in names}
+        trans = np.mean([m.trans for m in made], axis=0)
+    assert got.labels == labels and np.allclose(got.trans, trans)
+    of = {r.h: r.a for r in spark.createDataFrame([(a,) for a in state], "a string").select("a", P.F.xxhash64("a").alias("h")).collect()}
+    weights = {(of[r.attr], labels[r.y]): r.w for r in got.state.collect()}
+    want = {(a, y): w for a, v in state.items() for y, w in zip(labels, v) if abs(w) > 1e-12}
+    assert {k: round(w, 9) for k, w in weights.items() if abs(w) > 1e-12} == {k: round(w, 9) for k, w in want.items()} and len(want) > 10
+    m = S.Chain([(a, y, w) for (a, y), w in weights.items()] + [("", y, 0.0) for y in labels], [(a, b, got.trans[i, j]) for i, a in enumerate(labels) for j, b in enumerate(labels)])
+    tags = {r.id: r.best for r in P.decode(d, P.F.col("feats"), got, ["id"], "best").collect()}
+    assert tags == {i: m.decode(x)[0] for i, x, _ in rows}
+
+
 def test_sums_before_and_first_shares(spark, monkeypatch):
     """Prefix sums of groups, one of them most of the table, cut into ranges."""
     monkeypatch.setattr(L, "RANGE_SAMPLE", 40)
