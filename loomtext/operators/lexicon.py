@@ -5,7 +5,7 @@ A token table has columns (doc_id, word); all statistics come from (doc_id, word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,16 @@ def _counts(v: pa.Array, low: int, high: int, only: pa.Array | None = None) -> t
     return rows[order], pa.concat_arrays([w for _, w, _ in made]).take(pa.array(order)), np.concatenate([t for _, _, t in made])[order]
 
 
+def _counted(lists: pa.Array, most: int, counts: Callable[[pa.Array], tuple[np.ndarray, pa.Array, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """(first row, rows from there on, word, tf) by ``counts`` of runs of rows of ``most`` words each, but for a longer row."""
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(lists):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, *counts(lists.slice(at, to - at))
+        at = to
+
+
 def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "word", low: int = 1, high: int = 1, only: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, word, tf), a row a document and word (or run of ``low`` to ``high`` words); made where the documents are.
 
@@ -70,15 +80,9 @@ def document_counts(docs: DataFrame, words: Column, *keep: str, name: str = "wor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = wanted and pa.array(wanted.value, pa.string())
         for b in batches:
-            lists = b.column(b.num_columns - 1)
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + COUNTED, side="right")))
-                row, word, tf = _counts(lists.slice(at, to - at), low, high, known)
+            for at, row, word, tf in _counted(b.column(b.num_columns - 1), COUNTED, lambda v: _counts(v, low, high, known)):
                 row = pa.array(row + at)
                 yield pa.RecordBatch.from_arrays([*[b.column(k).take(row) for k in range(b.num_columns - 1)], word, pa.array(tf, pa.int64())], names=names)
-                at = to
 
     kept = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
     return d.mapInArrow(run, ", ".join([*kept, f"`{name}` string", "tf bigint"]))
@@ -233,6 +237,28 @@ def tfidf_vectors(doc_terms: DataFrame, vocab: DataFrame, sublinear: bool = Fals
     return x.select("doc_id", "feature_id", (F.col("raw") / norm).alias("value"))
 
 
+def document_vectors(docs: DataFrame, words: Column, vocab: DataFrame, high: int = 1) -> DataFrame:
+    """``tfidf_vectors`` of the documents' words and runs of up to ``high`` words, made in their rows: nothing is joined or shuffled.
+
+    A row is a document. ``vocab`` is shared with the tasks.
+    """
+    v = vocab.select("term", "feature_id", "idf").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((v.column("term").to_pylist(), v.column("feature_id").to_numpy(), v.column("idf").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids, idf = shared.value
+        known = pa.array(names, pa.string())
+        for b in batches:
+            for at, row, word, tf in _counted(b.column(1), COUNTED, lambda v: _counts(v, 1, high, known)):
+                k = pc.index_in(word, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+                raw = tf * idf[k]
+                value = raw / np.sqrt(np.bincount(row, weights=raw * raw))[row]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), pa.array(ids[k], pa.int64()), pa.array(value)], names=["doc_id", "feature_id", "value"])
+
+    d = docs.select("doc_id", words.alias("_words"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, feature_id bigint, value double")
+
+
 def expand_rules(rules: DataFrame) -> DataFrame:
     """(key, value) of rules (seq, key, value): each also capitalized (the rest in small letters) and in capitals.
 

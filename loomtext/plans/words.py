@@ -151,10 +151,12 @@ v AS (SELECT term, df, cf, ln(((SELECT n FROM n) + 1.0) / (df + 1)) + 1 AS idf,
 """
 
 
-def grams(spark, sf_dir, only=None):
-    w = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
-    d = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
-    return L.document_counts(d, F.col("w"), name="term", high=2, only=only)
+def gram_words():
+    return F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) >= 2)
+
+
+def grams(spark, sf_dir):
+    return L.document_counts(table(spark, sf_dir, "documents"), gram_words(), name="term", high=2)
 
 
 def tfidf_vocab_table(spark, sf_dir):
@@ -187,9 +189,8 @@ TFV = NG + """, x AS (SELECT doc_id, feature_id, tf * idf AS raw, term FROM d JO
 
 
 def tfidf_rows(spark, sf_dir):
-    """Documents' vectors; of all words and pairs only those of the vocabulary, 5,000 at most, leave the tasks."""
-    v = tfidf_vocab_table(spark, sf_dir)
-    return L.tfidf_vectors(grams(spark, sf_dir, [r.term for r in v.select("term").collect()]), v)
+    """Documents' vectors, made in their rows; the vocabulary, 5,000 terms at most, is shared with the tasks."""
+    return L.document_vectors(table(spark, sf_dir, "documents"), gram_words(), tfidf_vocab_table(spark, sf_dir), high=2)
 
 
 @query(TFV + "SELECT doc_id, feature_id, round(raw / norm, 6) AS value FROM x JOIN m USING (doc_id)")

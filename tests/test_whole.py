@@ -266,6 +266,29 @@ def one_pass(m, rows):
                     m.trans[at[a], at[b]] += sign
 
 
+def test_sentences_decoded_ahead_teach_the_same(monkeypatch):
+    """One by one, or some at once up to the first wrong one; the weights' matrix grows on the way."""
+    import numpy as np
+    from loomtext.operators import perceptron as P
+
+    monkeypatch.setattr(P, "ROWS", 2)
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(0, 9, 300)
+    attrs = rng.integers(0, 40, (sizes.sum(), 3)) + [0, 100, 200]
+    gold = np.where(attrs[:, 0] < 14, 0, np.where(attrs[:, 1] < 120, 1, 2))
+    made = []
+    for ahead in ((1 << 30, 1 << 30), (1, 4), (3, 64)):
+        monkeypatch.setattr(P, "AHEAD", ahead)
+        m = P._Local(np.zeros((3, 3)))
+        tokens = m.ids(attrs.ravel()).reshape(attrs.shape)
+        for _ in range(3):
+            m.learn(tokens, sizes, gold)
+        made.append((m.w[: len(m.at) + 1], m.trans, m.best(tokens, sizes)))
+    for w, trans, best in made[1:]:
+        assert (w == made[0][0]).all() and (trans == made[0][1]).all() and (best == made[0][2]).all()
+    assert (made[0][2] == gold).mean() > 0.9 and made[0][0].any() and not made[0][0][0].any()
+
+
 @pytest.mark.parametrize("part", [17, 3])
 def test_perceptron_weights_are_a_table(spark, monkeypatch, part):
     """As parts' passes over single sentences, mixed in memory; the weights of all attributes never come to the driver."""
@@ -273,9 +296,7 @@ def test_perceptron_weights_are_a_table(spark, monkeypatch, part):
     from loomtext.operators import perceptron as P
 
     monkeypatch.setattr(P, "PART", part)
-    monkeypatch.setattr(P, "AHEAD", (2, 4))
     monkeypatch.setattr(P, "HELD", 5)
-    monkeypatch.setattr(P, "ROWS", 2)
     rng = random.Random(3)
     rows = []
     for i in range(60):
@@ -325,6 +346,26 @@ def test_counts_in_a_row(spark):
     assert got == [(1, "a", 2), (1, "b", 3), (1, "c", 1), (4, "x", 1)]
 
 
+def test_vectors_are_made_in_their_rows(spark, monkeypatch):
+    """As by the join with the vocabulary, without a shuffle of documents' terms; a text in one batch, however long."""
+    monkeypatch.setattr(L, "COUNTED", 30)
+    rng = random.Random(7)
+    texts = [None if i == 7 else "" if i == 8 else "none of them" if i == 9 else " ".join(rng.choice("abcdef") for _ in range(120 if i == 30 else rng.randint(1, 20))) for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = L.document_counts(d, L.X.lower_tokens("text"), name="term", high=2)
+    v = L.tfidf_vocabulary(counts, 40, 2, 0.9, 25)
+    got = L.document_vectors(d, L.X.lower_tokens("text"), v, high=2)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda rows: sorted((r.doc_id, r.feature_id, round(r.value, 9)) for r in rows)
+    want = key(L.tfidf_vectors(counts, v).collect())
+    assert key(got.collect()) == want and len({i for i, _, _ in want}) == 37
+
+
+@pytest.mark.parametrize("name", ["tfidf_vectors", "tfidf_features"])
+def test_vectors_of_the_table_are_not_shuffled(spark, docs, name):
+    assert "Exchange" not in QUERIES[name](spark, docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_counts_are_made_of_bounded_batches(spark, monkeypatch, tmp_path):
     """Many texts come in one batch of Spark's; each part of it holds COUNTED words at most, but for a longer text."""
     made = str(tmp_path)
