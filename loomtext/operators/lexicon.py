@@ -5,7 +5,9 @@ A token table has columns (doc_id, word); all statistics come from (doc_id, word
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as X
+from loomtext.operators.summing import summed
 from loomtext.operators.written import written
 
 
@@ -55,8 +58,8 @@ def _counts(v: pa.Array, low: int, high: int, only: pa.Array | None = None) -> t
     return rows[order], pa.concat_arrays([w for _, w, _ in made]).take(pa.array(order)), np.concatenate([t for _, _, t in made])[order]
 
 
-def _counted(lists: pa.Array, most: int, counts: Callable[[pa.Array], tuple[np.ndarray, pa.Array, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
-    """(first row, rows from there on, word, tf) by ``counts`` of runs of rows of ``most`` words each, but for a longer row."""
+def _counted(lists: pa.Array, most: int, counts: Callable[[pa.Array], tuple]) -> Iterator[tuple]:
+    """(first row, *what ``counts`` makes) of runs of rows of ``most`` words each, but for a longer row."""
     ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(lists):
@@ -218,16 +221,89 @@ def lm_bigrams(docs: DataFrame, uni: DataFrame, text: str, min_bi: int) -> DataF
 def tfidf_vocabulary(doc_terms: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
     """(term, df, cf, idf, feature_id): df from ``min_df`` to the ceiling of ``max_df`` times the documents; of those the
     ``max_features`` most frequent, ties alphabetical; ids alphabetical; idf = ln((N + 1) / (df + 1)) + 1."""
-    from math import ceil
+    return _numbered(_kept(doc_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), n_docs, min_df, max_df, max_features), n_docs)
 
-    v = doc_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+def _kept(v: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int | None) -> DataFrame:
     v = v.where((F.col("df") >= min_df) & (F.col("df") <= ceil(max_df * n_docs)))
-    if max_features:
-        v = v.orderBy(F.desc("cf"), "term").limit(max_features)
+    return v.orderBy(F.desc("cf"), "term").limit(max_features) if max_features else v
+
+
+def _numbered(v: DataFrame, n_docs: int) -> DataFrame:
     v = v.withColumn("idf", F.ln(F.lit(n_docs + 1.0) / (F.col("df") + 1)) + 1)
     return dense_ids(v, ["term"]).withColumnRenamed("rank", "feature_id")
 
 
+#: Sums that terms share by hash: 4 MB a task and on the driver.
+BOUNDS = 1 << 19
+
+
+def _runs(v: pa.Array, high: int, sums: int) -> tuple[pa.Array, list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]]:
+    """Distinct words of lists of words; of runs of 1 and up to ``high`` words each the rows, the words' places among them and which of ``sums`` counts them."""
+    flat = v.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(v)), v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    word = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    runs = [(row, [word])]
+    if high == 2:
+        inside = row[:-1] == row[1:]
+        runs.append((row[1:][inside], [word[:-1][inside], word[1:][inside]]))
+    h = np.fromiter(map(crc32, flat.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(flat.dictionary))
+    both = lambda w: h[w[0]] if len(w) == 1 else h[w[0]] << np.uint64(32) | h[w[1]]
+    return flat.dictionary, [(r, w, (both(w) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) % sums) for r, w in runs]
+
+
+def _term_sums(v: pa.Array, high: int, wanted: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(term, df, cf) of lists of words, of the terms whose sum is ``wanted``."""
+    words, runs = _runs(v, high, len(wanted))
+    terms, df, cf = [], [], []
+    for row, w, at in runs:
+        keep = wanted[at]
+        key, code = np.unique((w[0] * len(words) + w[1] if len(w) == 2 else w[0])[keep], return_inverse=True)
+        found = np.unique(code * len(v) + row[keep]) // len(v)
+        terms.append(pc.binary_join_element_wise(*[words.take(pa.array(k)) for k in (divmod(key, len(words)) if len(w) == 2 else [key])], " "))
+        df.append(np.bincount(found, minlength=len(key)))
+        cf.append(np.bincount(code, minlength=len(key)))
+    return pa.concat_arrays(terms), np.concatenate(df), np.concatenate(cf)
+
+
+def document_vocabulary(docs: DataFrame, words: Column, n_docs: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None, high: int = 1) -> DataFrame:
+    """``tfidf_vocabulary`` of the documents' words and runs of up to ``high`` words. A row is a document.
+
+    The ``max_features`` most frequent terms are found without a shuffle of all terms: BOUNDS sums, each of the counts of all terms of
+    a hash, bound these from above; only terms whose bound reaches a floor are counted by name. Where those kept aren't all above
+    that floor, they are counted again from the least count kept, or all are where too few were kept; so the result is exact.
+    """
+    if not 1 <= high <= 2:
+        raise ValueError("runs of one or two words")
+    if not max_features:
+        return tfidf_vocabulary(document_counts(docs, words, name="term", high=high), n_docs, min_df, max_df)
+    d, n = docs.select(words.alias("_words")), BOUNDS
+
+    def part(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(n)
+        for b in batches:
+            for _, at in _counted(b.column(0), COUNTED, lambda v: (np.concatenate([x for _, _, x in _runs(v, high, n)[1]]),)):
+                out += np.bincount(at, minlength=n)
+        return out
+
+    bounds = summed(d, part, n)
+    floor = max(1, int(np.partition(bounds, -max_features)[-max_features]) // 2) if max_features <= n else 1
+    while True:
+        wanted = d.sparkSession.sparkContext.broadcast(bounds >= floor)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for _, term, df, cf in _counted(b.column(0), COUNTED, lambda v: _term_sums(v, high, wanted.value)):
+                    yield pa.RecordBatch.from_arrays([term, pa.array(df, pa.int64()), pa.array(cf, pa.int64())], names=["term", "df", "cf"])
+
+        sums = d.mapInArrow(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        v = written(_kept(sums, n_docs, min_df, max_df, max_features))
+        kept, least = v.agg(F.count("*"), F.min("cf")).first()
+        if floor == 1 or (kept == max_features and least >= floor):
+            return _numbered(v, n_docs)
+        floor = least if kept == max_features else 1
+
+
 def tfidf_vectors(doc_terms: DataFrame, vocab: DataFrame, sublinear: bool = False) -> DataFrame:
     """(doc_id, feature_id, value), each document of length 1; unknown terms are left out."""
     tf = 1 + F.ln("tf") if sublinear else F.col("tf")

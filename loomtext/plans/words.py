@@ -160,7 +160,8 @@ def grams(spark, sf_dir):
 
 
 def tfidf_vocab_table(spark, sf_dir):
-    return L.tfidf_vocabulary(grams(spark, sf_dir), table(spark, sf_dir, "documents").count(), 2, 0.9, 5000)
+    d = table(spark, sf_dir, "documents")
+    return L.document_vocabulary(d, gram_words(), d.count(), 2, 0.9, 5000, high=2)
 
 
 @query(NG + "SELECT doc_id, term, tf FROM d")

@@ -361,6 +361,45 @@ def test_vectors_are_made_in_their_rows(spark, monkeypatch):
     assert key(got.collect()) == want and len({i for i, _, _ in want}) == 37
 
 
+@pytest.mark.parametrize("case", ["frequent", "rare", "few", "dropped", "all"])
+@pytest.mark.parametrize("sums", [7, 512, 1 << 19])
+def test_vocabulary_by_bounds(spark, monkeypatch, case, sums):
+    """As by counting all terms: also where terms are equally rare, fewer than asked for, the frequent ones dropped, or sums far fewer than terms."""
+    monkeypatch.setattr(L, "BOUNDS", sums)
+    monkeypatch.setattr(L, "COUNTED", 50)
+    rng = random.Random(3)
+    common = ["a b", "b c a", "c d", "ä é a", "d a b"]
+    texts = [None, "", "a", *(" ".join(["a b c d e f"] * (case == "dropped") + [rng.choice(common) if case != "rare" and rng.random() < 0.6 else f"w{rng.randint(0, 99)}" for _ in range(rng.randint(1, 15))]) for _ in range(60))]
+    d = spark.createDataFrame([(i, t if case != "few" or i < 9 else "x y") for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    top, share = {"few": 200, "all": None}.get(case, 20), 0.5 if case == "dropped" else 0.9
+    want = L.tfidf_vocabulary(L.document_counts(d, L.X.lower_tokens("text"), name="term", high=2), len(texts), 2, share, top)
+    got = L.document_vocabulary(d, L.X.lower_tokens("text"), len(texts), 2, share, top, high=2)
+    assert got.dtypes == want.dtypes
+    key = lambda v: sorted((r.feature_id, r.term, r.df, r.cf, round(r.idf, 12)) for r in v.collect())
+    assert key(got) == key(want) and want.count() > (10 if case != "few" else 0)
+
+
+def test_rare_terms_are_not_shuffled(spark, monkeypatch, tmp_path):
+    """Of a table whose terms mostly stand once, the query names few: those whose bound reaches the count of a kept term."""
+    one, folder = L._term_sums, str(tmp_path)
+
+    def seen(*of):
+        term, df, cf = one(*of)
+        open(f"{folder}/{len(term)}-{random.getrandbits(60)}", "w").close()
+        return term, df, cf
+
+    monkeypatch.setattr(L, "_term_sums", seen)
+    rng = random.Random(4)
+    of = [rng.sample("pqrst", 3) for _ in range(40)]
+    texts = [(i, " ".join(f"{rng.choice(c)}{rng.randint(0, 9)} u{i}x{j}" for j in range(300))) for i, c in enumerate(of)]
+    d = f"{folder}/in"
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    monkeypatch.setattr("loomtext.plans.words.L.document_vocabulary", lambda *a, of=L.document_vocabulary, **k: of(*a[:5], 50, **k))
+    got = QUERIES["tfidf_features"](spark, d)
+    named = sum(int(f.name.split("-")[0]) for f in tmp_path.iterdir() if f.is_file())
+    assert 40 <= len({r.feature.split("=")[0] for r in got.collect()}) <= 50 and 50 <= named < 5000
+
+
 @pytest.mark.parametrize("name", ["tfidf_vectors", "tfidf_features"])
 def test_vectors_of_the_table_are_not_shuffled(spark, docs, name):
     assert "Exchange" not in QUERIES[name](spark, docs)._jdf.queryExecution().executedPlan().toString()
