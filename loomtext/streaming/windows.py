@@ -37,7 +37,10 @@ def distinct_events(df: DataFrame, ts: str, keys: list[str], late: str = LATE) -
 
 
 def paired(df: DataFrame, key: str, kind: str, ts: str, start: str, end: str, timeout_ms: int = 3_600_000) -> DataFrame:
-    """(key, started, ended) as a stateful operator: a start waits for its end; after the timeout it goes out without one."""
+    """(key, started, ended) as a stateful operator: a start waits for its end; once the watermark reaches the timeout it goes out without one.
+
+    Rows without a time take no part. Of a key's rows of one instant those whose kind sorts first come first.
+    """
 
     def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,12 +62,13 @@ def paired(df: DataFrame, key: str, kind: str, ts: str, start: str, end: str, ti
                 state.remove()
         else:
             state.update((opened,))
-            state.setTimeoutTimestamp(max(opened // 1000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            # Spark times out what lies before the watermark, not at it.
+            state.setTimeoutTimestamp(max(opened // 1000 + timeout_ms - 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[key, "started", "ended"])
 
     kt = df.schema[key].dataType.simpleString()
-    g = df.withWatermark(ts, LATE).where(F.col(kind).isin(start, end)).select(key, kind, ts).groupBy(key)
+    g = df.where(F.col(ts).isNotNull()).withWatermark(ts, LATE).where(F.col(kind).isin(start, end)).select(key, kind, ts).groupBy(key)
     return g.applyInPandasWithState(step, f"{key} {kt}, started timestamp, ended timestamp", "opened long", "append", "EventTimeTimeout")
 
 

@@ -217,3 +217,17 @@ def test_streams_of_a_file_and_of_a_folder_of_files(spark, sf, tmp_path, name, f
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}{'/*.parquet' if files > 1 else ''}')")
     got, want = spark_rows(QUERIES[name](spark, str(tmp_path))), duck_rows(con, ORACLES[name])
     assert got == want and len(got[1]) > 3
+
+
+def test_pairs_at_the_timeout_and_without_times(spark, tmp_path):
+    """A start whose timeout is the watermark, to the millisecond, goes out; rows without a time don't count."""
+    rows = [
+        (1, "10:00:00.000123", "view"), (2, "10:00:00.000999", "view"), (3, "10:00:00.001", "view"), (4, "09:59:59.999999", "view"), (5, "11:10:00.0005", "purchase"),
+        (6, None, "view"), (6, "09:00:00", "purchase"), (7, "09:00:00", "view"), (7, None, "purchase"), (8, "08:00:00", "view"), (8, "11:00:00", "purchase"), (None, "08:30:00", "view"),
+    ]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events (user_id BIGINT, ts TIMESTAMP, event_type VARCHAR)")
+    con.executemany("INSERT INTO events VALUES (?, ?::TIMESTAMP, ?)", [(u, t and f"2024-01-01 {t}", k) for u, t, k in rows])
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got, want = spark_rows(QUERIES["stream_pairs"](spark, str(tmp_path))), duck_rows(con, ORACLES["stream_pairs"])
+    assert got == want and {r[2] for r in got[1]} == {"1", "2", "4", "7", "8", "NULL"}
