@@ -438,3 +438,28 @@ def test_tags_against_all_labellings():
     score = lambda path: sum(e[i, y] for i, y in enumerate(path)) + sum(t.chain.trans[a, b] for a, b in zip(path, path[1:]))
     best = max(product(range(len(t.chain.labels)), repeat=len(words)), key=score)
     assert t.tags([[words]])[0] == [t.chain.labels[y] for y in best]
+
+
+def test_values_are_looked_up_once_a_class(monkeypatch):
+    """Words that the model doesn't know are told apart once a batch, not once a template."""
+    calls = []
+    for fn in ("lower", "istitle"):
+        monkeypatch.setitem(T._VALUE, fn, lambda v, f=T._VALUE[fn]: calls.append(v) or f(v))
+    t = T.Tagger(T.default_pipeline().pos.chain, T.POS_TEMPLATES)
+    rows = [[f"w{i}x{j}" for j in range(10)] for i in range(500)]
+    assert len(t.tags([rows])) == 500 and len(calls) < 5000
+
+
+def test_tags_by_all_kinds_of_templates():
+    """Spans of three, spans with a function, digits and capitals, values with spaces in them, unknown ones and edges: as each sentence alone."""
+    templates = ["T[0].lower", "T[-1].istitle", "T[0].isdigit", "T[1].isallcap", "T[0]", "T[-1,0]", "T[-1,1]", "T[0,1].lower", "T[-2,-1][1]", "T[1,2]", "T[-3][1]", "T[2]"]
+    rng = random.Random(7)
+    words = ["a", "A", "b c", "B", "c d", "d", "9", "İ", "ΑΣ", "BOS", "EOS", "", " ", "a b"]
+    sentence = lambda n: [(rng.choice(words), rng.choice("xyz")) for _ in range(n)]
+    t = T.fit([[(*w, rng.choice("PQR")) for w in sentence(n % 7 + 1)] for n in range(60)], [*templates[:8], "T[-2,-1][2]", *templates[9:]])
+    for p, k in ((t, 2), (T.fit([[(*w, rng.choice("PQR")) for w in sentence(6)] for _ in range(40)], templates), 2), (T.default_pipeline().ner, 3)):
+        rows = [[[rng.choice([*words, "zz", "q r"]) for _ in range(n)] for n in (0, 1, 2, 3, 12, 5, 1, 40)] for _ in range(k)]
+        rows[1:] = [[[rng.choice("xyzN") for _ in r] for r in rows[0]] for _ in rows[1:]]
+        for i, got in enumerate(p.tags(rows)):
+            fs = T.features([*[c[i] for c in rows], ["X"] * len(rows[0][i])], p.templates)
+            assert got == p.chain.decode(fs)[0]
