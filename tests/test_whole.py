@@ -463,3 +463,50 @@ def test_tags_by_all_kinds_of_templates():
         for i, got in enumerate(p.tags(rows)):
             fs = T.features([*[c[i] for c in rows], ["X"] * len(rows[0][i])], p.templates)
             assert got == p.chain.decode(fs)[0]
+
+
+def test_chains_decode_many_sentences_as_each_alone(spark):
+    """Ties, unknown attributes, repeated ones, tokens without any (also null) and sentences without tokens."""
+    rng = random.Random(3)
+    m = S.Chain([(a, y, rng.choice([-0.5, 0.1, 0.25, 0.7])) for a in "abcdef" for y in "XYZ"], [(x, y, rng.choice([0.1, 0.3])) for x in "XYZ" for y in "XYZ"])
+    rows = [(i, [rng.choice([None, [], [rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))]]) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 7, 60, 3, 0, *range(9)])]
+    got = S.decode(spark.createDataFrame(rows, "i int, feats array<array<string>>").repartition(2), m).collect()
+    assert {r.i: r.tags for r in got} == {i: m.decode([t or [] for t in f])[0] for i, f in rows}
+
+
+def test_values_are_asked_once_each():
+    import pyarrow as pa
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+    at = Asked(a=3, b=0)
+    assert S.places(pa.array(["a", "c", None, "b", "a"] * 50), at).tolist() == [3, -1, -1, 0, 3] * 50 and at.n <= 4
+
+
+def test_vectors_summed_over_tasks(spark):
+    """Vectors of several slices, of which some are zero in all tasks, and a last one that is short."""
+    import numpy as np
+
+    from loomtext.operators.summing import SLICE, summed
+
+    length = 3 * SLICE + 5
+
+    def part(batches):
+        v = np.zeros(length)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                v[x % 7] += x
+                v[3 * SLICE + x % 5] -= 0.5
+        return v
+
+    want = np.zeros(length)
+    for x in range(1000):
+        want[x % 7] += x
+        want[3 * SLICE + x % 5] -= 0.5
+    assert (summed(spark.range(1000).repartition(9), part, length) == want).all()
+    assert not summed(spark.range(0), part, length).any()
