@@ -510,3 +510,13 @@ def test_vectors_summed_over_tasks(spark):
         want[3 * SLICE + x % 5] -= 0.5
     assert (summed(spark.range(1000).repartition(9), part, length) == want).all()
     assert not summed(spark.range(0), part, length).any()
+
+
+@pytest.mark.parametrize("name", ["crf_likelihood_train", "crf_sparse_train"])
+def test_features_are_not_written(spark, docs, monkeypatch, name):
+    from loomtext.plans import extras
+
+    seen = []
+    monkeypatch.setattr(extras, "written", lambda d: seen.append(d.columns) or d)
+    QUERIES[name](spark, docs)
+    assert seen == [["doc_id", "sent", "words", "gold"]]
